@@ -5,10 +5,11 @@ nondeterministic transducer can guess where tokens end: its states are the token
 read. Determinised, a state is the set of guesses that are still possible, of which there is at most one for each
 place where a token may have begun, and so no more than the longest token has bytes. What all guesses agree on is
 emitted at once, so output lags behind input by a bounded number of bytes however long a piece is. States and arcs
-are made when a text first needs them.
+are made when texts need them for the second time; until then, the guesses are followed one by one.
 """
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ from .frames import pick
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept with their tokens, states and pairs kept at a time, and tokens handed to the streaming decoder at once.
-CACHE, STATES, CHUNK = 1 << 18, 1 << 18, 4096
+CACHE, STATES, CHUNK = 1 << 18, 1 << 17, 4096
+#: Bytes to the end of a piece up to which an arc that is needed for the first time isn't made.
+SHORT = 64
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -85,6 +88,7 @@ class Transducer:
         self.guesses: list[tuple] = []
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        self.once: set[int] = set()  # arcs that were needed once
         self.add((-1, (((), 0),)))
 
     def add(self, state: tuple) -> int:
@@ -163,15 +167,45 @@ class Transducer:
             known = self.ends[at] = next(((*t, n) for t, o in guesses if (n := self.whole[o]) >= 0 and self.follows(t[-1] if t else last, n)), ())
         return known
 
+    def rest(self, at: int, data: bytes) -> tuple[int, ...]:
+        """The tokens still to output where only ``data`` follows, from the guesses themselves, without making arcs."""
+        last, guesses = self.guesses[at]
+        below, whole, agree = self.child.get, self.whole, self.agree.get
+        for byte in data:
+            found, start = [], below(byte)
+            for tokens, node in guesses:
+                longer = below(node << 8 | byte)
+                if longer is not None:
+                    found.append((tokens, longer))
+                n = whole[node]
+                if n >= 0:
+                    a = tokens[-1] if tokens else last
+                    good = agree(a << 20 | n)
+                    if good is None:
+                        good = self.follows(a, n)
+                    if good:
+                        found.append(((*tokens, n), start))
+            guesses = found
+        for tokens, node in guesses:
+            n = whole[node]
+            if n >= 0 and self.follows(tokens[-1] if tokens else last, n):
+                return (*tokens, n)
+        return ()
+
     def encode(self, data: bytes) -> list[int]:
-        """Tokens of one piece, from left to right in one pass."""
+        """Tokens of one piece, from left to right in one pass. An arc is made when it is needed for the second time."""
         out: list[int] = []
-        at, arcs = 0, self.arcs
-        for byte in data:
-            step = arcs.get(at << 8 | byte)
+        at, arcs, size = 0, self.arcs, len(data)
+        for i, byte in enumerate(data):
+            key = at << 8 | byte
+            step = arcs.get(key)
             if step is None:
+                if key not in self.once and size - i <= SHORT:
+                    self.once.add(key)
+                    out += self.rest(at, data[i:])
+                    return out
                 step = self.arc(at, byte)
-                if len(self.guesses) > self.most:  # start afresh from the state that was reached
+                if len(self.guesses) > self.most or len(self.once) > 4 * self.most:  # start afresh from the state that was reached
                     here = self.guesses[step[0]]
                     self.forget()
                     arcs = self.arcs
@@ -284,6 +318,13 @@ def encoded(shared):
     """Rows (doc_id, text) to (doc_id, tokens, n_tokens, n_bytes, restored)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables hold no cycles, and walking them costs more than encoding
+        try:
+            yield from rows(batches)
+        finally:
+            gc.enable()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         decoder = StreamDecoder(encoder.transducer.token)
         for batch in batches:
