@@ -10,6 +10,7 @@ are made when texts need them for the second time; until then, the guesses are f
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .frames import pick
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept with their tokens, states and pairs kept at a time, and tokens handed to the streaming decoder at once.
-CACHE, STATES, CHUNK = 1 << 18, 1 << 17, 4096
+CACHE, STATES, CHUNK = 3 << 17, 1 << 17, 4096
 #: Bytes to the end of a piece up to which an arc that is needed for the first time isn't made.
 SHORT = 64
 
@@ -169,27 +170,32 @@ class Transducer:
 
     def rest(self, at: int, data: bytes) -> tuple[int, ...]:
         """The tokens still to output where only ``data`` follows, from the guesses themselves, without making arcs."""
-        last, guesses = self.guesses[at]
+        last, held = self.guesses[at]
         below, whole, agree = self.child.get, self.whole, self.agree.get
+        # guesses as (tokens before, last token, node), where tokens before are nested pairs
+        guesses = [((None, t), t[-1] if t else last, node) for t, node in held]
         for byte in data:
             found, start = [], below(byte)
-            for tokens, node in guesses:
+            for before, a, node in guesses:
                 longer = below(node << 8 | byte)
                 if longer is not None:
-                    found.append((tokens, longer))
+                    found.append((before, a, longer))
                 n = whole[node]
                 if n >= 0:
-                    a = tokens[-1] if tokens else last
                     good = agree(a << 20 | n)
                     if good is None:
                         good = self.follows(a, n)
                     if good:
-                        found.append(((*tokens, n), start))
+                        found.append(((before, n), n, start))
             guesses = found
-        for tokens, node in guesses:
+        for before, a, node in guesses:
             n = whole[node]
-            if n >= 0 and self.follows(tokens[-1] if tokens else last, n):
-                return (*tokens, n)
+            if n >= 0 and self.follows(a, n):
+                tokens = [n]
+                while before[0] is not None:
+                    before, n = before
+                    tokens.append(n)
+                return (*before[1], *reversed(tokens))
         return ()
 
     def encode(self, data: bytes) -> list[int]:
@@ -217,6 +223,26 @@ class Transducer:
         return out
 
 
+class Pieces(dict):
+    """Tokens of pieces as packed int32, encoded when first asked for. What isn't met again before the next turn of
+    ``most`` pieces is forgotten."""
+
+    def __init__(self, transducer: Transducer, most: int) -> None:
+        super().__init__()
+        self.transducer, self.most, self.older = transducer, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.older.get(piece)
+        if tokens is None:
+            tokens = array("i", self.transducer.encode(piece.encode())).tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = tokens
+        return tokens
+
+
 class Encoder:
     """Texts to tokens: cut into pieces by the pattern, of which frequent ones are remembered."""
 
@@ -225,26 +251,13 @@ class Encoder:
 
         self.pieces = regex.compile(pattern).findall
         self.transducer = Transducer(ranks, parts)
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.most = cache
+        self.known = Pieces(self.transducer, cache)
+
+    def packed(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.pieces(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for piece in self.pieces(text):
-            tokens = cache.get(piece)
-            if tokens is None:
-                tokens = self.older.get(piece)
-                if tokens is None:
-                    tokens = self.transducer.encode(piece.encode())
-                if len(piece) <= 32:
-                    if len(cache) >= self.most:  # what isn't met again before the next turn is forgotten
-                        self.older, self.cache = cache, {}
-                        cache = self.cache
-                    cache[piece] = tokens
-            out += tokens
-        return out
+        return self.packed(text).tolist()
 
 
 #: States of the UTF-8 machine: 0 between characters, 1 to 3 that many plain continuation bytes to come, 4 to 7 after
@@ -297,7 +310,7 @@ class StreamDecoder:
         self.token, self.stream = token, Utf8Stream()
 
     def feed(self, tokens: list[int]) -> str:
-        return self.stream.feed(b"".join([self.token[n] for n in tokens]))
+        return self.stream.feed(b"".join(map(self.token.__getitem__, tokens)))
 
     def close(self) -> str:
         return self.stream.close()
@@ -332,10 +345,10 @@ def encoded(shared):
                 part = batch.slice(at, 256)
                 tokens, sizes, same = [], [], []
                 for text in part.column(1).to_pylist():
-                    row = None if text is None else encoder.encode(text)
-                    tokens.append(None if row is None else np.array(row, np.int32))
+                    row = None if text is None else encoder.packed(text)
+                    tokens.append(row)
                     sizes.append(None if text is None else len(text.encode()))
-                    same.append(None if row is None else decoder.decode(row) == text)
+                    same.append(None if row is None else decoder.decode(row.tolist()) == text)
                 null = pa.array([t is None for t in tokens])
                 lengths = np.array([0 if t is None else len(t) for t in tokens])
                 flat = np.concatenate([np.zeros(0, np.int32), *(t for t in tokens if t is not None)])
