@@ -22,30 +22,34 @@ def number(value: Column) -> Column:
     return F.when(value.rlike(_V4), total)
 
 
-def in_networks(value: Column, networks: list[str]) -> tuple[Column, Column]:
-    """Whether an address lies in any of the networks, and whether it is one at all."""
+def steps(value: Column, name: str) -> list[dict[str, Column]]:
+    """Columns to be made one after the other: ``<name>4``, an address of version 4 as a number, and ``<name>6``, one of
+    version 6 as 32 digits, which sort as the addresses do. Each is null for other texts."""
+    col = lambda part: F.col(f"`{name}{part}`")
+    dotted = F.regexp_extract(value, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    pair = F.concat(F.lower(F.hex(F.floor(col("t") / 65536).cast("long"))), F.lit(":"), F.lower(F.hex(F.pmod(col("t"), F.lit(65536)))))
+    plain = F.when(col("t").isNull(), col("p")).otherwise(F.concat(F.regexp_replace(col("p"), r"\d+\.\d+\.\d+\.\d+$", ""), pair))
+    groups = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
+    missing = F.lit(8) - F.size(col("l")) - F.size(col("r"))
+    fits = (F.size(col("e")) == 2) & (missing >= 1) | (F.size(col("e")) == 1) & (missing == 0)
+    digits = F.array_join(F.transform(F.concat(col("l"), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), col("r")), lambda g: F.lpad(g, 4, "0")), "")
+    return [
+        {f"{name}4": number(value), f"{name}p": F.regexp_replace(F.lower(value), "%.*$", ""), f"{name}t": number(dotted)},
+        {f"{name}e": F.when(F.contains(col("p"), F.lit(":")), F.split(plain, "::", -1))},
+        {f"{name}l": groups(F.get(col("e"), F.lit(0))), f"{name}r": groups(F.get(col("e"), F.lit(1)))},
+        {f"{name}6": F.when(F.coalesce(fits & F.forall(F.concat(col("l"), col("r")), lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.lit(False)), digits)},
+    ]
+
+
+def inside(four: Column, six: Column, networks: list[str]) -> Column:
+    """Whether an address lies in any of the networks."""
     nets = [ipaddress.ip_network(n.strip(), strict=False) for n in networks]
-    n4 = number(value)
     test = F.lit(False)
     for n in ipaddress.collapse_addresses([x for x in nets if x.version == 4]):
-        test = test | n4.between(int(n.network_address), int(n.broadcast_address))
-    six = [(int(n.network_address), int(n.broadcast_address)) for n in nets if n.version == 6]
-
-    @F.pandas_udf("int")
-    def other(values: pd.Series) -> pd.Series:
-        def one(v: str | None) -> int | None:
-            if v is None:
-                return None
-            try:
-                a = ipaddress.ip_address(v)
-            except ValueError:
-                return 0
-            return 2 if a.version == 6 and any(x <= int(a) <= y for x, y in six) else 1
-
-        return values.map(one)
-
-    rare = F.when(n4.isNull() & value.isNotNull(), other(F.when(n4.isNull(), value)))
-    return F.coalesce(test, F.lit(False)) | (F.coalesce(rare, F.lit(0)) == 2), n4.isNotNull() | (F.coalesce(rare, F.lit(0)) > 0)
+        test = test | F.coalesce(four.between(int(n.network_address), int(n.broadcast_address)), F.lit(False))
+    for n in ipaddress.collapse_addresses([x for x in nets if x.version == 6]):
+        test = test | F.coalesce(six.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}"), F.lit(False))
+    return test
 
 
 def properties(values: Column, wanted: list[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import timeformats
+from ..functions import addresses, timeformats
 from ..plans.frame import Effect, Frame, Write, yes
 from ..plans.rules import Rule, RuleError, load_yaml
 from .base import operator, source
@@ -93,7 +93,7 @@ def pre_detector(rule: Rule, frame: Frame, options: dict) -> Effect:
     copied = [f for f in o.get("copy_fields_to_detection_event", ["host.name"]) if frame.look(f) is not None]
     gate = F.lit(True)
     if ips := rule.option("ip_fields"):
-        gate = alerted(frame, ips, options.get("alert_ip_list_path") or {})
+        gate, result.prepare = alerted(frame, ips, options.get("alert_ip_list_path") or {})
     fields |= part(frame, copied)
     outputs = options.get("outputs") or rule.option("outputs") or [{"detections": "pre_detector"}]
     empty = F.array().cast("array<struct<output:string,target:string,doc:string>>")
@@ -102,19 +102,16 @@ def pre_detector(rule: Rule, frame: Frame, options: dict) -> Effect:
     return result
 
 
-def alerted(frame: Frame, fields: list[str], table: dict | str) -> Column:
-    """Whether any of the fields is an address of the list that hasn't expired; the list maps addresses or networks to
-    an expiry as ISO text, or null for none."""
-    from ..functions.addresses import in_networks
-
+def alerted(frame: Frame, fields: list[str], table: dict | str) -> tuple[Column, list[dict[str, Column]]]:
+    """Whether any of the fields is an address of the list that hasn't expired, and the columns that this needs. The list
+    maps addresses or networks to an expiry as ISO text, or null for none."""
     entries = load_yaml(table.removeprefix("file://")) if isinstance(table, str) else table
-    found = F.lit(False)
+    found, steps = F.lit(False), [addresses.steps(text_of(frame, f), f"__ip{i}_") for i, f in enumerate(fields)]
     for network, until in (entries or {}).items():
-        for f in fields:
-            inside, _ = in_networks(text_of(frame, f), [str(network)])
-            alive = F.lit(True) if until is None else F.current_timestamp() < timeformats.iso(F.lit(str(until)), "UTC")
-            found = found | (inside & yes(alive))
-    return found
+        alive = F.lit(True) if until is None else F.current_timestamp() < timeformats.iso(F.lit(str(until)), "UTC")
+        for i in range(len(fields)):
+            found = found | (addresses.inside(F.col(f"__ip{i}_4"), F.col(f"__ip{i}_6"), [str(network)]) & yes(alive))
+    return found, [{k: v for d in level for k, v in d.items()} for level in zip(*steps)]
 
 
 def pseudonym(value: Column, salt: str) -> Column:

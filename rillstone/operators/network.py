@@ -44,10 +44,10 @@ def network_comparison(rule: Rule, frame: Frame, options: dict) -> Effect:
             parsed = [ipaddress.ip_network(x.strip(), strict=False) for x in nets]
             tests[name] = any_of([(int(n.network_address), int(n.broadcast_address)) for n in ipaddress.collapse_addresses([n for n in parsed if n.version == 4])])
     else:
-        text = _address(value, kind) if kind is not None else value
-        found = {name: addresses.in_networks(text, nets) for name, nets in lists.items()}
-        tests = {name: t for name, (t, _) in found.items()}
-        valid = next(iter(found.values()))[1]
+        result.prepare = addresses.steps(_address(value, kind) if kind is not None else value, "__ip")
+        four, six = F.col("__ip4"), F.col("__ip6")
+        tests = {name: addresses.inside(four, six, nets) for name, nets in lists.items()}
+        valid = four.isNotNull() | six.isNotNull()
     result.writes = report(rule, frame, tests)
     for w in result.writes:
         w.when = w.when & yes(valid)
@@ -76,10 +76,9 @@ def domain_label_extractor(rule: Rule, frame: Frame, options: dict) -> Effect:
     reject(rule, "source_fields", "target_field")
     path = rule.sources[0]
     value = source(frame, path).cast("string")
-    name = domains.host(value)
-    parts = domains.labels(name, domains.read_suffixes(options.get("suffix_list")))
+    name, parts = F.col("__host"), F.col("__labels")
     address = addresses.number(name).isNotNull() | name.rlike(r"^\[?[0-9a-f:]*:[0-9a-f:.]*\]?$")
-    result = effect(rule, frame, [], sources=[path])
+    result = effect(rule, frame, [], sources=[path], prepare=[{"__host": domains.host(value)}, {"__labels": domains.labels(name, domains.read_suffixes(options.get("suffix_list")))}])
     for key in ("registered_domain", "top_level_domain", "subdomain"):
         result.writes.append(Write(f"{rule.target}.{key}", F.when(~yes(address), parts[key]), rule.mode))
     leaf = path.replace(".", "_")

@@ -49,6 +49,7 @@ class Effect:
     delete: bool = False
     conflict_tags: list[str] = field(default_factory=list)
     together: Column | None = None  # writes happen only where this holds
+    prepare: list[dict[str, Column]] = field(default_factory=list)  # columns for the others to use, projected one after the other
 
 
 def yes(condition: Column) -> Column:
@@ -65,6 +66,7 @@ class Frame:
 
     def __init__(self, df: DataFrame, kinds: dict[str, T.DataType]) -> None:
         self.df, self.kinds = df, kinds
+        self._shape: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame) -> Frame:
@@ -145,6 +147,12 @@ class Frame:
 
     def apply(self, effect: Effect, match: Column) -> Frame:
         """One projection: writes, removals, tags, errors and side outputs of a rule where it matches."""
+        if effect.prepare:
+            df = self.df
+            for columns in effect.prepare:
+                df = df.select("*", *(c.alias(n) for n, c in columns.items()))
+            done = Frame(df, self.kinds).apply(replace(effect, prepare=[]), match)
+            return Frame(done.df.drop(*(n for columns in effect.prepare for n in columns)), done.kinds)
         go = match & quoted(ALIVE)
         failed = F.lit(False)
         for condition, _ in effect.fail:
@@ -214,7 +222,10 @@ class Frame:
         changed[name] = self._either(able & ~taken, value, now(name), name) if known else F.when(able & ~taken, value)
 
     def _type(self, column: Column) -> T.DataType:
-        return self.df.select(column.alias("x")).schema[0].dataType
+        """Type of an expression, found on an empty table of the same columns, whatever the plan so far."""
+        if self._shape is None:
+            self._shape = self.df.sparkSession.createDataFrame([], self.df.schema)
+        return self._shape.select(column.alias("x")).schema[0].dataType
 
     def _either(self, condition: Column, new: Column, old: Column, name: str) -> Column:
         """New or old; where their types differ both become text, a list stays a list."""
