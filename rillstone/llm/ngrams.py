@@ -258,7 +258,8 @@ def scored(shared):
     """Rows (doc_id, text) to (doc_id, n_bytes, log_prob, bits_per_byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Automaton.__new__(Automaton)
+        model.__dict__.update(shared.value)
         for batch in batches:
             for a, b, offsets, data in blocks(batch.column(1), 8 << 20):
                 total, size = model.score(data, offsets), np.diff(offsets)
@@ -276,6 +277,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE, id_colu
     rows count as often as they occur and give repeated results; null doc_ids stay null. An empty table gives no rows.
     """
     model = train(docs, order, share, text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most order / share arcs
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of at most order / share arcs
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(scored(shared), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
