@@ -1,5 +1,5 @@
 """Pipelines on streams: every micro-batch takes the way of a static table and is routed to its outputs."""
 
-from .router import Outputs, run, stream_metrics
+from .router import Outputs, Reloading, observed, run, stream_metrics
 
-__all__ = ["Outputs", "run", "stream_metrics"]
+__all__ = ["Outputs", "Reloading", "observed", "run", "stream_metrics"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..plans.pipeline import Pipeline, Results
+from ..plans.pipeline import Pipeline, Results, read_config
 
 Sink = Callable[[DataFrame], object]
 
@@ -37,14 +38,39 @@ class Outputs:
             results.whole.unpersist()
 
 
-def run(pipeline: Pipeline, events: DataFrame, outputs: Outputs, checkpoint: str | None = None, available_now: bool = False, interval: str | None = None) -> StreamingQuery | None:
-    """Stores the results of a static table, or starts a query that stores those of each micro-batch, at least once each."""
+class Reloading:
+    """A pipeline that is read again when its configuration gets another ``version``, looked at every so many seconds.
+
+    Rules and lookup files are read anew with it. A new configuration that can't be compiled is left aside and the
+    old one stays."""
+
+    def __init__(self, *paths: str, every: float = 300.0) -> None:
+        self.paths, self.every, self.problem = paths, every, ""
+        self.pipeline, self.seen = Pipeline.read(*paths), time.monotonic()
+
+    def __call__(self) -> Pipeline:
+        if time.monotonic() - self.seen >= self.every:
+            self.seen = time.monotonic()
+            try:
+                config = read_config(*self.paths)
+                if config.get("version") != self.pipeline.config.get("version"):
+                    self.pipeline, self.problem = Pipeline.from_config(config), ""
+            except (ValueError, OSError, KeyError, TypeError) as e:
+                self.problem = str(e)
+        return self.pipeline
+
+
+def run(pipeline: Pipeline | Callable[[], Pipeline], events: DataFrame, outputs: Outputs, checkpoint: str | None = None, available_now: bool = False, interval: str | None = None) -> StreamingQuery | None:
+    """Stores the results of a static table, or starts a query that stores those of each micro-batch, at least once each.
+
+    A function that gives the pipeline is asked for each batch."""
+    now = (lambda: pipeline) if isinstance(pipeline, Pipeline) else pipeline
     if not events.isStreaming:
-        outputs.store(pipeline.apply(events))
+        outputs.store(now().apply(events))
         return None
 
     def batch(df: DataFrame, number: int) -> None:
-        outputs.store(pipeline.apply(df))
+        outputs.store(now().apply(df))
 
     writer = events.writeStream.foreachBatch(batch)
     if checkpoint:
@@ -78,7 +104,7 @@ def stream_metrics(spark, seen: Callable[[dict], None]) -> StreamingQueryListene
     return listener
 
 
-def observed(results: Results, name: str) -> Results:
-    """The results with counts of events, failures and warnings, to be had from an Observation of that name."""
+def observed(results: Results, name: str | Observation) -> Results:
+    """The results with counts of events, failures and warnings, to be had from the Observation or, by name, from the progress of a stream."""
     counts = (F.count(F.lit(1)).alias("events"), F.count_if(F.size("__errors") > 0).alias("failed"), F.count_if(F.size("__warnings") > 0).alias("warned"), F.sum(F.size("__extra")).alias("extras"))
     return Results(results.whole.observe(name, *counts))

@@ -13,7 +13,7 @@ from rillstone.plans.pipeline import Pipeline, Preprocessing, read_config, verif
 from rillstone.plans.rules import RuleError, rule_dicts
 from rillstone.sources import events, generator, sinks
 from rillstone.sources.http import Landing
-from rillstone.streaming import Outputs, run
+from rillstone.streaming import Outputs, Reloading, observed, run
 from rillstone.testing import differences, dry_run, run_rule_tests
 
 RULES = {"filter": "a: x", "generic_adder": {"add": {"b": "y"}}}
@@ -122,3 +122,24 @@ def test_sinks_and_generator(spark, tmp_path):
 
 def test_stage_keeps_first_of_equal_rules():
     assert len(Stage.of("generic_adder", [RULES, RULES]).rules) == 1
+
+
+def test_reloading_and_metrics(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    path = tmp_path / "c.yml"
+    config = "version: {}\npipeline:\n  - adder:\n      type: generic_adder\n      rules: [{{filter: a, generic_adder: {{add: {{b: {}}}}}}}]\n"
+    path.write_text(config.format(1, "x"))
+    source = Reloading(str(path), every=0)
+    seen = []
+    store = Outputs(default=[lambda df: seen.append([r.b for r in df.collect()])])
+    run(source, events.in_memory(spark, [{"a": 1}]), store)
+    path.write_text(config.format(2, "y"))
+    run(source, events.in_memory(spark, [{"a": 1}]), store)
+    path.write_text("version: 3\npipeline: [{x: {type: nothing}}]\n")
+    run(source, events.in_memory(spark, [{"a": 1}]), store)
+    assert seen == [["x"], ["y"], ["y"]] and "nothing" in source.problem
+    counts = Observation("counts")
+    found = source().apply(events.in_memory(spark, [{"a": 1}, {"a": 2}]))
+    observed(found, counts).whole.collect()
+    assert counts.get["events"] == 2 and counts.get["failed"] == 0
