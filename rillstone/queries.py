@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import Stage
+from .operators.lookups import keyed_list_comparison
 from .plans import filters
 from .plans.frame import Frame
 from .plans.pipeline import Pipeline
@@ -141,6 +142,30 @@ staged("amides", "part", ["p_partkey", "p_type"], [("amides", {"filter": "p_type
        "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'economy') THEN 0.881::DOUBLE ELSE 0.119::DOUBLE END AS confidence FROM part", ["p_partkey", "amides.confidence AS confidence"],
        model={"misuse": {"idf": {"economy": 2.0}, "weights": {"economy": 4.0}, "bias": -2.0, "threshold": 0.5}})
 
+staged("decoder_logfmt", "orders", ["o_orderkey"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "logfmt"}})],
+       "SELECT o_orderkey, o_orderstatus AS status, 'a ' || o_orderpriority AS priority FROM orders", ["o_orderkey", "d['status'] AS status", "d['priority'] AS priority"], before={"line": "concat('status=', o_orderstatus, ' priority=\"a ', o_orderpriority, '\" done')"})
+staged("decoder_syslog", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "syslog_rfc3164"}})],
+       "SELECT event_id, '13' AS priority, event_type AS ident, user_id::VARCHAR AS pid, 'value ' || event_id::VARCHAR AS message FROM events", ["event_id", "d.priority AS priority", "d.ident AS ident", "d.pid AS pid", "d.message AS message"],
+       before={"line": "concat('<13>Oct 11 22:14:15 box ', event_type, '[', user_id, ']: value ', event_id)"})
+staged("decoder_cri", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "cri"}})],
+       "SELECT event_id, 'stdout' AS stream, event_type || ' x' AS content FROM events", ["event_id", "d.stream AS stream", "d.content AS content"], before={"line": "concat('2020-01-01T00:00:00Z stdout F ', event_type, ' x')"})
+staged("decoder_failure_tags", "events", ["event_id"], [("decoder", {"filter": "coded", "decoder": {"mapping": {"coded": "plain"}, "source_format": "base64"}})],
+       "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS plain, CASE WHEN event_type = 'error' THEN '_decoder_failure' ELSE '' END AS tags FROM events",
+       ["event_id", "plain", "array_join(coalesce(tags, array()), ',') AS tags"], before={"coded": "if(event_type = 'error', '?', base64(event_type))"})
+staged("timestamper_unix", "events", ["event_id"], [("timestamper", {"filter": "*", "timestamper": {"source_fields": ["raw"], "source_format": "UNIX", "target_field": "at"}})],
+       "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events", ["event_id", "at"], before={"raw": "cast(unix_seconds(cast(ts as timestamp)) as string)"})
+staged("rules_in_tree_order", "events", ["event_id", "event_type", "user_id"], [("generic_adder", [{"filter": "user_id: [0 TO 20]", "generic_adder": {"add": {"first": "by user"}}}, {"filter": "event_type: (error OR click)", "generic_adder": {"add": {"first": "by type"}}}])],
+       "SELECT event_id, CASE WHEN user_id BETWEEN 0 AND 20 THEN 'by user' WHEN event_type IN ('error', 'click') THEN 'by type' END AS first, CASE WHEN user_id BETWEEN 0 AND 20 AND event_type IN ('error', 'click') THEN '_generic_adder_failure' ELSE '' END AS tags FROM events",
+       ["event_id", "first", "array_join(coalesce(tags, array()), ',') AS tags"])
+staged("apply_multiple_times", "events", ["event_id", "event_type"], [("generic_adder", [{"filter": "event_type: error", "generic_adder": {"add": {"a": "1"}}}, {"filter": "a", "generic_adder": {"add": {"b": "2"}}}, {"filter": "b", "generic_adder": {"add": {"c": "3"}}}])],
+       "SELECT event_id, CASE WHEN event_type = 'error' THEN '123' ELSE '' END AS abc FROM events", ["event_id", "concat_ws('', a, b, c) AS abc"], apply_multiple_times=True)
+staged("failed_events", "events", ["event_id", "event_type", "user_id"], [("concatenator", {"filter": "event_type: error", "concatenator": {"source_fields": ["event_type", "user_id"], "target_field": "x"}})],
+       "SELECT event_id, 'user_id isn''t text' AS errors FROM events WHERE event_type = 'error'", ["cast(get_json_object(event, '$.event_id') as bigint) AS event_id", "errors"], which="failed")
+
+
+add("keyed_list_comparison", "SELECT c_custkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 50 = c_custkey % 50) AS in_list FROM customer",
+    lambda spark, d: keyed_list_comparison(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("part")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 50).alias("part")), "nation", "part").select("c_custkey", "in_list"))
+
 EIGHT = [
     ("labeler", {"filter": "event_type: error", "labeler": {"label": {"action": ["failed"]}}}),
     ("dissector", {"filter": "props", "dissector": {"mapping": {"props": '{"%{key}": %{number|int}}'}}}),
