@@ -1,28 +1,28 @@
 """Operator 3: language-model scores by a weighted backoff automaton.
 
 The model is an interpolated Witten-Bell n-gram model over bytes, counted over the whole corpus. Its contexts are
-the states of an automaton: an arc for each n-gram leads to the longest state that ends the context and the byte,
-and a failure arc with the backoff weight leads to the next shorter context. A text is scored by one traversal from
-left to right that carries the state and adds up the log-probabilities. Many texts are walked side by side; a long
-one is cut into stretches, each of which first walks the bytes just before it, after which its state is exact, because
-a state depends on no more than the last ORDER - 1 bytes.
+the states of an automaton, with an arc for each n-gram and a failure arc with the backoff weight to the next shorter
+context. The automaton grows with the corpus, so it is never in one place: its arcs are rows, and failure arcs are followed
+once for each different arc, in joins from the shortest contexts to the longest. Texts are dealt to blocks of a bounded
+size, and each block is handed just the arcs that its texts take; as a state depends on no more than the last ORDER - 1
+bytes, all steps of a block are looked up side by side.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import pick, settle
-from .textscan import blocks
+from .textscan import blocks, raw
 
-#: Bytes in the longest n-gram; n-grams that make up less than this share of all of their order are left to the
-#: backoff, which bounds the automaton to ORDER / SHARE arcs however large the corpus is.
-ORDER, SHARE = 5, 5e-7
-#: Bytes in a stretch.
-STRETCH = 512
+#: Bytes in the longest n-gram, and share of all of their order that n-grams must make up not to be left to the backoff.
+ORDER, SHARE = 5, 0.0
+#: Bytes of text in a block; a longer text is the end of its block. Steps looked up at once.
+BLOCK, STEPS = 32 << 20, 1 << 20
 START, END = 0, 1  # symbols that stand for the borders of a text; a byte b is the symbol b + 2
 SYMBOLS = 258
 BITS = 9
@@ -38,245 +38,197 @@ def symbols(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
     return out, begin
 
 
+def codes(s: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol from the first ``order`` on, and whether it ends in a text and not in start marks."""
+    wide = s.astype(np.uint64)
+    code = wide[order - 1 :].copy()
+    for k in range(1, order):
+        code |= wide[order - 1 - k : len(wide) - k] << np.uint64(BITS * k)
+    valid = np.ones(len(code), bool)
+    for k in range(order - 1):
+        at = begin[1:-1] + k - (order - 1)
+        valid[at[at >= 0]] = False
+    return code, valid
+
+
+def dealt(size: int):
+    """Rows (doc_id, text) to (block, doc_id, text); a partition's blocks follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            off, _ = raw(batch.column(1))
+            block = base + (done + off[:-1] - off[0]) // size
+            done += int(off[-1] - off[0])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
+
+    return run
+
+
+def runs(*columns: pa.Array) -> list[tuple[int, int]]:
+    """First row and row after the last of each run of equal values."""
+    n = len(columns[0])
+    changes = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        changes |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
+    cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def counted(order: int):
-    """Rows (text) to counts (gram, n) of the longest n-grams, summed within the partition as memory allows."""
+    """Rows (block, text) to counts (block, gram, n) of the longest n-grams, summed within the block as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        block, keys, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def emitted():
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys.view(np.int64)), pa.array(counts)], ["block", "gram", "n"])
 
         for batch in batches:
-            for _, _, offsets, data in blocks(batch.column(0), 4 << 20):
-                s, begin = symbols(data, offsets, order)
-                wide = s.astype(np.uint64)
-                code = wide[order - 1 :].copy()
-                for k in range(1, order):
-                    code |= wide[order - 1 - k : len(wide) - k] << np.uint64(BITS * k)
-                valid = np.ones(len(code), bool)
-                for k in range(order - 1):  # n-grams that end in a text's start marks
-                    at = begin[1:-1] + k - (order - 1)
-                    valid[at[at >= 0]] = False
-                new, n = np.unique(code[valid], return_counts=True)
-                both = np.concatenate((keys, new))
-                keys, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-                if len(keys) > 1 << 21:
+            for a, b in runs(batch.column(0)):
+                if (now := batch.column(0)[a].as_py()) != block or len(keys) > 1 << 21:
                     yield emitted()
-                    keys, counts = keys[:0], counts[:0]
+                    block, keys, counts = now, keys[:0], counts[:0]
+                for _, _, offsets, data in blocks(batch.column(1).slice(a, b - a), 4 << 20):
+                    code, valid = codes(*symbols(data, offsets, order), order)
+                    new, n = np.unique(code[valid], return_counts=True)
+                    both = np.concatenate((keys, new))
+                    keys, at = np.unique(both, return_inverse=True)
+                    counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+                    if len(keys) > 1 << 21:
+                        yield emitted()
+                        keys, counts = keys[:0], counts[:0]
         yield emitted()
 
     return run
 
 
-class Automaton:
-    """States, arcs and failure arcs in arrays; ``arcs`` is an open-addressing table from (state, symbol)."""
+class Arcs:
+    """The arcs that a block takes and their weights, in an open-addressing table."""
 
-    def __init__(self, order: int, table: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """``table``: for each length k the kept grams and their counts; ``contexts``: for each length k of a context
-        the contexts, their total counts and numbers of different continuations."""
+    def __init__(self, order: int, grams: np.ndarray, weights: np.ndarray) -> None:
         self.order = order
-        low = np.uint64((1 << BITS) - 1)
-        grams, n = table[1]
-        flat = np.ones(SYMBOLS)
-        flat[grams.astype(np.int64)] += n
-        flat[START] = 0.0
-        flat /= flat.sum()
-        prob = {1: (np.arange(SYMBOLS, dtype=np.uint64), flat)}
-        states, back = {0: np.zeros(1, np.uint64)}, {0: np.zeros(1)}
-        for k in range(2, order + 1):
-            grams, n = table[k]
-            own, total, kinds = contexts[k - 1]
-            h = grams >> np.uint64(BITS)
-            at = np.searchsorted(own, h)
-            lower = self._lower(prob, states, back, grams, k)
-            p = (n + kinds[at] * lower) / (total[at] + kinds[at])
-            used, of = np.unique(h, return_inverse=True)
-            spent, shorter = np.bincount(of, p), np.bincount(of, lower)
-            prob[k] = (grams, p)
-            states[k - 1] = used
-            back[k - 1] = np.maximum(1 - spent, 1e-12) / np.maximum(1 - shorter, 1e-12)
-        self._build(prob, states, back, low)
-
-    @staticmethod
-    def _lower(prob: dict, states: dict, back: dict, grams: np.ndarray, k: int) -> np.ndarray:
-        """Probability of each gram of length k without its first symbol, backing off where it isn't kept."""
-        result, weight = np.zeros(len(grams)), np.ones(len(grams))
-        left = np.arange(len(grams))
-        for m in range(k - 1, 0, -1):
-            mask = np.uint64((1 << (BITS * m)) - 1)
-            want = grams[left] & mask
-            keys, p = prob[m]
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            result[left[hit]] = weight[left[hit]] * p[at[hit]]
-            left = left[~hit]
-            if not len(left):
-                break
-            h = (grams[left] & mask) >> np.uint64(BITS)
-            own = states[m - 1]
-            at = np.minimum(np.searchsorted(own, h), len(own) - 1) if len(own) else np.zeros(len(h), np.int64)
-            weight[left] *= np.where(own[at] == h, back[m - 1][at], 1.0) if len(own) else 1.0
-        return result
-
-    def _build(self, prob: dict, states: dict, back: dict, low: np.uint64) -> None:
-        order = self.order
-        base = np.cumsum([0] + [len(states[k]) for k in range(order)])
-        self.count = int(base[-1])
-
-        def longest(grams: np.ndarray, most: int) -> np.ndarray:
-            """Number of the longest state of at most ``most`` symbols that ends each gram."""
-            out, left = np.zeros(len(grams), np.int64), np.arange(len(grams))
-            for m in range(most, 0, -1):
-                own = states[m]
-                if not len(own):
-                    continue
-                want = grams[left] & np.uint64((1 << (BITS * m)) - 1)
-                at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-                hit = own[at] == want
-                out[left[hit]] = base[m] + at[hit]
-                left = left[~hit]
-            return out
-
-        self.fail = np.zeros(self.count, np.int32)
-        self.drop = np.zeros(self.count, np.float32)
-        keys, weights, targets = [], [], []
-        for k in range(1, order):
-            self.fail[base[k] : base[k + 1]] = longest(states[k], k - 1)
-            self.drop[base[k] : base[k + 1]] = np.log(back[k])
-        for k in range(1, order + 1):
-            grams, p = prob[k]
-            source = base[k - 1] + np.searchsorted(states[k - 1], grams >> np.uint64(BITS))
-            keys.append(source.astype(np.uint64) << np.uint64(BITS) | grams & low)
-            with np.errstate(divide="ignore"):
-                weights.append(np.log(p).astype(np.float32))
-            targets.append(longest(grams, min(k, order - 1)).astype(np.int32))
-        keys, weights, targets = np.concatenate(keys), np.concatenate(weights), np.concatenate(targets)
-        # from the root every symbol has an arc, so failure always ends there
-        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        grams, first = np.unique(grams, return_index=True)
+        weights = weights[first]
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(grams) + 1))))
         size = 1 << self.bits
-        self.keys = np.full(size, 2**64 - 1, np.uint64)
-        self.weights, self.targets = np.zeros(size, np.float32), np.zeros(size, np.int32)
-        left, slot = np.arange(len(keys)), self.slot(keys)
+        self.keys, self.weights = np.full(size, 2**64 - 1, np.uint64), np.zeros(size)
+        left, slot = np.arange(len(grams)), self.slot(grams)
         while len(left):
             free = self.keys[slot] == np.uint64(2**64 - 1)
             taken, first = np.unique(slot[free], return_index=True)
             winner = np.flatnonzero(free)[first]
-            self.keys[taken], self.weights[taken], self.targets[taken] = keys[left[winner]], weights[left[winner]], targets[left[winner]]
+            self.keys[taken], self.weights[taken] = grams[left[winner]], weights[left[winner]]
             rest = np.ones(len(left), bool)
             rest[winner] = False
             left, slot = left[rest], (slot[rest] + 1) & (size - 1)
-        start = np.zeros(1, np.uint64)  # order - 1 start marks: the gram 0, of the greatest length that is a state
-        self.begin = int(next((base[m] for m in range(order - 1, 0, -1) if len(states[m]) and states[m][0] == start[0]), 0))
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next state and log-probability for each pair, following failure arcs where there is no arc."""
-        weight = np.zeros(len(state), np.float32)
-        target = np.empty(len(state), np.int32)
-        mask = (1 << self.bits) - 1
-        key = state.astype(np.uint64) << np.uint64(BITS) | symbol
-        slot = self.slot(key)
-        found = self.keys[slot]
-        hit = found == key
-        weight[:], target[:] = self.weights[slot], self.targets[slot]
-        left = np.flatnonzero(~hit)
-        weight[left] = 0
-        now, want, slot = state[left], symbol[left], slot[left]
+    def look(self, grams: np.ndarray) -> np.ndarray:
+        """Weight of each arc; every one must be there."""
+        slot = self.slot(grams)
+        out = self.weights[slot]
+        left = np.flatnonzero(self.keys[slot] != grams)
+        slot = slot[left]
         while len(left):
-            key = now.astype(np.uint64) << np.uint64(BITS) | want
-            found = self.keys[slot]
-            hit, empty = found == key, found == np.uint64(2**64 - 1)
-            done = left[hit]
-            weight[done] += self.weights[slot[hit]]
-            target[done] = self.targets[slot[hit]]
-            weight[left[empty]] += self.drop[now[empty]]
-            now = np.where(empty, self.fail[now], now)
-            slot = np.where(empty, self.slot(now.astype(np.uint64) << np.uint64(BITS) | want), (slot + 1) & mask)
-            go = ~hit
-            left, now, want, slot = left[go], now[go], want[go], slot[go]
-        return target, weight
-
-    def score(self, data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+            if (self.keys[slot] == np.uint64(2**64 - 1)).any():
+                raise KeyError("an n-gram of a text wasn't counted")
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            out[left] = self.weights[slot]
+            go = self.keys[slot] != grams[left]
+            left, slot = left[go], slot[go]
+        return out
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each text, its end included."""
-        warm = self.order - 1
         s, begin = symbols(data, offsets, self.order)
-        wide = s.astype(np.uint64)
-        size = np.diff(begin) - warm
-        of_row = -(-size // stretch)
-        lane = np.concatenate(([0], np.cumsum(of_row)))
-        row = np.repeat(np.arange(len(size)), of_row)
-        part = np.arange(lane[-1]) - lane[row]
-        start = begin[row] + warm + part * stretch
-        length = np.minimum(stretch, begin[row + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        start, length, later = start[order], length[order], part[order] > 0
-        state = np.where(later, 0, self.begin).astype(np.int32)
-        if later.any():  # the warm-up begins in the empty context
-            for t in range(-warm, 0):
-                state[later] = self.step(state[later], wide[start[later] + t])[0]
-        total = np.zeros(len(start))
-        active = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
-        for t, n in enumerate(active):
-            state[:n], weight = self.step(state[:n], wide[start[:n] + t])
-            total[:n] += weight
-        back = np.empty_like(total)
-        back[order] = total
-        return np.add.reduceat(back, lane[:-1]) if len(size) else np.zeros(0)
-
-
-def train(docs: DataFrame, order: int = ORDER, share: float = SHARE, text_column: str = "text") -> Automaton:
-    """Counts n-grams over all texts that aren't null and builds the automaton.
-
-    Counts are exact and are summed in Spark. An n-gram is kept if it makes up at least ``share`` of its order, so at
-    most 1 / share of each order reach the driver. Shorter n-grams and contexts are counted from the longest.
+        inside = np.ones(len(s), bool)
+        for k in range(self.order - 1):
+            inside[begin[:-1] + k] = False
+        ends, weight = np.flatnonzero(inside), np.empty(int(inside.sum()))
+        for a in range(0, len(ends), STEPS):
+            at = ends[a : a + STEPS]
+            code = s[at].astype(np.uint64)
+            for k in range(1, self.order):
+                code |= s[at - k].astype(np.uint64) << np.uint64(BITS * k)
+            weight[a : a + STEPS] = self.look(code)
+        first = np.concatenate(([0], np.cumsum(np.diff(offsets) + 1)))
+        return np.add.reduceat(weight, first[:-1])
+
+
+def arc_weights(counts: DataFrame, order: int, share: float) -> DataFrame:
+    """(gram, weight): log-probability of the last symbol of every longest n-gram after the ones before it.
+
+    Counts (gram, n) are exact and summed in Spark; shorter n-grams and contexts are counted from the longest. Nothing
+    but the counts of single symbols reaches the driver. With a ``share`` above 0, n-grams that make up less of their
+    order take the failure arc of their context.
     """
-    rows = pick(docs, text=text_column).where("text is not null")
-    longest = settle(rows.mapInArrow(counted(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    longest = settle(counts.groupBy("gram").agg(F.sum("n").alias("n")))
     cut = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
     sizes = F.array(*(F.struct(F.lit(k).alias("k"), cut(k).alias("gram")) for k in range(1, order + 1)))
     grams = settle(longest.select("n", F.explode(sizes).alias("x")).groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")))
-    total = {r["k"]: r["n"] for r in grams.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(0.0)
-    for k, n in total.items():
-        least = F.when(F.col("k") == k, F.lit(share * n)).otherwise(least)
-    few = grams.withColumn("h", F.shiftright("gram", BITS)).withColumn("kept", F.col("n") >= least)
-    whole = few.groupBy("k", "h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.bool_or("kept").alias("kept")).where("kept")
-    kept, heads = few.where("kept").select("k", "gram", "n").toPandas(), whole.select("k", "h", "total", "kinds").toPandas()
-
-    def own(frame, key, k):
-        part = frame[frame["k"] == k].sort_values(key)
-        return tuple(part[c].to_numpy().astype(np.uint64 if c == key else np.int64) for c in part.columns[1:])
-
-    return Automaton(order, {k: own(kept, "gram", k) for k in range(1, order + 1)}, {k - 1: own(heads, "h", k) for k in range(2, order + 1)})
-
-
-def scored(shared):
-    """Rows (doc_id, text) to (doc_id, n_bytes, log_prob, bits_per_byte)."""
+    single = {r["gram"]: r["n"] for r in grams.where("k = 1").collect()}
+    least = share * sum(single.values())
+    flat = {g: 1 + (n if n >= least else 0) for g, n in single.items()}
+    whole = sum(flat.values()) + SYMBOLS - 1 - len(flat)
+    prob = counts.sparkSession.createDataFrame([(g, x / whole) for g, x in flat.items()], "gram long, p double")
+    same = Window.partitionBy("h")
+    for k in range(2, order + 1):
+        level = grams.where(F.col("k") == k).select("gram", "n", cut(k - 1).alias("low")).join(prob.select(F.col("gram").alias("low"), F.col("p").alias("lower")), "low")
+        level = level.select("gram", "n", "lower", F.shiftright("gram", BITS).alias("h"))
+        level = level.withColumns({"total": F.sum("n").over(same), "kinds": F.count(F.lit(1)).over(same)})
+        level = level.withColumn("p", (F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds")))
+        if share > 0:
+            kept = F.col("n") >= F.lit(least)
+            level = level.withColumns({"spent": F.sum(F.when(kept, F.col("p"))).over(same), "shorter": F.sum(F.when(kept, F.col("lower"))).over(same)})
+            back = F.greatest(1 - F.col("spent"), F.lit(1e-12)) / F.greatest(1 - F.col("shorter"), F.lit(1e-12))
+            level = level.withColumn("p", F.when(kept, F.col("p")).otherwise(F.coalesce(back, F.lit(1.0)) * F.col("lower")))
+        prob = level.select("gram", "p")
+    return prob.select("gram", F.log("p").alias("weight"))
+
+
+def scored(order: int):
+    """Rows (block, kind, gram, weight, doc_id, text), sorted, a block's arcs (kind 0) before its texts (kind 1), to (doc_id, n_bytes, log_prob, bits_per_byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Automaton.__new__(Automaton)
-        model.__dict__.update(shared.value)
+        block, held, arcs = None, [], None
         for batch in batches:
-            for a, b, offsets, data in blocks(batch.column(1), 8 << 20):
-                total, size = model.score(data, offsets), np.diff(offsets)
-                null = np.array(batch.column(1).slice(a, b - a).is_null())
-                out = [pa.array(total, mask=null), pa.array(-total / np.log(2) / (size + 1), mask=null)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *out], ["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
+            for a, b in runs(batch.column(0), batch.column(1)):
+                part = batch.slice(a, b - a)
+                if (now := part.column(0)[0].as_py()) != block:
+                    block, held, arcs = now, [], None
+                if part.column(1)[0].as_py() == 0:
+                    held.append((part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy()))
+                    continue
+                if arcs is None:
+                    grams, weights = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+                    arcs, held = Arcs(order, grams, weights), []
+                texts = part.column(5)
+                for i, j, offsets, data in blocks(texts, 4 << 20):
+                    null = np.array(texts.slice(i, j - i).is_null())
+                    total, size = np.zeros(j - i), np.diff(offsets)
+                    if not null.all():
+                        first = np.concatenate(([0], np.cumsum(size[~null])))  # a null text has no bytes, so the others' stay together
+                        total[~null] = arcs.score(data, first)
+                    out = [pa.array(total, mask=null), pa.array(-total / np.log(2) / (size + 1), mask=null)]
+                    yield pa.RecordBatch.from_arrays([part.column(4).slice(i, j - i), pa.array(size), *out], ["doc_id", "n_bytes", "log_prob", "bits_per_byte"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, log_prob, bits_per_byte) of every row under the model of the whole table.
 
     A null text has 0 bytes and null scores, and doesn't count for the model; an empty one is scored for its end. Repeated
     rows count as often as they occur and give repeated results; null doc_ids stay null. An empty table gives no rows.
     """
-    model = train(docs, order, share, text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of at most order / share arcs
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(scored(shared), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
+    texts = settle(rows.mapInArrow(dealt(block), "block long, doc_id long, text string"))  # block numbers follow the partitions, so they are kept
+    counts = settle(texts.where("text is not null").select("block", "text").mapInArrow(counted(order), "block long, gram long, n long"))
+    model = counts.select("block", "gram").join(arc_weights(counts.select("gram", "n"), order, share), "gram")
+    arcs = model.select("block", F.lit(0).alias("kind"), "gram", "weight", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    walks = texts.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("weight"), "doc_id", "text")
+    both = arcs.unionByName(walks).repartition("block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(scored(order), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
