@@ -14,10 +14,12 @@ from .frames import pick, settle
 TRUSTED, BLOCKED = r"\.(edu|gov|org)$", r"(casino|pills|spam|adult|bets|ads-)"
 #: First labels under which a site serves the same content; such a host and its site are linked both ways.
 ALIASES = ("www", "m", "blog")
-#: Rounds of propagation, the share in percent that is passed on, all mass of a kind, rounds between checkpoints.
+#: Rounds in SQL, the share in percent that is passed on, all mass of a kind, rounds between checkpoints.
 ROUNDS, DAMPING, MASS, SPAN = 10, 85, 10**15, 5
-#: A host is rejected if its distrust is at least this many millionths of its kind's mass and more than its trust.
+#: A host is rejected if its distrust is at least this many millionths of what one blocked host starts with and more than its trust.
 DISTRUST = 100
+#: Masses have settled when all of a kind's together change by no more than so many millionths of what one seed starts with, over SPAN rounds.
+STILL = 1
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//(?:[^/?#@"'\s>]*@)?([^/:?#"'\s>]+)"""
 
@@ -37,32 +39,46 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after ``rounds`` rounds over edges (kind, src, dst, w) from seeds (kind, host).
+def spread(edges: DataFrame, seeds: DataFrame, count: dict[int, int], rounds: int | None = None) -> DataFrame:
+    """(kind, host, mass) over edges (kind, src, dst, w) from ``count`` seeds (kind, host) of each kind, after ``rounds``
+    rounds, else when masses have settled.
 
-    What reaches a host without edges stays there for that round and isn't passed on.
+    What reaches a host without edges stays there for that round and isn't passed on. Changes fall with every round, but for
+    the rounding of integers; where that alone is left, masses have settled too.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     arcs = settle(edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", "w", "all"))
-    count = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    start = settle(seeds.join(count, "kind").select("kind", "host", F.expr(f"{MASS} div n").alias("mass")))
+    share = F.lit(0).cast("long")
+    for kind, n in count.items():
+        share = F.when(F.col("kind") == kind, F.lit(MASS // n).cast("long")).otherwise(share)
+    start = settle(seeds.select("kind", "host", share.alias("mass")))
     back = start.select("kind", "host", F.expr(f"mass * {100 - DAMPING} div 100").alias("mass"))
-    now = start
-    for i in range(1, rounds + 1):
+    now = kept = start
+    i, last = 0, None
+    while rounds is None or i < rounds:
+        i += 1
         sent = now.join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.expr(f"(mass div all) * w * {DAMPING} div 100").alias("mass"))
         now = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % SPAN == 0 and i < rounds:
-            now = settle(now)
+        if i % SPAN:
+            continue
+        now = settle(now)
+        if rounds is None:
+            moves = now.unionByName(kept.select("kind", "host", (-F.col("mass")).alias("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("mass"))
+            change = {r["kind"]: r["mass"] for r in moves.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
+            if all(x * 10**6 <= STILL * (MASS // count[k]) or last is not None and x >= last.get(k, 0) for k, x in change.items()):
+                break
+            kept, last = now, change
     return now
 
 
-def url_trust(pages: DataFrame, rounds: int = ROUNDS, trusted: str = TRUSTED, blocked: str = BLOCKED, distrust: int = DISTRUST, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def url_trust(pages: DataFrame, rounds: int | None = None, trusted: str = TRUSTED, blocked: str = BLOCKED, distrust: int = DISTRUST, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(page_id, host, trust, distrust, keep): one row for each page; masses in millionths of their kind's whole.
 
     A page without an absolute URL (null, empty, relative) has host '' and isn't kept; it takes no part in the graph.
     A null html has no links. Links of a host to itself don't count, and a page counts once for each host it links to;
-    repeated rows count as further pages. A blocked host is never trusted. Without seeds of a kind its masses are 0.
-    A host whose distrust equals its trust is kept. An empty table gives no rows.
+    repeated rows count as further pages. A blocked host is never trusted and never kept. Without seeds of a kind its masses are 0.
+    A host whose distrust equals its trust is kept. Masses spread until they settle, or for ``rounds`` rounds; as SQL has no
+    such loop, its ROUNDS rounds are the same only where masses settle within them. An empty table gives no rows.
     """
     rows = pick(pages, page_id=id_column, url=url_column, html=html_column).select("page_id", host_of(F.col("url")).alias("host"), "html")
     edges = settle(host_edges(rows.select("host", "html")))
@@ -70,11 +86,15 @@ def url_trust(pages: DataFrame, rounds: int = ROUNDS, trusted: str = TRUSTED, bl
     bad = F.col("host").rlike(blocked)
     seeds = hosts.where(F.col("host").rlike(trusted) & ~bad).select(F.lit(0).alias("kind"), "host").unionByName(hosts.where(bad).select(F.lit(1).alias("kind"), "host"))
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "w").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    mass = spread(ways, seeds, rounds)
-    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.expr(f"mass div {MASS // 10**6}")).otherwise(F.lit(0))).alias(("trust", "distrust")[kind])
-    scores = settle(mass.groupBy("host").agg(part(0), part(1)))
-    judged = rows.select("page_id", "host").join(scores, "host", "left").select("page_id", "host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust")))
-    return judged.withColumn("keep", (F.col("host") != "") & ~((F.col("distrust") >= distrust) & (F.col("distrust") > F.col("trust"))))
+    count = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
+    mass = spread(ways, seeds, count, rounds)
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(F.lit(0))).alias(("trust", "distrust")[kind])
+    # whole masses are compared: millionths of a mass that very many hosts share would be rounded off
+    low = distrust * (MASS // 10**6) // count.get(1, 1)
+    verdict = bad | (F.col("distrust") >= F.lit(low)) & (F.col("distrust") > F.col("trust"))
+    scores = settle(mass.groupBy("host").agg(part(0), part(1)).select("host", *(F.expr(f"{c} div {MASS // 10**6}").alias(c) for c in ("trust", "distrust")), verdict.alias("rejected")))
+    judged = rows.select("page_id", "host").join(scores, "host", "left")
+    return judged.select("page_id", "host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust")), ((F.col("host") != "") & ~F.coalesce("rejected", F.lit(False))).alias("keep"))
 
 
 def sql(rounds: int = ROUNDS) -> str:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from rillstone.llm import ngrams
+from rillstone.llm import linkgraph, ngrams
 
 
 def test_rare_ngrams_of_a_large_table_are_scored_by_their_counts(spark):
@@ -33,3 +33,16 @@ def test_rare_ngrams_of_a_large_table_are_scored_by_their_counts(spark):
         assert found[i].log_prob == pytest.approx(sum(math.log(prob(rows[i][j - order + 1 : j + 1])) for j in range(order - 1, len(rows[i]))), rel=1e-6)
     small = {r.doc_id: r.log_prob for r in ngrams.lm_scores(table, block=5).collect()}
     assert small == pytest.approx({k: r.log_prob for k, r in found.items()})
+
+
+def test_blocked_hosts_are_rejected_however_many_there_are(spark):
+    rows = [(i, f"http://casino{i}.example/", "") for i in range(2000)] + [(2000, "http://friend.example/", '<a href="http://casino7.example/">'), (2001, "http://plain.example/", "")]
+    found = {r.page_id: r.keep for r in linkgraph.url_trust(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k, v in found.items() if v] == [2001]
+
+
+def test_distrust_reaches_hosts_many_links_away(spark):
+    rows = [(i, f"http://h{i}.example/", f'<a href="http://{"h" + str(i - 1) if i > 1 else "casino"}.example/">') for i in range(1, 16)]
+    found = linkgraph.url_trust(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert not any(r.keep for r in found)
+    assert {r.page_id: r.distrust for r in found} == pytest.approx({i: 150_000 * 0.85**i for i in range(1, 16)}, abs=2)
