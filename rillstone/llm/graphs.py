@@ -4,14 +4,14 @@ Vectors are dealt to shards of a fixed size by a hash. In each shard points are
 search from the entry point proposes neighbours, and a proposal is dropped if a neighbour already chosen is nearer to it,
 by the factor ``ALPHA``, than the point itself; so the edges that stay are short or lead elsewhere. Every block of
 queries then searches every shard by beam, and the lists of the shards are merged. Searches and prunings run for many
-points side by side.
+points side by side. Equal vectors are one point, as edges between them would be pruned; lists are expanded to the rows afterwards.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import pick, settle
@@ -239,8 +239,11 @@ def nearest_neighbours(embeddings: DataFrame, neighbours: int = NEIGHBOURS, shar
     empty = "vec_id long, rank int, neighbour_id long, distance double"
     if not sizes:
         return embeddings.sparkSession.createDataFrame([], empty)
-    dims, count = sizes[0]["d"], sizes[0]["count"]
-    one = one.where(F.size("vector") == dims)
+    dims = sizes[0]["d"]
+    equal = Window.partitionBy("vector").orderBy("vec_id")
+    members = settle(one.where(F.size("vector") == dims).select("vec_id", "vector", F.first("vec_id").over(equal).alias("point"), F.row_number().over(equal).alias("nth")))
+    one = members.where("nth = 1")
+    count = one.count()
 
     def parts(size: int, graph: bool) -> DataFrame:
         n = -(-count // size)
@@ -252,5 +255,10 @@ def nearest_neighbours(embeddings: DataFrame, neighbours: int = NEIGHBOURS, shar
     pairs = queries.crossJoin(shards.select("ids", "vectors", "links", "entry"))
     found = pairs.mapInArrow(searched(dims, degree, alpha, beam, neighbours), "vec_id long, found array<struct<distance:double,neighbour_id:long>>")
     merged = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, neighbours).alias("found"))
-    listed = merged.select("vec_id", F.posexplode("found").alias("pos", "x"))
+    itself = F.struct(F.lit(0.0).alias("distance"), F.col("vec_id").alias("neighbour_id"))
+    points = merged.select(F.col("vec_id").alias("point"), F.explode(F.concat(F.array(itself), "found")).alias("x")).select("point", "x.distance", F.col("x.neighbour_id").alias("at"))
+    lowest = members.where(F.col("nth") <= neighbours + 1).select(F.col("point").alias("at"), F.col("vec_id").alias("neighbour_id"))  # more are in no list
+    lists = points.join(lowest, "at").groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, neighbours + 1).alias("found"))
+    own = members.select("vec_id", "point").join(lists, "point").select("vec_id", F.slice(F.filter("found", lambda x: x["neighbour_id"] != F.col("vec_id")), 1, neighbours).alias("found"))
+    listed = own.select("vec_id", F.posexplode("found").alias("pos", "x"))
     return listed.select("vec_id", (F.col("pos") + 1).alias("rank"), "x.neighbour_id", "x.distance")

@@ -2,11 +2,12 @@
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from rillstone.llm import linkgraph, ngrams
+from rillstone.llm import graphs, linkgraph, ngrams
 
 
 def test_rare_ngrams_of_a_large_table_are_scored_by_their_counts(spark):
@@ -46,3 +47,18 @@ def test_distrust_reaches_hosts_many_links_away(spark):
     found = linkgraph.url_trust(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert not any(r.keep for r in found)
     assert {r.page_id: r.distrust for r in found} == pytest.approx({i: 150_000 * 0.85**i for i in range(1, 16)}, abs=2)
+
+
+def test_equal_vectors_are_neighbours_lowest_ids_first(spark):
+    x = np.random.default_rng(7).normal(size=(1500, 16)).astype(np.float32)
+    groups = {0: range(100, 150), 1: range(400, 1400)}
+    for first, ids in groups.items():
+        x[list(ids)] = x[first]
+    found = defaultdict(list)
+    for r in graphs.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        found[r.vec_id].append((r.rank, r.neighbour_id, r.distance))
+    for first, ids in groups.items():
+        for i in (first, *ids):
+            want = [j for j in (first, *ids) if j != i][:10]
+            assert sorted(found[i]) == [(n + 1, j, 0.0) for n, j in enumerate(want)]
+    assert len(found) == 1500 and all(len(v) == 10 for v in found.values())
