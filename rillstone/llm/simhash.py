@@ -3,8 +3,9 @@
 Every text gets a 128-bit SimHash over its pairs of neighbouring words. Texts whose fingerprints lie within
 ``RADIUS`` bits are near-duplicates, and groups are the connected components of that relation.
 
-Search is by shards: a fingerprint belongs to the shards named by the ``KEYS`` smallest shingle hashes (one
-for each of ``KEYS`` hash functions over runs of ``SHINGLE`` words) of its texts. A shard's fingerprints form one
+Search is by shards: a fingerprint belongs to the shards named by ``KEYS`` shingles (runs of ``SHINGLE`` words) of its
+texts, one for each of ``KEYS`` hash functions. A shingle is drawn in proportion to how often it occurs in the text, as
+the SimHash weighs by that too, and alike in texts that have it in like proportion (P-MinHash). A shard's fingerprints form one
 BK-tree whose children are keyed by their Hamming distance to the parent; each member walks the tree of its
 shard and follows only the edges within the radius. Shards meet by a shuffle of fingerprints, so no structure
 that grows with the corpus is held in one place, and equal fingerprints are collapsed before.
@@ -58,8 +59,31 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     whole = (left >= SHINGLE) | (np.repeat(np.diff(first), np.diff(first)) < SHINGLE) & (np.arange(len(word)) == np.repeat(first[:-1], np.diff(first)))
     run = run[whole]
     runs_first = np.concatenate(([0], np.cumsum(np.maximum(np.diff(first) - SHINGLE + 1, 1))))
-    keys = np.stack([np.minimum.reduceat(mix(run, 10 + k), runs_first[:-1]) for k in range(KEYS)], axis=1)
-    return prints, keys
+    return prints, drawn(run, runs_first)
+
+
+def drawn(run: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """KEYS shingles of each row's run, which is never empty: that of the least exponential variate, of a rate that is its count."""
+    rows, mask = len(first) - 1, np.uint64((1 << 44) - 1)
+    row, short = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(first)), run >> np.uint64(20)
+    if rows <= 1 << 20:
+        both = np.sort(row << np.uint64(44) | short)
+        row, short = both >> np.uint64(44), both & mask
+    else:
+        order = np.lexsort((short, row))
+        row, short = row[order], short[order]
+    new = np.ones(len(short), bool)
+    new[1:] = (short[1:] != short[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    count, short, row = np.diff(np.concatenate((at, [len(row)]))), short[at], row[at].astype(np.int64)
+    begin = np.searchsorted(row, np.arange(rows))
+    keys = np.empty((rows, KEYS), np.uint64)
+    for k in range(KEYS):
+        code = mix(short, 10 + k)
+        wait = -np.log1p(-((code >> np.uint64(11)).astype(float) / (1 << 53))) / count
+        least = np.flatnonzero(wait == np.minimum.reduceat(wait, begin)[row])
+        keys[row[least[::-1]], k] = code[least[::-1]]  # of equal ones the first
+    return keys
 
 
 def ones_per_row(bits: np.ndarray, first: np.ndarray) -> np.ndarray:

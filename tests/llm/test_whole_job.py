@@ -1,13 +1,16 @@
 """Cases in which an operator did less than its whole job."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rillstone.llm import graphs, linkgraph, ngrams
+from rillstone.llm import graphs, linkgraph, ngrams, simhash
+from rillstone.llm.textscan import raw
 
 
 def test_rare_ngrams_of_a_large_table_are_scored_by_their_counts(spark):
@@ -62,3 +65,24 @@ def test_equal_vectors_are_neighbours_lowest_ids_first(spark):
             want = [j for j in (first, *ids) if j != i][:10]
             assert sorted(found[i]) == [(n + 1, j, 0.0) for n, j in enumerate(want)]
     assert len(found) == 1500 and all(len(v) == 10 for v in found.values())
+
+
+def sharing(texts):
+    """Pairs of texts within the radius, and how many of them have a shard in common."""
+    offsets, data = raw(pa.array(texts))
+    prints, keys = simhash.fingerprints(data, offsets)
+    values = [int.from_bytes(p.tobytes(), "big") for p in prints]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (values[i] ^ values[j]).bit_count() <= simhash.RADIUS]
+    return near, sum(bool((keys[i] == keys[j]).any()) for i, j in near)
+
+
+def test_near_duplicates_with_repeated_lines_meet():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    for times in ((200, 200), (200, 40)):
+        near = met = 0
+        for _ in range(20):
+            line = " ".join(word() for _ in range(10))
+            found, shared = sharing(["\n".join([line] * n) + "\n" + " ".join(word() for _ in range(n // 2)) for n in times * 3])
+            near, met = near + len(found), met + shared
+        assert near > 100 and met >= 0.9 * near
