@@ -1,6 +1,7 @@
 """Operator 1: near-duplicates by SimHash, found with BK-trees.
 
-Every text gets a 128-bit SimHash over its pairs of neighbouring words. Texts whose fingerprints lie within
+Every text gets a 128-bit SimHash over its pairs of neighbouring words; in scripts without spaces, such as Chinese, Japanese
+and Thai, each character counts as a word. Texts whose fingerprints lie within
 ``RADIUS`` bits are near-duplicates, and groups are the connected components of that relation.
 
 Search is by shards: a fingerprint belongs to the shards named by ``KEYS`` shingles (runs of ``SHINGLE`` words) of its
@@ -34,7 +35,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     a shingle has is one shingle.
     """
     folded = fold(data)
-    starts, ends, first = words(folded, offsets)
+    starts, ends, first = words(folded, offsets, apart=True)
     rows = len(offsets) - 1
     bare = first[1:] == first[:-1]
     if bare.any():

@@ -4,7 +4,9 @@ Work is done on blocks of about a megabyte of text, so memory doesn't follow the
 text is a block of its own.
 """
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +79,46 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each row the number of its first word (one entry more than rows)."""
+#: Code points of scripts that put no spaces between words: Thai to Myanmar, Khmer, Tai, kana, Han, Yi, and their like.
+UNSPACED = [(0xE00, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1A00), (0x1A20, 0x1AB0), (0x3005, 0x3008), (0x3021, 0x3030), (0x3031, 0x3130), (0x31A0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA4D0), (0xA980, 0xA9E0), (0xAA60, 0xAAE0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000)]
+
+
+@cache
+def kinds() -> np.ndarray:
+    """For each code point 1 if it separates words (punctuation and spaces), 2 if it is a word of its own, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    for a, b in UNSPACED:
+        out[a:b] = 2
+    out[[c for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "PZ"]] = 1
+    return out
+
+
+def single(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Takes separators beyond ASCII out of ``inside``; borders of the characters that are words of their own."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return lead
+    b = np.concatenate((data, np.zeros(3, np.uint8)))
+    first, (c, d, e) = b[lead].astype(np.int64), (b[lead + i].astype(np.int64) & 63 for i in (1, 2, 3))
+    size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+    point = np.where(size == 2, (first & 31) << 6 | c, np.where(size == 3, (first & 15) << 12 | c << 6 | d, (first & 7) << 18 | c << 12 | d << 6 | e))
+    kind = kinds()[np.minimum(point, 0x10FFFF)]
+    for i in range(4):
+        at = lead[(kind == 1) & (size > i)] + i
+        inside[at[at < len(data)]] = False
+    alone = kind == 2
+    return np.concatenate((lead[alone], np.minimum(lead[alone] + size[alone], len(data))))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each row the number of its first word (one entry more than rows).
+
+    With ``apart``, Unicode punctuation and spaces separate too, and each character of a script without spaces is a word.
+    """
     inside = WORD[data]
+    rows = offsets
+    if apart:
+        offsets = np.concatenate((offsets, single(data, inside)))
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     opens = before[:-1].copy()
@@ -93,7 +132,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(data):
         closes[last] = False
     ends = np.flatnonzero(inside & ~closes) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, rows)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from rillstone.llm import graphs, linkgraph, ngrams, simhash
-from rillstone.llm.textscan import raw
+from rillstone.llm.textscan import raw, words
 
 
 def test_rare_ngrams_of_a_large_table_are_scored_by_their_counts(spark):
@@ -86,3 +86,20 @@ def test_near_duplicates_with_repeated_lines_meet():
             found, shared = sharing(["\n".join([line] * n) + "\n" + " ".join(word() for _ in range(n // 2)) for n in times * 3])
             near, met = near + len(found), met + shared
         assert near > 100 and met >= 0.9 * near
+
+
+@pytest.mark.parametrize("letters", [(0x4E00, 0x9F00), (0x3041, 0x3096), (0xE01, 0xE2F)])
+def test_near_copies_in_scripts_without_spaces(spark, letters):
+    rnd = random.Random(9)
+    texts = ["".join("。" if i % 23 == 22 else chr(rnd.randrange(*letters)) for i in range(400)) for _ in range(5)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 5, t[:200] + "a" + t[201:]) for i, t in enumerate(texts)]
+    found = {(r.doc_id, r.kept_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i + 5, i) for i in range(5)}
+
+
+def test_words_of_characters():
+    texts = ["", "été, «ça»—va…", "漢字、かな。ab 9ก", "한국어 нет"]
+    offsets, data = raw(pa.array(texts))
+    starts, ends, first = words(data, offsets, apart=True)
+    found = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert [found[a:b] for a, b in zip(first, first[1:])] == [[], ["été", "ça", "va"], ["漢", "字", "か", "な", "ab", "9", "ก"], ["한국어", "нет"]]
