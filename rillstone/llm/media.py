@@ -2,7 +2,8 @@
 
 Tiles are means over areas, read from an integral image in whole numbers only: the sum up to a fraction of a pixel
 is a weighted mean of four entries of the integral image, scaled by the tile's height and width, so that equal images
-have equal tiles everywhere. A tile is stored as the bytes of an NPY file.
+have equal tiles everywhere. Of the integral image only the entries at the borders of areas are kept, and it is made
+in bands, so that large images take little more memory than their pixels. A tile is stored as the bytes of an NPY file.
 """
 
 import io
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 
 from .frames import pick, shared_dir
 
-#: Height and width of a tile, and the most pixels that a header may claim.
-TILE, MOST = 32, 1 << 28
+#: Height and width of a tile, and samples that are widened at once.
+TILE, BAND = 32, 1 << 20
 HASH_ROWS, HASH_COLUMNS = 8, 9
 SCHEMA = "doc_id long, format string, width int, height int, channels int, dhash string, npy binary, error string"
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
+_SPACE = re.compile(rb"\s")
 _KINDS = {b"P1": ("pbm", 1), b"P2": ("pgm", 1), b"P3": ("ppm", 3), b"P4": ("pbm", 1), b"P5": ("pgm", 1), b"P6": ("ppm", 3)}
 
 
@@ -31,8 +33,12 @@ class BadImage(ValueError):
 def _checked(width: int, height: int) -> None:
     if width < 1 or height < 1:
         raise BadImage("no pixels")
-    if width * height > MOST:
-        raise BadImage("too many pixels")
+
+
+def _there(data: bytes, at: int, size: int) -> None:
+    """Before anything is allocated: are there ``size`` bytes from ``at`` on?"""
+    if not 0 <= at <= len(data) - size:
+        raise BadImage("too short")
 
 
 def _numbers(data: bytes, at: int, count: int) -> tuple[list[int], int]:
@@ -48,11 +54,37 @@ def _numbers(data: bytes, at: int, count: int) -> tuple[list[int], int]:
 
 
 def _eight_bits(values: np.ndarray, most: int) -> np.ndarray:
-    """0..most to 0..255, rounded half up."""
+    """0..most to 0..255, rounded half up; larger values count as ``most``."""
     if most == 255 and values.dtype == np.uint8:
         return values
-    wide = np.minimum(values.astype(np.int64), most)
-    return ((wide * 510 + most) // (2 * most)).astype(np.uint8)
+    flat = values.reshape(-1)
+    out = np.empty(len(flat), np.uint8)
+    for a in range(0, len(flat), BAND):
+        wide = np.minimum(flat[a : a + BAND].astype(np.int64), most)
+        out[a : a + BAND] = (wide * 510 + most) // (2 * most)
+    return out.reshape(values.shape)
+
+
+def _decimal(word: bytes) -> int:
+    word = word.lstrip(b"0")
+    return int(word or b"0") if len(word) < 6 else 65535
+
+
+def _decimals(body: bytes, count: int) -> np.ndarray:
+    """The first ``count`` numbers of a text, a band at a time; those above 65535, as any maximum is, count as 65535."""
+    out, done, at = np.zeros(count, np.uint16), 0, 0
+    while done < count and at < len(body):
+        space = _SPACE.search(body, at + BAND)
+        end = space.start() if space else len(body)
+        words = body[at:end].split()[: count - done]
+        if not all(w.isdigit() for w in words):
+            raise BadImage("bad sample")
+        short = max(map(len, words), default=0) < 10
+        out[done : done + len(words)] = np.minimum(np.array(words, "S9").astype(np.int64) if short else [_decimal(w) for w in words], 65535)
+        done, at = done + len(words), end
+    if done < count:
+        raise BadImage("too short")
+    return out
 
 
 def netpbm(data: bytes) -> tuple[str, np.ndarray]:
@@ -70,31 +102,26 @@ def netpbm(data: bytes) -> tuple[str, np.ndarray]:
         raise BadImage("bad maximum")
     count = width * height * channels
     if magic == b"P1":  # digits may stand without white space between
+        _there(data, at, count)
         body = np.frombuffer(re.sub(rb"#[^\r\n]*", b"", data[at:]), np.uint8)
         values = body[(body == 48) | (body == 49)][:count] - 48
     elif magic in (b"P2", b"P3"):
-        body = re.sub(rb"#[^\r\n]*", b"", data[at:]) if b"#" in data[at:] else data[at:]
-        try:
-            values = np.array(body.split(None, count)[:count], np.int64)
-        except (ValueError, OverflowError) as e:
-            raise BadImage("bad sample") from e
-        if len(values) and values.min() < 0:
-            raise BadImage("bad sample")
+        _there(data, at, 2 * count)  # white space and a digit
+        values = _decimals(re.sub(rb"#[^\r\n]*", b"", data[at:]) if b"#" in data[at:] else data[at:], count)
     elif magic == b"P4":
         stride = -(-width // 8)
-        body = np.frombuffer(data, np.uint8, offset=at + 1)
-        if len(body) < stride * height:
-            raise BadImage("too short")
-        values = np.unpackbits(body[: stride * height].reshape(height, stride), axis=1)[:, :width].ravel()
+        _there(data, at + 1, stride * height)
+        body = np.frombuffer(data, np.uint8, stride * height, at + 1)
+        values = np.unpackbits(body.reshape(height, stride), axis=1, count=width).ravel()
     else:
-        body = data[at + 1 :]
         wide = 2 if most > 255 else 1
-        values = np.frombuffer(body[: count * wide], ">u2" if wide == 2 and len(body) >= count * wide else np.uint8)
+        _there(data, at + 1, count * wide)
+        values = np.frombuffer(data, ">u2" if wide == 2 else np.uint8, count, at + 1)
     if len(values) < count:
         raise BadImage("too short")
     if bitmap:
         values = 1 - values  # a set bit is black
-    return kind, _eight_bits(values[:count], most).reshape(height, width, channels)
+    return kind, _eight_bits(values, most).reshape(height, width, channels)
 
 
 def _pam(data: bytes) -> tuple[str, np.ndarray]:
@@ -110,16 +137,16 @@ def _pam(data: bytes) -> tuple[str, np.ndarray]:
     if not 1 <= depth <= 4 or not 1 <= most <= 65535:
         raise BadImage("bad header")
     wide, count = 2 if most > 255 else 1, width * height * depth
-    body = data[end + 7 :]
-    if len(body) < count * wide:
-        raise BadImage("too short")
-    values = np.frombuffer(body[: count * wide], ">u2" if wide == 2 else np.uint8)
+    _there(data, end + 7, count * wide)
+    values = np.frombuffer(data, ">u2" if wide == 2 else np.uint8, count, end + 7)
     colour = depth if depth in (1, 3) else depth - 1  # without transparency
     return "pam", np.ascontiguousarray(_eight_bits(values, most).reshape(height, width, depth)[:, :, :colour])
 
 
 def _runs(data: bytes, at: int, width: int, height: int, nibbles: bool) -> np.ndarray:
-    """Run-length coded palette indices, bottom row first."""
+    """Run-length coded palette indices, bottom row first. Two bytes set 255 pixels at most; more than all bytes could set is too short."""
+    if width * height > 128 * max(0, len(data) - at):
+        raise BadImage("too short")
     out = np.zeros((height, width), np.uint8)
     x = y = 0
     while y < height and at + 1 < len(data):
@@ -175,7 +202,7 @@ def bmp(data: bytes) -> tuple[str, np.ndarray]:
             index = _runs(data, begin, width, height, packed == 2)
         else:
             rows = _rows(data, begin, width, height, bits)
-            index = rows[:, :width] if bits == 8 else np.unpackbits(rows, axis=1)[:, :width] if bits == 1 else np.stack((rows >> 4, rows & 15), axis=2).reshape(height, -1)[:, :width]
+            index = rows[:, :width] if bits == 8 else np.unpackbits(rows, axis=1, count=width) if bits == 1 else np.stack((rows >> 4, rows & 15), axis=2).reshape(height, -1)[:, :width]
         grey = bool((palette[: max(n, 1)] == palette[: max(n, 1), :1]).all())
         pixels = palette[index][:, :, :1] if grey else palette[index]
     elif bits in (24, 32) and packed == 0:
@@ -183,15 +210,14 @@ def bmp(data: bytes) -> tuple[str, np.ndarray]:
         pixels = rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1]
     elif bits in (16, 32) and packed in (0, 3):
         masks = [word(54 + 4 * i) for i in range(3)] if packed == 3 else [0x7C00, 0x3E0, 0x1F]
-        rows = np.ascontiguousarray(_rows(data, begin, width, height, bits)[:, : width * bits // 8])
-        values = rows.view("<u2" if bits == 16 else "<u4").astype(np.int64)
-        if not all(masks):
+        if not all(masks) or any((m >> (m & -m).bit_length() - 1) + 1 & m >> (m & -m).bit_length() - 1 for m in masks):
             raise BadImage("bad masks")
-        parts = []
-        for m in masks:
+        rows = np.ascontiguousarray(_rows(data, begin, width, height, bits)[:, : width * bits // 8])
+        values = rows.view("<u2" if bits == 16 else "<u4")
+        pixels = np.empty((height, width, 3), np.uint8)
+        for i, m in enumerate(masks):
             low = (m & -m).bit_length() - 1
-            parts.append(_eight_bits((values & m) >> low, m >> low))
-        pixels = np.stack(parts, axis=2)
+            pixels[:, :, i] = _eight_bits((values & values.dtype.type(m & (1 << bits) - 1)) >> values.dtype.type(low), m >> low)
     else:
         raise BadImage("unknown packing")
     return "bmp", np.ascontiguousarray(pixels[::-1] if upward else pixels)
@@ -199,10 +225,10 @@ def bmp(data: bytes) -> tuple[str, np.ndarray]:
 
 def _rows(data: bytes, begin: int, width: int, height: int, bits: int) -> np.ndarray:
     stride = (width * bits + 31) // 32 * 4
-    body = np.frombuffer(data[begin : begin + stride * height], np.uint8)
-    if begin < 14 or len(body) < stride * height:
-        raise BadImage("too short")
-    return body.reshape(height, stride)
+    _there(data, begin, stride * height)
+    if begin < 14:
+        raise BadImage("bad header")
+    return np.frombuffer(data, np.uint8, stride * height, begin).reshape(height, stride)
 
 
 def decode(data: bytes) -> tuple[str, np.ndarray]:
@@ -218,27 +244,56 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     """One channel: luma in thousandths, rounded half up."""
     if pixels.shape[2] == 1:
         return pixels
-    wide = pixels.astype(np.int32)
-    return ((wide[:, :, :1] * 299 + wide[:, :, 1:2] * 587 + wide[:, :, 2:3] * 114 + 500) // 1000).astype(np.uint8)
+    flat = pixels.reshape(-1, 3)
+    out = np.empty(len(flat), np.uint8)
+    for a in range(0, len(flat), BAND):
+        out[a : a + BAND] = (flat[a : a + BAND].astype(np.int32) @ np.array([299, 587, 114], np.int32) + 500) // 1000
+    return out.reshape(*pixels.shape[:2], 1)
 
 
-def _up_to(table: np.ndarray, size: int, parts: int, axis: int) -> np.ndarray:
-    """Entries of an integral image at the part borders along an axis, times ``parts``."""
+def _up_to(size: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the borders of ``parts`` areas of equal size: whole pixels before, the rest in parts of a pixel, and all positions needed."""
     at = np.arange(parts + 1, dtype=np.int64) * size
     whole, rest = at // parts, at % parts
-    shape = [1] * table.ndim
-    shape[axis] = -1
-    rest = rest.reshape(shape)
-    return table.take(whole, axis) * (parts - rest) + table.take(np.minimum(whole + 1, size), axis) * rest
+    return whole, rest, np.unique(np.concatenate((whole, np.minimum(whole + 1, size))))
+
+
+def _prefixes(band: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Sums of the first need[i] pixels of each line of a band (lines, width, channels)."""
+    out = np.zeros((band.shape[0], len(need), band.shape[2]), np.int64)
+    before = np.zeros((band.shape[0], 1, band.shape[2]), np.int64)
+    step = max(1, BAND // (band.shape[0] * band.shape[2]))
+    for x in range(0, band.shape[1], step):
+        sums = np.cumsum(band[:, x : x + step], axis=1, dtype=np.int64) + before
+        inside = (need > x) & (need <= x + step)
+        out[:, inside] = sums[:, need[inside] - x - 1]
+        before = sums[:, -1:]
+    return out
+
+
+def integral(pixels: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """The integral image at ascending lines ``ys`` and columns ``xs``."""
+    height, width, channels = pixels.shape
+    out = np.zeros((len(ys), len(xs), channels), np.int64)
+    before = np.zeros((1, len(xs), channels), np.int64)
+    step = max(1, BAND // (width * channels))
+    for y in range(0, height, step):
+        sums = np.cumsum(_prefixes(pixels[y : y + step], xs), axis=0) + before
+        inside = (ys > y) & (ys <= y + step)
+        out[inside] = sums[ys[inside] - y - 1]
+        before = sums[-1:]
+    return out
 
 
 def resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Means over the areas that the target's pixels cover, in whole numbers, rounded half up."""
-    height, width, channels = pixels.shape
-    table = np.zeros((height + 1, width + 1, channels), np.int64)
-    np.cumsum(pixels, axis=0, dtype=np.int64, out=table[1:, 1:])
-    np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
-    sums = _up_to(_up_to(table, height, rows, 0), width, columns, 1)
+    height, width, _ = pixels.shape
+    (y, y_rest, ys), (x, x_rest, xs) = _up_to(height, rows), _up_to(width, columns)
+    table = integral(pixels, ys, xs)
+    at, after = np.searchsorted(ys, y), np.searchsorted(ys, np.minimum(y + 1, height))
+    sums = table[at] * (rows - y_rest)[:, None, None] + table[after] * y_rest[:, None, None]
+    at, after = np.searchsorted(xs, x), np.searchsorted(xs, np.minimum(x + 1, width))
+    sums = sums[:, at] * (columns - x_rest)[None, :, None] + sums[:, after] * x_rest[None, :, None]
     part = sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]
     area = height * width
     return ((2 * part + area) // (2 * area)).astype(np.uint8)
@@ -264,6 +319,8 @@ def looked_at(data: bytes | None, tile: int) -> tuple:
         kind, pixels = decode(data)
     except BadImage as e:
         return (None, None, None, None, None, None, str(e))
+    except (ValueError, IndexError, OverflowError):  # what numpy says of bytes that no format foresees
+        return (None, None, None, None, None, None, "bad image")
     height, width, channels = pixels.shape
     return (kind, width, height, channels, difference_hash(pixels), npy(resize(pixels, tile, tile)), None)
 
@@ -287,9 +344,10 @@ def media_tiles(images: DataFrame, tile: int = TILE, id_column: str = "doc_id",
     """(doc_id, format, width, height, channels, dhash, npy, error): one row for each row of the input.
 
     ``npy`` holds an NPY file of uint8 (tile, tile, 1 or 3). Null, empty, cut and unknown images have an ``error`` that
-    tells why and null in all other columns but doc_id. Bytes after an image are ignored, samples above the maximum
+    tells why and null in all other columns but doc_id; an image is cut if its header claims more pixels than its bytes can
+    hold. There is no largest size. Bytes after an image are ignored, samples above the maximum
     count as the maximum. Transparency is dropped. Repeated rows give repeated results; null doc_ids stay null; of equal
-    neighbours the hash has a 0 bit. An empty table gives no rows.
+    neighbours the hash has a 0 bit. Other columns may have any names and don't show. An empty table gives no rows.
     """
     rows = pick(images, doc_id=id_column, image=image_column).select(F.col("doc_id").cast("long"), F.col("image").cast("binary"))
     return rows.mapInArrow(seen(tile), SCHEMA)
@@ -303,7 +361,7 @@ def stacked(path: str, tile: int):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        where, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        where, base = fs.FileSystem.from_uri(path)
         for i, batch in enumerate(batches):
             for channels in (1, 3):
                 part = batch.filter(pa.array([c == channels for c in batch.column(1).to_pylist()], pa.bool_()))
@@ -328,8 +386,11 @@ def write_tiles(tiles: DataFrame, path: str, tile: int = TILE) -> DataFrame:
     spark = tiles.sparkSession
     shared_dir(spark)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    tiles.where("error is null").select("doc_id", "channels", "npy").mapInArrow(stacked(path, tile), "doc_id long, file string, row int").write.mode("overwrite").parquet(f"{path}/index.parquet")
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    uri = str(files.makeQualified(hadoop).toUri())
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    tiles.where("error is null").select("doc_id", "channels", "npy").mapInArrow(stacked(uri, tile), "doc_id long, file string, row int").write.mode("overwrite").parquet(f"{path}/index.parquet")
     return spark.read.parquet(f"{path}/index.parquet")
 
 
