@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scores": lambda spark, d: ngrams.lm_scores(read(spark, d, "documents")),
     "op4_url_trust": lambda spark, d: linkgraph.url_trust(read(spark, d, "pages")),
     "op5_best_fit_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
-    "op6_nearest_neighbours": lambda spark, d: graphs.nearest_neighbours(read(spark, d, "embeddings")),
+    "op6_nearest_neighbours": lambda spark, d: graphs.nearest_neighbours(read(spark, d, "embeddings"), graphs.asked_every(read(spark, d, "embeddings"))),
     "op7_perspective_rotation": lambda spark, d: perspectives.rotate(read(spark, d, "conversations")),
     "op8_byte_bpe": lambda spark, d: bpe.bpe_encode(read(spark, d, "documents")),
     "op9_language_spans": lambda spark, d: language.language_spans(read(spark, d, "documents")),

@@ -171,8 +171,8 @@ def test_packing_covers_each_document(spark):
 # -- 6
 
 
-@pytest.mark.parametrize("shard, block", [(16384, 8192), (700, 900)])
-def test_neighbours_recall(spark, shard, block):
+@pytest.mark.parametrize("shard, block, every", [(16384, 64 << 20, 1), (700, 64 << 20, 1), (700, 2000, 100)])
+def test_neighbours_recall(spark, shard, block, every):
     x = np.random.default_rng(5).normal(size=(3000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -180,10 +180,47 @@ def test_neighbours_recall(spark, shard, block):
     np.fill_diagonal(d, 9)
     want = np.argsort(d, axis=1)[:, :10]
     found = defaultdict(set)
-    for r in graphs.nearest_neighbours(table, shard=shard, block=block).collect():
+    for r in graphs.nearest_neighbours(table, graphs.asked_every(table, every), shard=shard, block=block).collect():
         found[r.vec_id].add(r.neighbour_id)
-    assert len(found) == 3000 and all(len(v) == 10 for v in found.values())
-    assert np.mean([len(found[i] & set(w)) / 10 for i, w in enumerate(want.tolist())]) >= 0.9
+    assert sorted(found) == list(range(0, 3000, every)) and all(len(v) == 10 for v in found.values())
+    assert np.mean([len(found[i] & set(want[i].tolist())) / 10 for i in found]) >= 0.9
+
+
+def test_neighbours_query_against_brute_force(spark):
+    """op6 as registered, over the whole of a table, every query's list against all rows."""
+    table = pq.read_table(f"{MEDIUM}/embeddings.parquet")
+    ids = table["vec_id"].to_numpy()
+    x = table["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)
+    found = defaultdict(list)
+    for r in queries.QUERIES["op6_nearest_neighbours"](spark, MEDIUM).collect():
+        found[r.vec_id].append((r.rank, r.neighbour_id, r.distance))
+    assert sorted(found) == sorted(i for i in ids.tolist() if i % 100 == 0)
+    hits = []
+    for i, rows in found.items():
+        gap = np.sqrt(((x - x[ids == i]) ** 2).sum(axis=1))
+        gap[ids == i] = np.inf
+        best = np.lexsort((ids, gap))[:10]
+        rows.sort()
+        assert [r for r, _, _ in rows] == list(range(1, 11)) and all(abs(gap[ids == n][0] - d) < 1e-6 for _, n, d in rows)
+        hits.append(len({n for _, n, _ in rows} & set(ids[best].tolist())) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_neighbours_of_any_magnitude(spark):
+    """Numbers whose squares leave 32 bits, great and small, a large common offset, and rows of several dimensions."""
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1e19, 0), (1e-25, 0), (3e37, 0), (1.0, 1e4)):
+        x = (rng.normal(size=(300, 8)) * scale + shift).astype(np.float32)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()[:3]) for i, v in enumerate(x[:50])]
+        found = defaultdict(set)
+        for r in graphs.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), neighbours=5).collect():
+            found[r.vec_id].add(r.neighbour_id)
+        hits = []
+        for base, y in ((0, x), (1000, x[:50, :3])):
+            gap = ((y[:, None].astype(float) - y[None].astype(float)) ** 2).sum(axis=2)
+            np.fill_diagonal(gap, np.inf)
+            hits += [len(found[base + i] & {base + int(j) for j in np.argsort(gap[i])[:5]}) / 5 for i in range(len(y))]
+        assert np.mean(hits) >= 0.9, (scale, shift)
 
 
 # -- 8
