@@ -1,22 +1,23 @@
 """Operator 9: language spans by script ranges and Viterbi over per-word scores.
 
-The script of a word narrows its candidate languages. Within a script that several trained languages use, a word
-is scored by the log-probabilities of its byte trigrams in each language, learned from labelled texts. Viterbi with a
-penalty for switching then labels the words of the whole text; a further state, ``und``, scores every byte of a word
-alike, so that what resembles no language goes there.
+The script of a word narrows its candidates to the trained languages that use the script, as learned from labelled texts;
+where none does, to those that the script is commonly used for. A word is scored by the log-probabilities of its byte
+trigrams in each candidate. Viterbi with a penalty for switching then labels the words of the whole text; a further state,
+``und``, scores every byte of a word in Latin script alike, so that what resembles no language goes there. In scripts
+without spaces each character is a word.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import numbered, pick, place
-from .textscan import blocks, fold, mix, per_row, words
+from .textscan import blocks, fold, per_row, words
 
-#: Labelled texts learned from, in each language; they are those with the lowest hashes of doc_id and text.
+#: Different labelled texts learned from, at most, in each language; they are those with the lowest hashes of the whole text.
 SAMPLE = 400
 #: Slots of hashed trigrams; log-odds against a change of language between two words; log-probability of a
 #: byte in the state ``und``, and of a byte that was never seen after the two before it.
@@ -24,9 +25,17 @@ SLOTS, SWITCH, UNKNOWN, UNSEEN = 1 << 17, 8.0, -4.2, -7.0
 #: A text is rejected if more than this share of the bytes of its words is undetermined.
 REJECT = 0.5
 UND = "und"
-#: Scripts by first code point; a language of its own where no trained one uses the script.
-SCRIPTS = [(0x0, "latin"), (0x370, "el"), (0x400, "ru"), (0x530, "hy"), (0x590, "he"), (0x600, "ar"), (0x900, "hi"), (0x980, "bn"), (0xE00, "th"), (0xE80, "latin"), (0x10A0, "ka"), (0x1100, "ko"), (0x1200, "latin"), (0x1F00, "el"), (0x2000, "latin"), (0x3040, "ja"), (0x3100, "zh"), (0x3130, "ko"), (0x3190, "zh"), (0xA000, "latin"), (0xAC00, "ko"), (0xD7B0, "latin"), (0xF900, "zh"), (0xFB00, "latin"), (0x20000, "zh")]
-LATIN = "latin"
+#: A trained language uses a script if it has at least this share of the bytes of the language's words.
+USES = 0.05
+#: Scripts by first code point.
+SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "latin"), (0x750, "arabic"), (0x780, "latin"), (0x8A0, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "gurmukhi"), (0xA80, "gujarati"), (0xB00, "latin"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "kannada"), (0xD00, "malayalam"), (0xD80, "sinhala"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "latin"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0x31F0, "kana"), (0x3200, "han"), (0xA000, "latin"), (0xAC00, "hangul"), (0xD7B0, "latin"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "latin"), (0xFE70, "arabic"), (0xFEFF, "latin"), (0xFF66, "kana"), (0xFFA0, "latin"), (0x20000, "han"), (0x32000, "latin")]
+#: Candidates for words of a script that no trained language uses, the likelier first.
+COMMON = {"greek": ["el"], "cyrillic": ["ru"], "armenian": ["hy"], "hebrew": ["he"], "arabic": ["ar"], "devanagari": ["hi"], "bengali": ["bn"], "gurmukhi": ["pa"], "gujarati": ["gu"], "tamil": ["ta"], "telugu": ["te"], "kannada": ["kn"], "malayalam": ["ml"], "sinhala": ["si"], "thai": ["th"], "lao": ["lo"], "tibetan": ["bo"], "burmese": ["my"], "georgian": ["ka"], "hangul": ["ko"], "ethiopic": ["am"], "khmer": ["km"], "mongolian": ["mn"], "han": ["zh", "ja"], "kana": ["ja"]}
+NAMES = sorted({x for _, x in SCRIPTS})
+_STARTS, _NAMED = np.array([x for x, _ in SCRIPTS]), np.array([NAMES.index(x) for _, x in SCRIPTS])
+LATIN = NAMES.index("latin")
+#: What a word scores more in a language common for its script than by its bytes, less for each likelier one; what a language is charged that isn't a candidate.
+COMMONLY, LESS, BARRED = 20.0, 0.5, 1e4
 
 
 def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +59,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     code[1:] |= wide[:-1] << np.uint32(8)
     code[2:] |= wide[:-2] << np.uint32(16)
     code[first[:-1]] = wide[first[:-1]] | np.uint32(1 << 16 | 32 << 8)
+    code[first[:-1] + 1] |= np.uint32(32 << 16)  # the first word of a block has none before it
     return code, first
 
 
@@ -57,8 +67,8 @@ def slots_of(code: np.ndarray) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(15)
 
 
-def script_names(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Index into SCRIPTS' names for each word, by its first character."""
+def scripts_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Index into NAMES for each word, by its first character."""
     lead = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
     b = [lead[starts + i] for i in range(4)]
     point = np.where(
@@ -66,53 +76,67 @@ def script_names(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         b[0],
         np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63)),
     )
-    return np.searchsorted([x for x, _ in SCRIPTS], point, "right") - 1
+    return _NAMED[np.searchsorted(_STARTS, point, "right") - 1]
+
+
+def numbers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which words begin with a digit; they belong to any language."""
+    return (data[starts] >= 48) & (data[starts] <= 57)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) to trigram counts (lang, code, n), summed within a block."""
+    """Rows (lang, text) to counts (lang, code, n) of trigrams, and of bytes in each script under the code -1 - script, summed within a block."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for a, b, offsets, data in blocks(batch.column(1)):
             data = fold(data)
-            starts, ends, first = words(data, offsets)
+            starts, ends, first = words(data, offsets, apart=True)
             codes, begin = grams(data, starts, ends)
+            script, size = scripts_of(data, starts), np.where(numbers(data, starts), 0, ends - starts)
             for lang in sorted(set(langs[a:b])):
-                own = np.repeat(langs[a:b] == lang, np.diff(begin[first]))
-                code, n = np.unique(codes[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+                rows = langs[a:b] == lang
+                code, n = np.unique(codes[np.repeat(rows, np.diff(begin[first]))], return_counts=True)
+                word = np.repeat(rows, np.diff(first))
+                held = np.bincount(script[word], size[word], len(NAMES)).astype(np.int64)
+                used = np.flatnonzero(held)
+                code, n = np.concatenate((code.astype(np.int64), -1 - used)), np.concatenate((n, held[used]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
 
 class Model:
-    """Trained languages, their trigram log-probabilities (slot by language) and the script-only languages."""
+    """Trained languages, sorted, their trigram log-probabilities (slot by language), and which script each one uses (script by language)."""
 
-    def __init__(self, langs: list[str], scores: np.ndarray) -> None:
-        self.langs, self.scores = langs, scores
+    def __init__(self, langs: list[str], scores: np.ndarray, uses: np.ndarray) -> None:
+        self.langs, self.scores, self.uses = langs, scores, uses
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Learns from at most ``sample`` labelled texts of each language (twice that at most, by chance of hashing).
+    """Learns from at most ``sample`` different labelled texts of each language, each once, whole: those with the lowest hashes.
 
-    Rows with null text or label don't count. The sample is drawn by a threshold on a hash, which needs the number of
-    rows of each language and no sorting. Without any labelled row there are no trained languages: words in
-    Latin script are then undetermined.
+    Rows with null text or label don't count. Each task keeps ``sample`` hashes of a language at most. Without any
+    labelled row there are no trained languages: words in Latin script are then undetermined.
     """
     rows = pick(docs, doc_id=id_column, text=text_column, lang=lang_column).where("text is not null and lang is not null and lang <> ''")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model([], np.zeros((SLOTS, 0), np.float32))
-    drawn = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(1 << 30))
-    share = F.lit(None).cast("double")
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(float(min(1.0, sample / n) * (1 << 30)))).otherwise(share)
-    table = rows.where(drawn < share).select("lang", "text").mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    lowest = rows.select("lang", "h", F.dense_rank().over(Window.partitionBy("lang").orderBy("h")).alias("nth")).where(F.col("nth") <= sample)
+    most = {r["lang"]: r["h"] for r in lowest.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not most:
+        return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
+    limit = F.lit(None).cast("long")
+    for lang, h in most.items():
+        limit = F.when(F.col("lang") == lang, F.lit(h)).otherwise(limit)
+    drawn = rows.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    table = drawn.select("lang", "text").mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(most)
     scores = np.full((SLOTS, len(langs)), UNSEEN, np.float32)
+    uses = np.zeros((len(NAMES), len(langs)), bool)
     for i, lang in enumerate(langs):
-        own = table[table["lang"] == lang].sort_values("n")  # where slots clash the more frequent trigram counts
+        own = table[(table["lang"] == lang) & (table["code"] >= 0)].sort_values(["n", "code"])  # where slots clash the more frequent trigram counts
         context = own.groupby(own["code"] // 256)["n"].transform("sum")
         scores[slots_of(own["code"].to_numpy().astype(np.uint32)), i] = np.log((own["n"] + 0.05) / (context + 3.2))
-    return Model(langs, scores)
+        bytes_in = table[(table["lang"] == lang) & (table["code"] < 0)]
+        uses[-1 - bytes_in["code"].to_numpy(), i] = bytes_in["n"].to_numpy() >= USES * bytes_in["n"].sum()
+    return Model(langs, scores, uses)
 
 
 class Lanes:
@@ -192,26 +216,30 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float, size: int = 1
 
 
 def labelled(model: Model, data: np.ndarray, offsets: np.ndarray, penalty: float):
-    """(names, state of each word, starts, ends, first word of each row) of a block."""
+    """(names, state of each word, starts, ends, first word of each row) of a block. Names are sorted, with UND at the end."""
     folded = fold(data)
-    starts, ends, first = words(folded, offsets)
-    script = script_names(folded, starts)
-    extra = sorted({SCRIPTS[i][1] for i in np.unique(script)} - {LATIN} - set(model.langs))
-    names = [*model.langs, *extra, UND]
-    size = (ends - starts).astype(np.float32)
-    scores = np.full((len(starts), len(names)), -1e4, np.float32)
+    starts, ends, first = words(folded, offsets, apart=True)
+    script = scripts_of(folded, starts)
+    count = len(model.langs)
+    trained = model.uses.any(axis=1)
+    common = {k: COMMON.get(NAMES[k], []) for k in np.unique(script).tolist() if not trained[k]}
+    names = [*sorted({*model.langs, *(x for few in common.values() for x in few)} - {UND}), UND]
+    at = [names.index(x) for x in model.langs]
+    scores = np.full((len(starts), len(names)), -BARRED, np.float32)
     if len(starts):
-        own = np.array([SCRIPTS[i][1] for i in range(len(SCRIPTS))])[script]
-        digits = (folded[starts] >= 48) & (folded[starts] <= 57)
-        if model.langs:
+        size = (ends - starts).astype(np.float32)
+        alike = UNKNOWN * (size + 1)
+        if count:
             codes, begin = grams(folded, starts, ends)
-            scores[:, : len(model.langs)] = np.add.reduceat(np.take(model.scores, slots_of(codes).astype(np.int64), axis=0, mode="clip"), begin[:-1], axis=0)
-        scores[:, -1] = UNKNOWN * (size + 1)
-        for i, name in enumerate(extra):
-            here = own == name
-            scores[here, : len(model.langs)] -= 1e3
-            scores[here, len(model.langs) + i] = UNKNOWN * (size[here] + 1) + 20
-        scores[digits] = 0  # numbers belong to any language
+            own = np.add.reduceat(np.take(model.scores, slots_of(codes).astype(np.int64), axis=0, mode="clip"), begin[:-1], axis=0)
+            scores[:, at] = np.where(model.uses[script], own, -BARRED)
+        open_ = (script == LATIN) | ~trained[script]
+        scores[open_, -1] = alike[open_]
+        for k, few in common.items():
+            here = script == k
+            for i, x in enumerate(few):
+                scores[here, names.index(x)] = alike[here] + COMMONLY - LESS * i
+        scores[numbers(folded, starts)] = 0
     return names, viterbi(scores, first, penalty), starts, ends, first
 
 
@@ -241,7 +269,7 @@ def spans_of(model: Model, penalty: float, reject: float):
 
 
 def verdicts(names: list[str], state: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, reject: float):
-    """Language with the most bytes of each row (ties: the first by name), its share, and whether the row stays."""
+    """Language with the most bytes of each row (ties: the first by name, ``und`` last), its share, and whether the row stays."""
     k = len(names)
     held = np.zeros((len(state), k))
     held[np.arange(len(state)), state] = ends - starts
@@ -272,9 +300,10 @@ def language_spans(docs: DataFrame, model: Model | None = None, penalty: float =
     """(doc_id, lang, share, keep, spans): the main language of each row, its share of the bytes of words, whether
     the row stays, and (start, end, lang) of each run of words in one language, in characters, end exclusive.
 
-    Null, empty and wordless texts are ``und`` with share 0, no spans and keep false. Equal scores go to the language
-    first by name. Repeated rows give repeated results; null doc_ids stay null. Numbers take the language around
-    them. Without a model one is fitted on the rows' own ``lang`` column. An empty table gives no rows.
+    Null, empty and wordless texts are ``und`` with share 0, no spans and keep false; texts of any length are labelled whole. Of languages
+    with equal shares the first by name is the main one, ``und`` the last; of equally good labellings that counts whose last word has the first
+    language by name and that, going back, stays in a language where it can. Repeated rows give repeated results; null doc_ids stay null. Numbers take
+    the language around them. Without a model one is fitted on the rows' own ``lang`` column. Other columns may have any names. An empty table gives no rows.
     """
     model = model or fit(docs, id_column=id_column, text_column=text_column)
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
@@ -282,7 +311,11 @@ def language_spans(docs: DataFrame, model: Model | None = None, penalty: float =
 
 
 def keep_languages(docs: DataFrame, model: Model | None = None, penalty: float = SWITCH, reject: float = REJECT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that ``language_spans`` keeps, with all their columns."""
+    """The rows that ``language_spans`` keeps, with all their columns, whatever these are called.
+
+    Rows with a null, empty or wordless text go; a row stays if at most ``reject`` of the bytes of its words, however long it is, is undetermined
+    (exactly that much stays). Repeated rows stay or go together. Other columns may be null. An empty table stays empty.
+    """
     model = model or fit(docs, id_column=id_column, text_column=text_column)
     inner = numbered(docs)
     return inner.mapInArrow(filtered(model, penalty, reject, place(docs.columns, text_column)), inner.schema).toDF(*docs.columns)

@@ -4,6 +4,7 @@ import codecs
 import itertools
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from rillstone.llm import bpe, graphs, language, linkgraph, ngrams, packing, perspectives, quality, queries, simhash
+from rillstone.llm import bpe, graphs, language, linkgraph, ngrams, packing, perspectives, quality, queries, simhash, textscan
 from rillstone.llm.textscan import raw
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -283,6 +284,105 @@ def test_viterbi(sizes, states, size, seed):
                 assert value(path[a:b], scores[a:b].astype(float)) == pytest.approx(best, abs=1e-4)
 
 
+def spelled(text):
+    """Words as (start, end, text) in characters, one by one: letters and digits; scripts without spaces by the character."""
+    out = []
+    for i, c in enumerate(text):
+        point = ord(c)
+        alone = any(a <= point < b for a, b in textscan.UNSPACED)
+        inside = c.isascii() and c.isalnum() or point > 127 and (unicodedata.category(c)[0] not in "PZ" or alone)
+        if not inside:
+            continue
+        if out and out[-1][1] == i and not alone and not out[-1][3]:
+            out[-1] = (out[-1][0], i + 1, out[-1][2] + c, False)
+        else:
+            out.append((i, i + 1, c, alone))
+    return [(a, b, "".join(x.lower() if x.isascii() or 0xC0 <= ord(x) <= 0xDE and x != "×" else x for x in w)) for a, b, w, _ in out]
+
+
+def gram_list(word):
+    b = b" " + word.encode() + b" "
+    return [1 << 16 | 32 << 8 | b[1], *(b[i - 2] << 16 | b[i - 1] << 8 | b[i] for i in range(2, len(b)))]
+
+
+def script_of(word):
+    return [name for start, name in language.SCRIPTS if start <= ord(word[0])][-1]
+
+
+def test_language_spans_against_brute_force(spark):
+    """Counts, scores, the best labelling by dynamic programming, spans and verdicts, all from their definitions."""
+    train = [("en", "the cat and the dog went over the hill"), ("en", "“Water”, they said — and the dog drank"), ("fr", "le chat et le chien sont allés au marché"), ("uk", "кіт і собака пішли до лісу"), ("ru", "кот и собака пошли в лес"), ("ja", "猫と犬は森へ行った。日本語のテキスト")]
+    texts = ["the dog et le chien", "“привет” кот и лес", "кіт пішли до the hill 42 лісу", "日本語のテキスト", "猫", "γάτα και σκύλος", "한국어 the cat", "qzx vvkj", "12 34", "", "!!", "le marché 犬は the森", "the cat " * 40 + "le chat et le chien " * 30]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(train)] + [(100 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.language_spans(docs).collect()}
+    counts, used = defaultdict(Counter), defaultdict(Counter)
+    for lang, t in train:
+        for _, _, w in spelled(t):
+            counts[lang].update(gram_list(w))
+            if not w[0].isdigit():
+                used[lang][script_of(w)] += len(w.encode())
+    langs = sorted(counts)
+    uses = {lang: {s for s, n in c.items() if n >= language.USES * sum(c.values())} for lang, c in used.items()}
+    slot = lambda g: (g * 2654435761 % (1 << 32)) >> 15
+    table = {}
+    for lang in langs:
+        context = Counter()
+        for g, n in counts[lang].items():
+            context[g // 256] += n
+        for g, n in sorted(counts[lang].items(), key=lambda x: (x[1], x[0])):
+            table[lang, slot(g)] = math.log((n + 0.05) / (context[g // 256] + 3.2))
+    for i, t in enumerate(texts):
+        spots = spelled(t)
+        extra = {x for _, _, w in spots for x in language.COMMON.get(script_of(w), []) if not any(script_of(w) in u for u in uses.values())}
+        names = [*sorted({*langs, *extra}), language.UND]
+        rows = []
+        for _, _, w in spots:
+            script, size = script_of(w), len(w.encode())
+            trained = [x for x in langs if script in uses[x]]
+            row = dict.fromkeys(names, -language.BARRED)
+            if script == "latin" or not trained:
+                row[language.UND] = language.UNKNOWN * (size + 1)
+            for x in trained:
+                row[x] = sum(table.get((x, slot(g)), language.UNSEEN) for g in gram_list(w))
+            if not trained:
+                for k, x in enumerate(language.COMMON.get(script, [])):
+                    row[x] = language.UNKNOWN * (size + 1) + language.COMMONLY - language.LESS * k
+            rows.append(dict.fromkeys(names, 0.0) if w[0] in "0123456789" else row)
+        best = dict.fromkeys(names, (0.0, ()))
+        for row in rows:
+            best = {x: max(((best[y][0] - language.SWITCH * (y != x) + row[x], best[y][1] + (x,)) for y in names), key=lambda v: v[0]) for x in names} if best[names[0]][1] else {x: (row[x], (x,)) for x in names}
+        r = found[100 + i]
+        path = [next(s.lang for s in r.spans if s.start <= a < s.end) for a, _, _ in spots]
+        value = sum(row[x] for row, x in zip(rows, path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+        assert value == pytest.approx(max(v for v, _ in best.values()), abs=1e-3 * (1 + len(rows))), t
+        assert r.spans == [(a[0][0], a[-1][1], x) for x, g in itertools.groupby(zip(path, spots), key=lambda v: v[0]) for a in [[s for _, s in g]]]
+        held = Counter()
+        for x, (_, _, w) in zip(path, spots):
+            held[x] += len(w.encode())
+        top = min(held, key=lambda x: (-held[x], names.index(x)), default=language.UND)
+        assert r.lang == top and r.share == pytest.approx(held[top] / sum(held.values()) if held else 0.0)
+        assert r.keep == (bool(held) and held[language.UND] <= language.REJECT * sum(held.values()))
+    spans = lambda i: [s.lang for s in found[100 + i].spans]
+    assert spans(1) == ["ru"] and set(spans(2)) == {"uk", "en"} and spans(3) == spans(4) == ["ja"] and spans(5) == ["el"] and spans(6) == ["ko", "en"] and spans(7) == ["und"]
+
+
+def test_scripts_of_untrained_languages(spark):
+    rows = [(0, "привіт це українська мова", "uk"), (1, "این یک متن فارسی است", "fa"), (2, "some english words are here", "en")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {0: "українська мова", 1: "متن فارسی", 2: "“some” words", 3: "漢字", 4: "かな漢字", 5: "文字 english words are here"}
+    found = language.language_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang for r in found} == {0: "uk", 1: "fa", 2: "en", 3: "zh", 4: "ja", 5: "en"} and all(r.keep for r in found)
+
+
+def test_sample_of_labelled_texts(spark):
+    """At most ``sample`` different texts of each language, each once, however often rows repeat."""
+    rows = [(i, f"word{i} " * 3, "aa") for i in range(50)] + [(i, "same text", "bb") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    assert language.fit(docs, sample=5).langs == ["aa", "bb"]
+    one = language.fit(spark.createDataFrame([(1, "same text", "bb")], "doc_id long, text string, lang string"))
+    assert (language.fit(docs, sample=5).scores[:, 1] == one.scores[:, 0]).all()
+
+
 def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"))

@@ -96,7 +96,11 @@ def test_language(docs):
     rows = by_id(language.language_spans(docs).collect())
     assert rows[1].lang == "und" and not rows[1].keep and rows[2].spans == [] and rows[4].keep is False and rows[3].lang == "de"
     assert language.language_spans(docs.where("false")).count() == 0 and language.keep_languages(docs).columns == NAMES
-    assert {s.lang for s in rows[5].spans} >= {"zh", "ru"}
+    model = language.fit(docs.where("doc_id <> 5"))
+    assert {s.lang for s in by_id(language.language_spans(docs, model).collect())[5].spans} >= {"zh", "ru"}
+    assert language.fit(docs.where("false")).langs == [] and language.keep_languages(docs.where("false")).count() == 0
+    kept = language.keep_languages(docs, model)
+    assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == sorted((r[0] is None, r[0] or 0) for r in language.language_spans(docs, model).where("keep").collect())
 
 
 def test_quality(docs, labels):
