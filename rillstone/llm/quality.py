@@ -2,7 +2,7 @@
 
 Random Fourier features approximate a Gaussian kernel over standardised statistics of each text. Every
 partition sums its part of the normal equations, which are added up and solved for ridge weights. Isotonic regression
-over the scores of the labelled rows turns a score into a probability of good quality.
+over the scores of labelled rows that were held out from the weights turns a score into a probability of good quality.
 """
 
 from collections.abc import Iterator
@@ -17,6 +17,8 @@ from .textscan import blocks, fold, per_row, span_hashes, words
 
 #: Random features, their seed, ridge penalty for each labelled row, and the least probability that is kept.
 FEATURES, SEED, RIDGE, KEEP = 192, 7, 1e-3, 0.3
+#: One of so many labelled rows, by a hash of its statistics, is held out for the calibration.
+HELD = 4
 #: Steps of the score, between -GRID/STEP and GRID/STEP, on which isotonic regression works.
 GRID, STEP = 1024, 512
 NAMES = ["log_words", "word_length", "word_length_spread", "upper", "digits", "marks", "bars", "brackets", "other_signs", "white", "beyond_ascii", "distinct_words", "repeated_lines", "log_line", "short_words", "controls"]
@@ -162,46 +164,39 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in blocks_]) if blocks_ else np.zeros(0)
 
 
-def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, stats) of every row."""
-    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(measured, "doc_id long, stats array<double>")
-
-
-def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: float = RIDGE, label_column: str = "quality") -> Model | None:
-    """A model from all labelled rows of ``measure``; None if there are none.
+def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: float = RIDGE, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", held: int = HELD) -> Model | None:
+    """A model from all labelled documents; None if there are none. Only these are measured.
 
-    Labels that are null don't count; several of one doc_id are averaged.
+    Labels that are null don't count; several of one doc_id are averaged. Weights come from all but one in ``held`` of the labelled
+    rows, the calibration from the others; equal statistics are on one side. Where a side would be empty, both have all rows.
     """
-    marks = pick(labels, doc_id="doc_id", y=label_column).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
-    rows = settle(stats.join(marks, "doc_id").select("stats", "y"))
+    marks = pick(labels, doc_id="doc_id", y=label_column).where("doc_id is not null and y is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("y").cast("double")).alias("y"))
+    texts = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
+    known = settle(texts.join(marks.select("doc_id"), "doc_id", "left_semi").mapInArrow(measured, "doc_id long, stats array<double>"))
+    side = F.pmod(F.xxhash64("stats"), F.lit(held)) == 0
+    rows = settle(known.join(marks, "doc_id").select("stats", "y", side.alias("apart")))
     d = len(NAMES)
-    head = rows.agg(F.count(F.lit(1)), *(f(F.col("stats")[i]) for i in range(d) for f in (F.avg, F.stddev_pop))).first()
+    head = rows.agg(F.count(F.lit(1)), F.count_if("apart"), *(f(F.col("stats")[i]) for i in range(d) for f in (F.avg, F.stddev_pop))).first()
     if not head[0]:
         return None
-    moments = np.array(head[1:], float).reshape(d, 2)
+    both = 0 < head[1] < head[0]
+    fitted, apart = (rows.where("not apart"), rows.where("apart")) if both else (rows, rows)
+    moments = np.array(head[2:], float).reshape(d, 2)
     model = Model(moments[:, 0], np.where(moments[:, 1] > 1e-9, moments[:, 1], 1.0), features, seed)
-    sums = rows.mapInArrow(equations(model), "sums array<double>").repartition(8).mapInArrow(added, "sums array<double>")
+    sums = fitted.select("stats", "y").mapInArrow(equations(model), "sums array<double>").repartition(8).mapInArrow(added, "sums array<double>")
     total = sum(np.array(r[0]) for r in sums.toLocalIterator()).reshape(features + 1, features + 2)
-    penalty = np.full(features + 1, ridge * head[0])
-    penalty[-1] = 1e-9  # the constant isn't shrunk
-    model.weights = np.linalg.solve(total[:, :-1] + np.diag(penalty), total[:, -1])
-    table = rows.mapInArrow(levels(model), "step long, y double, n long").groupBy("step").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("step")
+    model.weights = solved(total, ridge * (head[0] - head[1] if both else head[0]))
+    table = apart.select("stats", "y").mapInArrow(levels(model), "step long, y double, n long").groupBy("step").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas().sort_values("step")
     means = isotonic(table["y"].to_numpy(), table["n"].to_numpy())
     model.levels = np.interp(np.arange(2 * GRID + 1), table["step"].to_numpy(), means)
     return model
 
 
-def judged(model: Model | None, keep: float):
-    """Rows (doc_id, stats) to (doc_id, score, quality, keep)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = _matrix(batch.column(1), len(NAMES))
-            score, good = results(model, stats)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(good), pa.array(good >= keep)], ["doc_id", "score", "quality", "keep"])
-
-    return run
+def solved(total: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge weights from the summed equations (features + 1, features + 2)."""
+    shrunk = np.full(len(total), penalty)
+    shrunk[-1] = 1e-9  # the constant isn't shrunk
+    return np.linalg.solve(total[:, :-1] + np.diag(shrunk), total[:, -1])
 
 
 def results(model: Model | None, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,20 +218,37 @@ def kept(model: Model | None, keep: float, at_text: int):
     return run
 
 
+def scored(model: Model | None, keep: float):
+    """Rows (doc_id, text) to (doc_id, score, quality, keep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, offsets, data in blocks(batch.column(1)):
+                score, good = results(model, statistics(data, offsets))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array(good), pa.array(good >= keep)], ["doc_id", "score", "quality", "keep"])
+
+    return run
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, quality, keep) of every row: ridge score, calibrated probability, whether the row stays.
 
-    Null, empty and wordless texts have quality 0 and don't stay. Repeated rows give repeated results, null doc_ids
-    stay null and are unlabelled. Without any labelled row all others have quality 1. Equal scores have equal
-    quality; a quality that equals the threshold stays. An empty table gives no rows.
+    Null, empty and wordless texts have quality 0 and don't stay; texts of any length are measured whole. Repeated rows give repeated results, null
+    doc_ids stay null and are unlabelled. Without any labelled row all others have quality 1. Equal scores have equal
+    quality; a quality that equals the threshold stays. A statistic that all labelled rows share counts as it deviates from them. Other columns may
+    have any names. An empty table gives no rows.
     """
-    stats = settle(measure(docs, id_column, text_column))
-    model = fit(stats, labels)
-    return stats.mapInArrow(judged(model, keep), "doc_id long, score double, quality double, keep boolean")
+    model = fit(docs, labels, id_column=id_column, text_column=text_column)
+    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(scored(model, keep), "doc_id long, score double, quality double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that ``quality_scores`` keeps, with all their columns."""
-    model = fit(measure(docs, id_column, text_column), labels)
+    """The rows that ``quality_scores`` keeps, with all their columns, whatever these are called.
+
+    Rows with a null, empty or wordless text go, null doc_ids are judged like others, repeated rows stay or go together, and an
+    empty table stays empty.
+    """
+    model = fit(docs, labels, id_column=id_column, text_column=text_column)
     inner = numbered(docs)
     return inner.mapInArrow(kept(model, keep, place(docs.columns, text_column)), inner.schema).toDF(*docs.columns)
