@@ -4,6 +4,7 @@ import codecs
 import itertools
 import math
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -411,6 +412,54 @@ def test_isotonic(pairs):
     assert quality.isotonic(y, n) == pytest.approx(want)
 
 
+def test_quality_against_a_direct_solution(spark):
+    """op10 as registered: statistics of each labelled text by plain Python, features, ridge weights by least squares, calibration and verdicts."""
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist() if r["doc_id"] in docs and r["quality"] is not None}
+
+    def measured(text):
+        data = text.encode()
+        found = [x.lower() for x in re.findall(rb"[A-Za-z0-9\x80-\xff]+", data)]
+        folded = ["".join(c.lower() if c.isascii() or 0xC0 <= ord(c) <= 0xDE and c != "×" else c for c in w.decode()) for w in found]
+        length, n = [len(w) for w in found], max(len(found), 1)
+        lines = re.findall(rb"[^\n]*\n|[^\n]+$", data)
+        mean = sum(length) / n
+        share = lambda chars: sum(b in chars for b in data) / max(len(data), 1)
+        signs = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "!?|<>{}[]()")
+        return [math.log1p(len(found)), mean, math.sqrt(max(sum(x * x for x in length) / n - mean**2, 0)), share(bytes(range(65, 91))), share(b"0123456789"), share(b"!?"), share(b"|"), share(b"<>{}[]()"), share(signs), share(b" \t\r\n"), share(bytes(range(128, 256))),
+                len(set(folded)) / n, 1 - len({x.lower() for x in lines}) / max(len(lines), 1), math.log1p(len(data) / max(len(lines), 1)), sum(x <= 3 for x in length) / n, share(bytes([*range(9), 11, 12, *range(14, 32), 127]))]
+
+    stats = {k: np.array(measured(t)) for k, t in docs.items()}
+    for k, t in list(docs.items())[::7]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert quality.statistics(data, np.array([0, len(data)]))[0] == pytest.approx(stats[k], abs=1e-9), k
+    own = [quality.statistics(np.frombuffer(docs[k].encode(), np.uint8), np.array([0, len(docs[k].encode())]))[0].tolist() for k in labels]
+    sides = {k: r.apart for k, r in zip(labels, spark.createDataFrame([(i, v) for i, v in enumerate(own)], "i long, stats array<double>").orderBy("i").selectExpr(f"pmod(xxhash64(stats), {quality.HELD}) = 0 AS apart").collect())}
+    x = np.array([stats[k] for k in labels])
+    spread = x.std(axis=0)
+    rng = np.random.default_rng(quality.SEED)
+    turn, shift = rng.normal(size=(len(quality.NAMES), quality.FEATURES)) / math.sqrt(len(quality.NAMES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = {k: np.append(np.cos(np.clip((s - x.mean(axis=0)) / np.where(spread > 1e-9, spread, 1.0), -8, 8) @ turn + shift) * math.sqrt(2 / quality.FEATURES), 1.0) for k, s in stats.items()}
+    fitted = [k for k in labels if not sides[k]]
+    root = np.sqrt(quality.RIDGE * len(fitted))
+    a = np.concatenate(([z[k] for k in fitted], np.diag([*[root] * quality.FEATURES, 1e-9**0.5])))
+    weights = np.linalg.lstsq(a, np.concatenate(([2.0 * labels[k] - 1 for k in fitted], np.zeros(quality.FEATURES + 1))), rcond=None)[0]
+    score = {k: v @ weights for k, v in z.items()}
+    found = {r.doc_id: r for r in queries.QUERIES["op10_quality_scores"](spark, SMALL).collect()}
+    assert sorted(found) == sorted(docs) and all(found[k].score == pytest.approx(score[k], abs=1e-6) for k in docs)
+    step = lambda k: min(max(math.floor(found[k].score * quality.STEP), -quality.GRID), quality.GRID)
+    held = defaultdict(list)
+    for k in labels:
+        if sides[k]:
+            held[step(k)].append(labels[k])
+    at = sorted(held)
+    pooled = lambda i, j: sum(sum(held[s]) for s in at[i : j + 1]) / sum(len(held[s]) for s in at[i : j + 1])
+    level = [max(min(pooled(i, j) for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))]
+    for k in docs:
+        want = np.interp(step(k), at, level) if stats[k][0] > 0 else 0.0
+        assert found[k].quality == pytest.approx(want, abs=1e-9) and found[k].keep == (found[k].quality >= quality.KEEP)
+
+
 def test_quality_of_held_out_texts(spark):
     docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
     found = {r.doc_id: r for r in quality.quality_scores(docs, labels.where("doc_id % 2 = 0")).collect()}
@@ -429,7 +478,7 @@ def test_pipeline_against_its_parts(spark):
     ids = lambda df, where: {r.doc_id for r in df.where(where).collect()}
     only = lambda keep: docs.where(docs.doc_id.isin(sorted(keep)))
     left = ids(language.language_spans(docs), "keep")
-    model = quality.fit(quality.measure(only(left)), labels)
+    model = quality.fit(only(left), labels)
     texts = {r.doc_id: r.text for r in only(left).collect()}
     sums = {}
     for k, t in texts.items():
