@@ -6,17 +6,18 @@ and Thai, each character counts as a word. Texts whose fingerprints lie within
 
 Search is by shards: a fingerprint belongs to the shards named by ``KEYS`` shingles (runs of ``SHINGLE`` words) of its
 texts, one for each of ``KEYS`` hash functions. A shingle is drawn in proportion to how often it occurs in the text, as
-the SimHash weighs by that too, and alike in texts that have it in like proportion (P-MinHash). A shard's fingerprints form one
-BK-tree whose children are keyed by their Hamming distance to the parent; each member walks the tree of its
-shard and follows only the edges within the radius. Shards meet by a shuffle of fingerprints, so no structure
-that grows with the corpus is held in one place, and equal fingerprints are collapsed before.
+the SimHash weighs by that too, and alike in texts that have it in like proportion (P-MinHash). A shard's fingerprints form
+BK-trees whose children are keyed by their Hamming distance to the parent; each member walks the trees of its
+shards and follows only the edges within the radius. A shard of more than ``LIMIT`` fingerprints is cut into that many trees
+of at most about ``LIMIT``, so that none is one task's work: members meet those of their own part in a shuffle, and the trees of all other parts
+as broadcasts of a bounded size, one after the other. Shards of one are dropped before fingerprints move, and equal fingerprints are collapsed before that.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import numbered, pick, place, settle
@@ -25,7 +26,9 @@ from .textscan import blocks, fold, mix, per_row, raw, span_hashes, words
 #: Greatest Hamming distance, of 128 bits, at which two fingerprints count as near-duplicates.
 RADIUS = 28
 #: Shards of each fingerprint, and words in the shingles that name them.
-KEYS, SHINGLE = 6, 3
+KEYS, SHINGLE = 12, 3
+#: Fingerprints in a tree, about, and bytes of trees or of lists of ids that are broadcast at once.
+LIMIT, BROADCAST = 4096, 64 << 20
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,83 +121,101 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class BKTree:
-    """Fingerprints as Python integers; a node's children are keyed by their distance to it."""
-
-    def __init__(self) -> None:
-        self.root: tuple[int, dict] | None = None
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = (value, {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ value).bit_count()
-            if d == 0:
-                return
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = (value, {})
-                return
-            node = child
-
-    def near(self, value: int, radius: int) -> list[int]:
-        """All values within the radius; a child at edge e is visited only if |e - d| <= radius."""
-        found, stack = [], [self.root] if self.root else []
+    """Fingerprints, rows of two 64-bit words; a node's children are keyed by their distance to it."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints = prints
+        self.children: list[dict[int, int]] = [{} for _ in prints]
+        values = [a << 64 | b for a, b in prints.tolist()]
+        for i in range(1, len(values)):
+            node, value = 0, values[i]
+            while True:
+                d = (values[node] ^ value).bit_count()
+                below = self.children[node].get(d)
+                if below is None:
+                    self.children[node][d] = i
+                    break
+                node = below
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) for all within the radius. All queries walk side by side; a child at edge e is visited by those with |e - d| <= radius."""
+        asked, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        stack = [(0, np.arange(len(queries)))] if len(self.prints) and len(queries) else []
         while stack:
-            held, children = stack.pop()
-            d = (held ^ value).bit_count()
-            if d <= radius:
-                found.append(held)
-            for edge, child in children.items():
-                if -radius <= edge - d <= radius:
-                    stack.append(child)
-        return found
-
-
-def shard_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """For each fingerprint near others of its shard, an edge to the least of its component within the shard."""
-    tree, parent = BKTree(), {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for value in values:
-        parent[value] = value
-        for other in tree.near(value, radius):
-            a, b = find(value), find(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        tree.add(value)
-    return [(x, r) for x in values if (r := find(x)) != x]
+            node, own = stack.pop()
+            apart = np.bitwise_count(queries[own] ^ self.prints[node])
+            d = apart[:, 0].astype(np.int16) + apart[:, 1]
+            hit = own[d <= radius]
+            asked.append(hit)
+            met.append(np.full(len(hit), node))
+            for edge, below in self.children[node].items():
+                on = own[np.abs(d - edge) <= radius]
+                if len(on):
+                    stack.append((below, on))
+        return np.concatenate(asked), np.concatenate(met)
+
+
+def roots_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of ``count`` nodes."""
+    root = np.arange(count)
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+class Shard:
+    """The tree of a shard, or of a part of one, and the components within it."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius = np.unique(prints, axis=0), radius
+        self.tree = BKTree(self.prints)
+        self.root = roots_of(len(self.prints), *self.tree.near(self.prints, radius))
+
+    def inner(self) -> tuple[np.ndarray, np.ndarray]:
+        """An edge from each fingerprint to the least of its component."""
+        some = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.prints[some], self.prints[self.root[some]]
+
+    def outer(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge from each query to each component of the tree that it is near to."""
+        q, node = self.tree.near(queries, self.radius)
+        pairs = np.unique(np.stack((q, self.root[node]), axis=1), axis=0)
+        return queries[pairs[:, 0]], self.prints[pairs[:, 1]]
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """Fingerprints of 16 bytes as rows of two words, in the byte order that makes words compare as bytes do."""
+    off, data = raw(column)
+    return np.ascontiguousarray(data[off[0] : off[-1]]).view(">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def edge_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sides = [np.concatenate([np.zeros((0, 2), np.uint64), *(p[k] for p in pairs)]).astype(">u8") for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in sides], ["a", "b"])
 
 
 def linked(radius: int):
-    """Rows (key, print), sorted by key within a partition, to edges (a, b); a shard may span batches."""
+    """Rows (key, part, print), sorted by key and part within a partition, to edges (a, b); a shard may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros((0, 16), np.uint8)
+        held_keys, held = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.uint64)
 
         def edges(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            found: list[tuple[int, int]] = []
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-            for i in np.flatnonzero(np.diff(cuts) > 1):
-                solid = prints[cuts[i] : cuts[i + 1]].tobytes()
-                found += shard_edges(sorted({int.from_bytes(solid[j : j + 16], "big") for j in range(0, len(solid), 16)}), radius)
-            return pa.RecordBatch.from_arrays([pa.array([x[k].to_bytes(16, "big") for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]))
+            return edge_batch([Shard(prints[cuts[i] : cuts[i + 1]], radius).inner() for i in np.flatnonzero(np.diff(cuts) > 1)])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, data = raw(batch.column(1))
-            off, _ = raw(batch.column(1))
-            held_keys = np.concatenate((held_keys, batch.column(0).to_numpy()))
-            held = np.concatenate((held, data[off[0] : off[-1]].reshape(-1, 16)))
-            split = int(np.searchsorted(held_keys, held_keys[-1], "left"))
-            if split:
+            held_keys = np.concatenate((held_keys, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], axis=1)))
+            held = np.concatenate((held, words_of(batch.column(2))))
+            split = len(held_keys) - int(np.argmax((held_keys[::-1] != held_keys[-1]).any(axis=1)))
+            if split < len(held_keys):
                 yield edges(held_keys[:split], held[:split])
                 held_keys, held = held_keys[split:], held[split:]
         yield edges(held_keys, held)
@@ -202,6 +223,27 @@ def linked(radius: int):
     return run
 
 
+def crossed(shared, radius: int):
+    """Rows (key, part, print) of shards in several parts to edges (a, b) with the broadcast trees of later parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[tuple[int, int], Shard] = {}
+        for batch in batches:
+            key, part = (batch.column(i).to_numpy() for i in (0, 1))
+            prints, found = words_of(batch.column(2)), []
+            for k in np.unique(key).tolist():
+                own = np.flatnonzero(key == k)
+                for p, members in shared.value.get(k, {}).items():
+                    before = own[part[own] < p]
+                    if len(before):
+                        if (k, p) not in trees:
+                            trees[k, p] = Shard(members, radius)
+                        found.append(trees[k, p].outer(prints[before]))
+            yield edge_batch(found)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): the least node of its connected component.
 
@@ -229,10 +271,32 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return settle(rows.mapInArrow(signed, "doc_id long, digest long, print binary, keys array<long>"))
 
 
-def groups(signs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(print, root) for every fingerprint that has near-duplicates with other fingerprints."""
-    members = signs.select(F.explode("keys").alias("key"), "print").distinct()
-    edges = members.repartition("key").sortWithinPartitions("key").mapInArrow(linked(radius), "a binary, b binary")
+def groups(signs: DataFrame, radius: int = RADIUS, limit: int = LIMIT, most: int = BROADCAST) -> DataFrame:
+    """(print, root) for every fingerprint that has near-duplicates with other fingerprints.
+
+    No key is one task's work: counts of keys are summed before they move, shards of one go, and those of more than ``limit``
+    are cut into parts of about ``limit``.
+    """
+    spark = signs.sparkSession
+    members = signs.select("print", "keys").distinct().select(F.explode("keys").alias("key"), "print")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / limit)).cast("int")
+    dealt = settle(members.join(sizes, "key").select("key", F.when(F.col("n") > limit, part).otherwise(0).alias("part"), "print", (F.col("n") > limit).alias("hot")))
+    edges = dealt.select("key", "part", "print").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(linked(radius), "a binary, b binary")
+    hot = dealt.where("hot").select("key", "part", "print").distinct()
+    rounds = -(-hot.count() * 28 // most)
+    for r in range(rounds):
+        table = hot.where(F.pmod(F.xxhash64("key", "part"), F.lit(rounds)) == r).toArrow()
+        order = np.lexsort((table["part"].to_numpy(), table["key"].to_numpy()))
+        key, at, prints = table["key"].to_numpy()[order], table["part"].to_numpy()[order], words_of(table["print"].combine_chunks())[order]
+        trees: dict[int, dict[int, np.ndarray]] = {}
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(at) != 0)) + 1).tolist(), len(key)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y > x:
+                trees.setdefault(int(key[x]), {})[int(at[x])] = prints[x:y]
+        shared = spark.sparkContext.broadcast(trees)
+        edges = edges.unionByName(settle(hot.mapInArrow(crossed(shared, radius), "a binary, b binary").distinct()))
+        shared.unpersist()
     return components(edges).select(F.col("node").alias("print"), "root")
 
 
@@ -240,9 +304,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(doc_id, kept_id, group_size): every document that has a near-duplicate with a lower doc_id, beside the
     lowest doc_id of its group.
 
-    Texts that are null are duplicates of nothing. Texts without words match equal texts only. Documents whose
+    Texts that are null are duplicates of nothing. Empty texts, and texts without words, match equal texts only; texts of any length count whole. Documents whose
     doc_id is null don't show, and never are the kept one unless nothing else is. Repeated rows with one doc_id
-    count as one document. Ties don't arise: the lowest doc_id of a group stays. An empty table gives no rows.
+    count as one document. Ties don't arise: the lowest doc_id of a group stays. Other columns may have any names and don't matter. An empty table
+    gives no rows. Two texts are linked if they share a shard and their fingerprints lie within the radius; hardly any pair within the radius shares none.
     """
     signs = signatures(docs, id_column, text_column)
     roots = groups(signs, radius)
@@ -252,20 +317,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return placed.join(kept, "root").where("doc_id <> kept_id").select("doc_id", "kept_id", "group_size")
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents, less all but one of each group of near-duplicates; columns stay as they are.
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, most: int = BROADCAST) -> DataFrame:
+    """The documents, less all but one of each group of near-duplicates; columns stay as they are, whatever they are called.
 
     Of a group the row with the lowest doc_id stays (null counts as the highest; among rows that share it, the one
-    with the lowest text hash, and of wholly equal (doc_id, text) rows any one). Rows with null text all stay.
+    with the lowest text hash, and of rows equal in doc_id and text the one whose columns come first as JSON). Rows with null text all stay. Empty
+    texts are equal to one another, and texts of any length count whole. An empty table stays empty. Texts don't move: rows are marked by a list of the dropped, which
+    is broadcast if it has no more than ``most`` bytes.
     """
     names, inner = docs.columns, numbered(docs)
     at_id, at_text = (f"c{place(names, x)}" for x in (id_column, text_column))
     signs = signatures(docs, id_column, text_column)
     roots = groups(signs, radius)
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("digest").alias("g"))
-    placed = signs.select("doc_id", "digest", "print").join(roots, "print", "left").select("doc_id", "digest", F.coalesce("root", "print").alias("root"))
-    keep = placed.groupBy("root").agg(F.min(rank).alias("r")).select(F.coalesce("r.d", F.lit(-(2**63))).alias("__d"), F.col("r.n").alias("__n"), F.col("r.g").alias("__g"))
+    mark = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("doc_id").isNull().alias("__n"), F.col("digest").alias("__g")]
+    rows = signs.join(roots, "print", "left").select(F.coalesce("root", "print").alias("root"), *mark).groupBy("root", "__d", "__n", "__g").agg(F.count(F.lit(1)).alias("times"))
+    best = rows.groupBy("root").agg(F.min(F.struct("__n", "__d", "__g")).alias("best"))
+    same = F.struct("__n", "__d", "__g") == F.col("best")
+    # rows that go, and those of which one of several equal ones stays
+    marked = settle(rows.join(best, "root").where(~same | (F.col("times") > 1)).select("__d", "__n", "__g", same.alias("again")).groupBy("__d", "__n", "__g").agg(F.max("again").alias("again")))
+    count, again = marked.agg(F.count(F.lit(1)), F.count_if("again")).first()
+    if count * 25 <= most:
+        marked = F.broadcast(marked)
     key = [F.coalesce(F.col(at_id).cast("long"), F.lit(-(2**63))).alias("__d"), F.col(at_id).isNull().alias("__n"), F.xxhash64(at_text).alias("__g")]
-    texts = inner.where(F.col(at_text).isNotNull()).select("*", *key)
-    one = texts.join(keep, ["__d", "__n", "__g"], "left_semi").dropDuplicates(["__d", "__n", "__g"]).drop("__d", "__n", "__g")
-    return one.unionByName(inner.where(F.col(at_text).isNull())).toDF(*names)
+    found = inner.select("*", *key, F.col(at_text).isNotNull().alias("__t")).join(marked.withColumn("__t", F.lit(True)), ["__d", "__n", "__g", "__t"], "left")
+    left = found.where("again is null").select(*inner.columns)
+    if again:
+        first = Window.partitionBy("__d", "__n", "__g").orderBy(F.to_json(F.struct(*inner.columns)))
+        left = left.unionByName(found.where("again").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*inner.columns))
+    return left.toDF(*names)

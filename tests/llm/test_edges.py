@@ -39,6 +39,14 @@ def test_simhash(docs):
     # null texts all stay, wholly equal rows count once
     assert sorted((r[0] is None, r[0] or 0) for r in left.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0), (True, 0)]
     assert simhash.drop_near_duplicates(docs.where("false")).count() == 0
+    assert sorted(map(repr, simhash.drop_near_duplicates(docs, most=0).collect())) == sorted(map(repr, left.collect()))  # without a broadcast
+
+
+def test_simhash_of_equal_rows_is_deterministic(spark):
+    rows = [(1, "one text of some words", f"x{i}") for i in range(40)] + [(2, "one text of some words", "a"), (None, "one text of some words", "b"), (3, "another one altogether here", "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, again string")
+    for n in (1, 7):
+        assert sorted(map(tuple, simhash.drop_near_duplicates(table.repartition(n)).collect())) == [(1, "one text of some words", "x0"), (3, "another one altogether here", "c")]
 
 
 def test_media(spark, docs):
