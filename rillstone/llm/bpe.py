@@ -10,6 +10,7 @@ are made when texts need them for the second time; until then, the guesses are f
 
 import base64
 import gc
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from .frames import pick
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept with their tokens, states and pairs kept at a time, and tokens handed to the streaming decoder at once.
-CACHE, STATES, CHUNK = 3 << 17, 1 << 17, 4096
+CACHE, STATES, CHUNK = 3 << 17, 1 << 17, 512
 #: Bytes to the end of a piece up to which an arc that is needed for the first time isn't made.
 SHORT = 64
 
@@ -273,34 +274,55 @@ def _machine() -> list[bytes]:
 
 
 MACHINE = _machine()
+#: Runs of bytes that take the machine out of state 0; of a first byte, the bits that belong to the character.
+_HIGH = re.compile(rb"[\x80-\xff]+")
+_BITS = bytes(b & 0x1F if b < 0xE0 else b & 0x0F if b < 0xF0 else b & 0x07 for b in range(256))
+BAD = "\ufffd"
 
 
 class Utf8Stream:
-    """Bytes in any portions to text. Only the bytes of an unfinished character are held; an impossible byte ends the
-    character before it, and each such part becomes U+FFFD."""
+    """Bytes in any portions to text, by the machine: what is held is its state and the bits of the unfinished character. An impossible
+    byte ends the character before it, and each such part becomes U+FFFD. In state 0 the machine stays where it is for
+    all ASCII bytes, so runs of these are taken at once."""
 
     def __init__(self) -> None:
-        self.state, self.held = 0, b""
+        self.state, self.point = 0, 0
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        # the machine runs over the end only: the bytes from the last one that begins a character
-        begin = len(data)
-        for back in range(1, min(4, len(data)) + 1):
-            if data[-back] & 0xC0 != 0x80:
-                begin = len(data) - back
-                break
-        state = 0
-        for b in data[begin:]:
-            state = MACHINE[state][b]
-        if state in (0, 8):
-            begin, state = len(data), 0
-        self.state, self.held = state, data[begin:]
-        return data[:begin].decode("utf-8", "replace")
+        out: list[str] = []
+        at, state, point, machine = 0, self.state, self.point, MACHINE
+        for m in _HIGH.finditer(data):
+            begin, end = m.span()
+            if begin > at:
+                if state:
+                    out.append(BAD)
+                    state = 0
+                out.append(data[at:begin].decode("ascii"))
+            for b in data[begin:end]:
+                to = machine[state][b]
+                if to == 8:
+                    if state:
+                        out.append(BAD)
+                        state, to = 0, machine[0][b]
+                    if to == 8:
+                        out.append(BAD)
+                        continue
+                point = point << 6 | b & 63 if state else _BITS[b]
+                state = to
+                if not state:
+                    out.append(chr(point))
+            at = end
+        if at < len(data):
+            if state:
+                out.append(BAD)
+                state = 0
+            out.append(data[at:].decode("ascii"))
+        self.state, self.point = state, point
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.state, self.held = self.held, 0, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.state, self.point = BAD if self.state else "", 0, 0
+        return rest
 
 
 class StreamDecoder:
@@ -381,8 +403,9 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
     """(doc_id, tokens, n_tokens, n_bytes, restored): the tokens of every whole text, and whether streaming decoding
     gave the text back.
 
-    A null text has null in all columns but doc_id and n_tokens 0 is null too; an empty text has no tokens. Repeated rows give
-    repeated results; null doc_ids stay null. An empty table gives no rows. Special tokens' strings are ordinary text.
+    A null text has null in all columns but doc_id; an empty text has no tokens, and texts of any length are encoded whole. Of merges of equal rank
+    the leftmost comes first. Repeated rows give repeated results; null doc_ids stay null. Other columns may have any names. An empty table gives no rows.
+    Special tokens' strings are ordinary text.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(encoded(_shared(docs, path, pattern)), "doc_id long, tokens array<int>, n_tokens long, n_bytes long, restored boolean")
