@@ -176,9 +176,60 @@ def test_plan_places_everything_once(histogram):
     assert bins <= max(-(-total * 3 // (40 * 2)) + 1, sum(v for k, v in histogram.items() if k > 20) + -(-total // 40))
 
 
-def test_complements_are_exact():
-    assert sorted(packing.plan({25: 4, 15: 4}, 40)) == [((25, 15), 4)]
-    assert packing.plan({20: 3, 10: 3, 6: 3, 4: 3}, 40) == [((20, 20), 1), ((20, 10, 10), 1), ((10, 6, 6, 6, 4, 4, 4), 1)] or all(sum(p) == 40 for p, n in packing.plan({20: 3, 10: 3, 6: 3, 4: 3}, 40)[:-1])
+def packed_one_by_one(histogram, capacity):
+    """By definition: pieces from the longest, each completed exactly by a single, pair or triple of the others if there is one, then best fit."""
+    left, bins, rest = Counter({k: v for k, v in histogram.items() if v}), [], []
+    for anchor in sorted(left, reverse=True):
+        while left[anchor]:
+            left[anchor] -= 1
+            gap, found = capacity - anchor, None
+            have = sorted((x for x in left if left[x]), reverse=True)
+            if gap == 0:
+                found = ()
+            for size in (1, 2, 3):
+                if found is None and gap:
+                    found = next((c for c in itertools.combinations_with_replacement(have, size) if sum(c) == gap and all(left[x] >= c.count(x) for x in c)), None)
+            if found is None:
+                rest.append(anchor)
+            else:
+                left -= Counter(found)
+                bins.append((anchor, *found))
+    open_bins = []
+    for x in rest:
+        fits = [b for b in open_bins if capacity - sum(b) >= x]
+        if fits:
+            max(fits, key=sum).append(x)
+        else:
+            open_bins.append([x])
+    return Counter(bins) + Counter(tuple(b) for b in open_bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 7), max_size=12), st.integers(30, 40))
+def test_plan_against_one_by_one(histogram, capacity):
+    want = packed_one_by_one(histogram, capacity)
+    found = Counter()
+    for pattern, n in packing.plan(histogram, capacity):
+        found[pattern] += n
+    assert found == want
+
+
+def test_lengths_and_sequences(spark):
+    rows = [(i, [i * 100 + j for j in range(n)]) for i, n in enumerate([0, 3, 7, 8, 25, 2, 2, 16])] + [(20, None), (None, [5, 5])]
+    table = spark.createDataFrame(rows, "doc_id long, tokens array<int>")
+    sizes = table.selectExpr("doc_id", "size(tokens) AS n", "'x' AS text", "1 AS bin_id")
+    want = {(r.doc_id, r.piece): (r.length, r.bin_id, r.start) for r in packing.pack(sizes.where("n >= 0"), 8, length_column="n", ranked=2).collect()}
+    got, texts = {}, defaultdict(list)
+    for r in packing.sequences(table, -1, 8, ranked=2).collect():
+        assert len(r.tokens) <= 8 and len(r.starts) == len(r.doc_ids)
+        for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.tokens)]):
+            texts[doc].append((r.tokens[a:b], r.bin_id, a))
+    for doc, own in rows:
+        if own is not None:
+            parts = sorted(texts[doc], key=lambda p: p[0][0] if p[0][0] >= 0 else 1 << 30)
+            assert [t for p, _, _ in parts for t in p] == [*own, -1]
+            got |= {(doc, i): (len(p), b, a) for i, (p, b, a) in enumerate(parts)}
+    assert got == want and 20 not in texts
 
 
 def test_packing_covers_each_document(spark):
