@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .frames import pick, settle
 from .textscan import blocks, raw
 
-#: Bytes in the longest n-gram, and share of all of their order that n-grams must make up not to be left to the backoff.
-ORDER, SHARE = 5, 0.0
+#: Bytes in the longest n-gram.
+ORDER = 5
 #: Bytes of text in a block; a longer text is the end of its block. Steps looked up at once.
 BLOCK, STEPS = 32 << 20, 1 << 20
 START, END = 0, 1  # symbols that stand for the borders of a text; a byte b is the symbol b + 2
@@ -158,33 +158,25 @@ class Arcs:
         return np.add.reduceat(weight, first[:-1])
 
 
-def arc_weights(counts: DataFrame, order: int, share: float) -> DataFrame:
+def arc_weights(counts: DataFrame, order: int) -> DataFrame:
     """(gram, weight): log-probability of the last symbol of every longest n-gram after the ones before it.
 
     Counts (gram, n) are exact and summed in Spark; shorter n-grams and contexts are counted from the longest. Nothing
-    but the counts of single symbols reaches the driver. With a ``share`` above 0, n-grams that make up less of their
-    order take the failure arc of their context.
+    but the counts of single symbols reaches the driver.
     """
     longest = settle(counts.groupBy("gram").agg(F.sum("n").alias("n")))
     cut = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
     sizes = F.array(*(F.struct(F.lit(k).alias("k"), cut(k).alias("gram")) for k in range(1, order + 1)))
     grams = settle(longest.select("n", F.explode(sizes).alias("x")).groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")))
     single = {r["gram"]: r["n"] for r in grams.where("k = 1").collect()}
-    least = share * sum(single.values())
-    flat = {g: 1 + (n if n >= least else 0) for g, n in single.items()}
-    whole = sum(flat.values()) + SYMBOLS - 1 - len(flat)
-    prob = counts.sparkSession.createDataFrame([(g, x / whole) for g, x in flat.items()], "gram long, p double")
+    whole = sum(single.values()) + SYMBOLS - 1
+    prob = counts.sparkSession.createDataFrame([(g, (n + 1) / whole) for g, n in single.items()], "gram long, p double")
     same = Window.partitionBy("h")
     for k in range(2, order + 1):
         level = grams.where(F.col("k") == k).select("gram", "n", cut(k - 1).alias("low")).join(prob.select(F.col("gram").alias("low"), F.col("p").alias("lower")), "low")
         level = level.select("gram", "n", "lower", F.shiftright("gram", BITS).alias("h"))
         level = level.withColumns({"total": F.sum("n").over(same), "kinds": F.count(F.lit(1)).over(same)})
         level = level.withColumn("p", (F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds")))
-        if share > 0:
-            kept = F.col("n") >= F.lit(least)
-            level = level.withColumns({"spent": F.sum(F.when(kept, F.col("p"))).over(same), "shorter": F.sum(F.when(kept, F.col("lower"))).over(same)})
-            back = F.greatest(1 - F.col("spent"), F.lit(1e-12)) / F.greatest(1 - F.col("shorter"), F.lit(1e-12))
-            level = level.withColumn("p", F.when(kept, F.col("p")).otherwise(F.coalesce(back, F.lit(1.0)) * F.col("lower")))
         prob = level.select("gram", "p")
     return prob.select("gram", F.log("p").alias("weight"))
 
@@ -218,16 +210,17 @@ def scored(order: int):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, log_prob, bits_per_byte) of every row under the model of the whole table.
 
-    A null text has 0 bytes and null scores, and doesn't count for the model; an empty one is scored for its end. Repeated
-    rows count as often as they occur and give repeated results; null doc_ids stay null. An empty table gives no rows.
+    A null text has 0 bytes and null scores, and doesn't count for the model; an empty one is scored for its end; texts of any length are
+    counted and scored whole. Every n-gram that occurs counts, at every size. Repeated rows count as often as they occur and give repeated results;
+    null doc_ids stay null. Other columns may have any names. An empty table gives no rows. Equal texts have equal scores.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
     texts = settle(rows.mapInArrow(dealt(block), "block long, doc_id long, text string"))  # block numbers follow the partitions, so they are kept
     counts = settle(texts.where("text is not null").select("block", "text").mapInArrow(counted(order), "block long, gram long, n long"))
-    model = counts.select("block", "gram").join(arc_weights(counts.select("gram", "n"), order, share), "gram")
+    model = counts.select("block", "gram").join(arc_weights(counts.select("gram", "n"), order), "gram")
     arcs = model.select("block", F.lit(0).alias("kind"), "gram", "weight", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     walks = texts.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("weight"), "doc_id", "text")
     both = arcs.unionByName(walks).repartition("block").sortWithinPartitions("block", "kind")
