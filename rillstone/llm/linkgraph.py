@@ -47,7 +47,8 @@ def spread(edges: DataFrame, seeds: DataFrame, count: dict[int, int], rounds: in
     the rounding of integers; where that alone is left, masses have settled too.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    arcs = settle(edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", "w", "all"))
+    small = lambda c: F.col(c).cast("decimal(14, 0)").alias(c)  # noqa: E731  so that products are exact
+    arcs = settle(edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", small("w"), small("all")))
     share = F.lit(0).cast("long")
     for kind, n in count.items():
         share = F.when(F.col("kind") == kind, F.lit(MASS // n).cast("long")).otherwise(share)
@@ -57,7 +58,7 @@ def spread(edges: DataFrame, seeds: DataFrame, count: dict[int, int], rounds: in
     i, last = 0, None
     while rounds is None or i < rounds:
         i += 1
-        sent = now.join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.expr(f"(mass div all) * w * {DAMPING} div 100").alias("mass"))
+        sent = now.join(arcs, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.expr(f"(cast(mass AS decimal(18, 0)) * w * {DAMPING}) div (all * 100)").alias("mass"))
         now = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if i % SPAN:
             continue
@@ -71,28 +72,36 @@ def spread(edges: DataFrame, seeds: DataFrame, count: dict[int, int], rounds: in
     return now
 
 
-def url_trust(pages: DataFrame, rounds: int | None = None, trusted: str = TRUSTED, blocked: str = BLOCKED, distrust: int = DISTRUST, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def url_trust(pages: DataFrame, rounds: int | None = None, seeds: DataFrame | None = None, trusted: str = TRUSTED, blocked: str = BLOCKED, distrust: int = DISTRUST, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(page_id, host, trust, distrust, keep): one row for each page; masses in millionths of their kind's whole.
 
+    Trusted and blocked hosts are those that the patterns find, or, if given, those of ``seeds`` (host, kind), kind being ``trusted`` or ``blocked``;
+    other kinds, null hosts and hosts that no page or link has don't count, and one that is both is blocked.
     A page without an absolute URL (null, empty, relative) has host '' and isn't kept; it takes no part in the graph.
     A null html has no links. Links of a host to itself don't count, and a page counts once for each host it links to;
     repeated rows count as further pages. A blocked host is never trusted and never kept. Without seeds of a kind its masses are 0.
     A host whose distrust equals its trust is kept. Masses spread until they settle, or for ``rounds`` rounds; as SQL has no
-    such loop, its ROUNDS rounds are the same only where masses settle within them. An empty table gives no rows.
+    such loop, its ROUNDS rounds are the same only where masses settle within them. URLs and html of any length are read whole; other columns
+    may have any names. An empty table gives no rows.
     """
     rows = pick(pages, page_id=id_column, url=url_column, html=html_column).select("page_id", host_of(F.col("url")).alias("host"), "html")
     edges = settle(host_edges(rows.select("host", "html")))
     hosts = settle(rows.select("host").where("host <> ''").unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct())
-    bad = F.col("host").rlike(blocked)
-    seeds = hosts.where(F.col("host").rlike(trusted) & ~bad).select(F.lit(0).alias("kind"), "host").unionByName(hosts.where(bad).select(F.lit(1).alias("kind"), "host"))
+    if seeds is None:
+        known = hosts.select(F.when(F.col("host").rlike(blocked), 1).when(F.col("host").rlike(trusted), 0).alias("kind"), "host").where("kind is not null")
+    else:
+        named = pick(seeds, host="host", kind="kind").select(F.lower("host").alias("host"), F.when(F.col("kind") == "blocked", 1).when(F.col("kind") == "trusted", 0).alias("kind"))
+        known = hosts.join(named.where("kind is not null").groupBy("host").agg(F.max("kind").alias("kind")), "host").select("kind", "host")
+    seeds = settle(known)
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "w").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     count = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
     mass = spread(ways, seeds, count, rounds)
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(F.lit(0))).alias(("trust", "distrust")[kind])
     # whole masses are compared: millionths of a mass that very many hosts share would be rounded off
     low = distrust * (MASS // 10**6) // count.get(1, 1)
-    verdict = bad | (F.col("distrust") >= F.lit(low)) & (F.col("distrust") > F.col("trust"))
-    scores = settle(mass.groupBy("host").agg(part(0), part(1)).select("host", *(F.expr(f"{c} div {MASS // 10**6}").alias(c) for c in ("trust", "distrust")), verdict.alias("rejected")))
+    verdict = F.col("blocked") | (F.col("distrust") >= F.lit(low)) & (F.col("distrust") > F.col("trust"))
+    masses = mass.select("kind", "host", "mass", F.lit(False).alias("blocked")).unionByName(seeds.where("kind = 1").select("kind", "host", F.lit(0).cast("long").alias("mass"), F.lit(True).alias("blocked")))
+    scores = settle(masses.groupBy("host").agg(part(0), part(1), F.max("blocked").alias("blocked")).select("host", *(F.expr(f"{c} div {MASS // 10**6}").alias(c) for c in ("trust", "distrust")), verdict.alias("rejected")))
     judged = rows.select("page_id", "host").join(scores, "host", "left")
     return judged.select("page_id", "host", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust")), ((F.col("host") != "") & ~F.coalesce("rejected", F.lit(False))).alias("keep"))
 
@@ -102,7 +111,7 @@ def sql(rounds: int = ROUNDS) -> str:
     q = lambda x: x.replace("'", "''")
     steps = ",\n".join(
         f"""r{i} AS MATERIALIZED (SELECT kind, host, sum(mass)::BIGINT AS mass FROM (
-  SELECT a.kind, a.dst AS host, (mass // whole) * w * {DAMPING} // 100 AS mass FROM r{i - 1} r JOIN arcs a ON r.kind = a.kind AND r.host = a.host
+  SELECT a.kind, a.dst AS host, (mass::HUGEINT * w * {DAMPING} // (whole * 100))::BIGINT AS mass FROM r{i - 1} r JOIN arcs a ON r.kind = a.kind AND r.host = a.host
   UNION ALL SELECT kind, host, mass * {100 - DAMPING} // 100 FROM r0) GROUP BY kind, host)"""
         for i in range(1, rounds + 1)
     )
@@ -120,9 +129,11 @@ ways AS (SELECT 0 AS kind, src AS host, dst, w FROM edges UNION ALL SELECT 1, ds
 arcs AS MATERIALIZED (SELECT *, (sum(w) OVER (PARTITION BY kind, host))::BIGINT AS whole FROM ways),
 r0 AS MATERIALIZED (SELECT kind, host, {MASS} // count(*) OVER (PARTITION BY kind) AS mass FROM seeds),
 {steps},
-scores AS (SELECT host, sum(CASE kind WHEN 0 THEN mass // {MASS // 10**6} ELSE 0 END)::BIGINT AS trust, sum(CASE kind WHEN 1 THEN mass // {MASS // 10**6} ELSE 0 END)::BIGINT AS distrust FROM r{rounds} GROUP BY host),
-judged AS (SELECT page_id, rows.host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM rows LEFT JOIN scores ON rows.host = scores.host)
-SELECT *, host <> '' AND NOT (distrust >= {DISTRUST} AND distrust > trust) AS keep FROM judged
+scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0)::BIGINT AS t, coalesce(sum(mass) FILTER (kind = 1), 0)::BIGINT AS d FROM r{rounds} GROUP BY host),
+low AS (SELECT {DISTRUST * (MASS // 10**6)} // greatest(count(*) FILTER (kind = 1), 1) AS least FROM seeds),
+judged AS (SELECT page_id, rows.host, coalesce(t, 0) AS t, coalesce(d, 0) AS d FROM rows LEFT JOIN scores ON rows.host = scores.host)
+SELECT page_id, host, t // {MASS // 10**6} AS trust, d // {MASS // 10**6} AS distrust,
+  host <> '' AND NOT regexp_matches(host, '{q(BLOCKED)}') AND NOT (d >= least AND d > t) AS keep FROM judged, low
 """
 
 
