@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm.frames import read, shared_dir
+from rillstone.llm.frames import read, remove, shared_dir
 from rillstone.llm.language import keep_languages
 from rillstone.llm.packing import pack
 from rillstone.llm.quality import keep_quality
@@ -29,10 +29,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, length, bin_id, start) of the documents that all filters keep."""
-    docs = read(spark, sf_dir, "documents")
+    """(doc_id, piece, length, bin_id, start) of the documents that all filters keep.
+
+    What a stage has written is deleted when the next one has written its own; the last one's rows stay, to be read.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}.parquet")
-        docs = spark.read.parquet(f"{base}/{name}.parquet")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        now = f"{base}/{name}.parquet"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        docs = spark.read.parquet(now)
+        if before:
+            remove(spark, before)
+        before = now
+    return docs
