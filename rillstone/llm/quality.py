@@ -19,6 +19,8 @@ from .textscan import blocks, fold, per_row, span_hashes, words
 FEATURES, SEED, RIDGE, KEEP = 192, 7, 1e-3, 0.3
 #: One of so many labelled rows, by a hash of its statistics, is held out for the calibration.
 HELD = 4
+#: Bytes of labels that are broadcast, so that only labelled texts are measured; beyond, all are, and statistics meet labels in a shuffle.
+BROADCAST = 64 << 20
 #: Steps of the score, between -GRID/STEP and GRID/STEP, on which isotonic regression works.
 GRID, STEP = 1024, 512
 NAMES = ["log_words", "word_length", "word_length_spread", "upper", "digits", "marks", "bars", "brackets", "other_signs", "white", "beyond_ascii", "distinct_words", "repeated_lines", "log_line", "short_words", "controls"]
@@ -164,17 +166,19 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in blocks_]) if blocks_ else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: float = RIDGE, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", held: int = HELD) -> Model | None:
-    """A model from all labelled documents; None if there are none. Only these are measured.
+def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int = SEED, ridge: float = RIDGE, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", held: int = HELD, most: int = BROADCAST) -> Model | None:
+    """A model from all labelled documents; None if there are none. Texts don't move.
 
     Labels that are null don't count; several of one doc_id are averaged. Weights come from all but one in ``held`` of the labelled
     rows, the calibration from the others; equal statistics are on one side. Where a side would be empty, both have all rows.
     """
-    marks = pick(labels, doc_id="doc_id", y=label_column).where("doc_id is not null and y is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("y").cast("double")).alias("y"))
+    marks = settle(pick(labels, doc_id="doc_id", y=label_column).where("doc_id is not null and y is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("y").cast("double")).alias("y")))
     texts = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long"), "text")
-    known = settle(texts.join(marks.select("doc_id"), "doc_id", "left_semi").mapInArrow(measured, "doc_id long, stats array<double>"))
+    if marks.count() * 64 <= most:  # as much as a row of a broadcast table takes
+        marks = F.broadcast(marks)
+        texts = texts.join(marks.select("doc_id"), "doc_id", "left_semi")
     side = F.pmod(F.xxhash64("stats"), F.lit(held)) == 0
-    rows = settle(known.join(marks, "doc_id").select("stats", "y", side.alias("apart")))
+    rows = settle(texts.mapInArrow(measured, "doc_id long, stats array<double>").join(marks, "doc_id").select("stats", "y", side.alias("apart")))
     d = len(NAMES)
     head = rows.agg(F.count(F.lit(1)), F.count_if("apart"), *(f(F.col("stats")[i]) for i in range(d) for f in (F.avg, F.stddev_pop))).first()
     if not head[0]:

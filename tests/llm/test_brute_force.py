@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from rillstone.llm import bpe, graphs, language, linkgraph, ngrams, packing, perspectives, quality, queries, simhash, textscan
+from rillstone.llm.frames import shared_dir
 from rillstone.llm.textscan import raw
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -109,7 +111,7 @@ def test_components(spark):
 
 def test_lm_against_counting(spark):
     texts, order = ["abab", "", "abcé", "ba" * 300, "abab"], 3
-    found = ngrams.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=order, share=0.0)
+    found = ngrams.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=order)
     rows = [[b + 2 for b in t.encode()] + [ngrams.END] for t in texts]
     counts = {k: Counter() for k in range(1, order + 1)}
     for r in rows:
@@ -568,4 +570,5 @@ def test_pipeline_against_its_parts(spark):
     left = {k for k in left if sums[k] >= quality.KEEP}
     left -= {r.doc_id for r in simhash.near_duplicates(only(left)).collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == left
+    assert [len(list(Path(d).glob("pipeline-*/*.parquet"))) for d in [shared_dir(spark).removeprefix("file:")] if list(Path(d).glob("pipeline-*"))] == [1]  # of one run only the last stage's rows
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "packing"]

@@ -71,6 +71,18 @@ def test_links(spark):
     assert linkgraph.url_trust(pages.where("false")).count() == 0
 
 
+def test_links_of_many_ties_and_a_long_page(spark):
+    """One page with more links than any host's mass is divided by, equal masses, a hub; and seeds from a table."""
+    many = "".join(f'<a href="http://n{i}.example/">' for i in range(20000))
+    rows = [(0, "http://hub.edu/", many)] + [(i + 1, f"http://n{i}.example/", '<a href="http://bad.example/">' if i < 2 else None) for i in range(10)] + [(20, "http://BAD.example/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in linkgraph.url_trust(pages).collect()}
+    assert len({found[i].trust for i in range(3, 11)}) == 1 and all(r.keep for r in found.values())
+    seeds = spark.createDataFrame([("bad.example", "blocked", 1), ("bad.example", "trusted", 1), (None, "blocked", 1), ("n9.example", "trusted", 1), ("n8.example", "other", 1)], "host string, kind string, mass int")
+    found = {r.page_id: r for r in linkgraph.url_trust(pages, seeds=seeds).collect()}
+    assert {k for k, r in found.items() if not r.keep} == {0, 1, 2, 20} and found[10].trust > 0 and found[9].trust == 0
+
+
 def test_packing(docs):
     rows = packing.pack(docs, capacity=100).collect()
     tokens = {r[0]: len((r[1] or "").split()) + 1 for r in ROWS}
@@ -137,6 +149,8 @@ def test_quality(docs, labels):
     assert all(r.keep for r in quality.quality_scores(docs, labels.where("false")).collect() if r.doc_id in (3, 7))
     assert quality.quality_scores(docs.where("false"), labels).count() == 0 and quality.keep_quality(docs, labels).columns == NAMES
     assert quality.keep_quality(docs.where("false"), labels).count() == 0
+    small, large = (quality.fit(docs, labels, most=n) for n in (64 << 20, 0))  # labels broadcast or not
+    assert small.weights == pytest.approx(large.weights, abs=1e-6) and small.levels == pytest.approx(large.levels)
     kept = sorted((r[0] is None, r[0] or 0) for r in quality.keep_quality(docs, labels).collect())
     assert kept == sorted((r.doc_id is None, r.doc_id or 0) for r in rows if r.keep)
 
