@@ -336,7 +336,7 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     # rows that go, and those of which one of several equal ones stays
     marked = settle(rows.join(best, "root").where(~same | (F.col("times") > 1)).select("__d", "__n", "__g", same.alias("again")).groupBy("__d", "__n", "__g").agg(F.max("again").alias("again")))
     count, again = marked.agg(F.count(F.lit(1)), F.count_if("again")).first()
-    if count * 25 <= most:
+    if count * 64 <= most:  # as much as a row of a broadcast table takes
         marked = F.broadcast(marked)
     key = [F.coalesce(F.col(at_id).cast("long"), F.lit(-(2**63))).alias("__d"), F.col(at_id).isNull().alias("__n"), F.xxhash64(at_text).alias("__g")]
     found = inner.select("*", *key, F.col(at_text).isNotNull().alias("__t")).join(marked.withColumn("__t", F.lit(True)), ["__d", "__n", "__g", "__t"], "left")
