@@ -3,8 +3,9 @@
 import ipaddress
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$"
@@ -41,9 +42,47 @@ def steps(value: Column, name: str) -> list[dict[str, Column]]:
     ]
 
 
+#: Ranges up to which a test is an expression; more are searched by halving, in Arrow batches.
+RANGES = 200
+
+
+def key(four: Column, six: Column) -> Column:
+    """An address as text that sorts as addresses do, those of version 4 first."""
+    return F.when(four.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(four)), 8, "0"))).when(six.isNotNull(), F.concat(F.lit("6"), six))
+
+
+def key_of(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> str:
+    return f"4{int(address):08x}" if address.version == 4 else f"6{int(address):032x}"
+
+
+def located(keys: Column, ranges: list[tuple[str, str]]) -> Column:
+    """The number of the range, of sorted ones that don't overlap, that a key lies in; null if in none."""
+    first, last = (np.array([r[i] for r in ranges], "S33") for i in (0, 1))
+    shared = SparkSession.active().sparkContext.broadcast((first, last))  # rules' tables are read on the driver, and no larger than what it holds
+
+    @F.pandas_udf("long")
+    def look(batch: pd.Series) -> pd.Series:
+        first, last = shared.value
+        asked = batch.fillna("").to_numpy().astype("S33")
+        at = np.searchsorted(first, asked, "right") - 1
+        good = (at >= 0) & (asked <= last[np.maximum(at, 0)]) if len(first) else np.zeros(len(asked), bool)
+        return pd.Series(np.where(good, at, 0)).astype("Int64").where(good)
+
+    return look(keys)
+
+
+def merged(networks: list[str]) -> list[tuple[str, str]]:
+    """Networks as sorted ranges of keys that don't overlap."""
+    nets = [ipaddress.ip_network(n.strip(), strict=False) for n in networks]
+    flat = [n for v in (4, 6) for n in ipaddress.collapse_addresses([x for x in nets if x.version == v])]
+    return sorted((key_of(n.network_address), key_of(n.broadcast_address)) for n in flat)
+
+
 def inside(four: Column, six: Column, networks: list[str]) -> Column:
     """Whether an address lies in any of the networks."""
     nets = [ipaddress.ip_network(n.strip(), strict=False) for n in networks]
+    if len(nets) > RANGES:
+        return located(key(four, six), merged(networks)).isNotNull()
     test = F.lit(False)
     for n in ipaddress.collapse_addresses([x for x in nets if x.version == 4]):
         test = test | F.coalesce(four.between(int(n.network_address), int(n.broadcast_address)), F.lit(False))
@@ -52,6 +91,34 @@ def inside(four: Column, six: Column, networks: list[str]) -> Column:
     return test
 
 
+def any_inside(values: Column, lists: dict[str, list[str]]) -> Column:
+    """Of a list of addresses: whether all are valid, and for each list of networks, by position, whether any is in it."""
+    bounds = [tuple(np.array([r[i] for r in merged(nets)], "S33") for i in (0, 1)) for nets in lists.values()]
+
+    @F.pandas_udf("struct<valid:boolean,inside:array<boolean>>")
+    def look(batch: pd.Series) -> pd.DataFrame:
+        size = np.array([0 if v is None else len(v) for v in batch])
+        row, texts = np.repeat(np.arange(len(batch)), size), [x for v in batch if v is not None for x in v]
+        codes, different = pd.factorize(np.array(texts, object)) if texts else (np.zeros(0, np.int64), [])
+        keys = []
+        for x in different:
+            try:
+                keys.append(key_of(ipaddress.ip_address(x)))
+            except ValueError:
+                keys.append("")
+        keys = np.array([*keys, ""], "S33")[codes]
+        bad = np.zeros(len(batch), bool)
+        bad[row[keys == b""]] = True
+        found = np.zeros((len(batch), len(bounds)), bool)
+        for i, (first, last) in enumerate(bounds):
+            if len(first):
+                at = np.searchsorted(first, keys, "right") - 1
+                found[row[(at >= 0) & (keys <= last[np.maximum(at, 0)])], i] = True
+        return pd.DataFrame({"valid": ~bad, "inside": list(found)})
+
+    return look(values)
+
+
 def properties(values: Column, wanted: list[str]) -> Column:
     """A map from each valid address of a list to a struct of its properties; flags that it doesn't have are false."""
     fields = [(n, "boolean" if n in FLAGS else "long" if n in NUMBERS else "string") for n in wanted]

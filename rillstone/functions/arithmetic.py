@@ -107,12 +107,14 @@ class Expression:
         if kind == 3 and self.take("("):
             if token == "from_hex":
                 return self._hex()
-            arguments = [self.sum()] if self.peek() != ")" else []
+            starts, arguments = [self.i], [self.sum()] if self.peek() != ")" else []
             while self.take(","):
+                starts.append(self.i)
                 arguments.append(self.sum())
+            last = "".join(t for _, t in self.tokens[starts[-1] : self.i])
             if not self.take(")"):
                 raise RuleError(f"a parenthesis of {self.text!r} isn't closed")
-            return self._call(token, arguments)
+            return self._call(token, arguments, last)
         raise RuleError(f"{token!r} in {self.text!r} isn't known")
 
     def _hex(self) -> tuple[Column, str]:
@@ -137,7 +139,8 @@ class Expression:
         column = function(a[0].cast("double"), b[0].cast("double"))
         return F.when(~F.isnan(column) & (F.abs(column) < F.lit(float("inf"))), column), "double"
 
-    def _call(self, name: str, given: list[tuple[Column, str]]) -> tuple[Column, str]:
+    def _call(self, name: str, given: list[tuple[Column, str]], last: str) -> tuple[Column, str]:
+        """A function of its arguments; ``last`` is the last one as it is written."""
         x = [c for c, _ in given]
         wide = [c.cast("double") for c in x]
         one = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp}
@@ -150,8 +153,9 @@ class Expression:
         if name == "round" and len(x) == 1:
             return _half_even(wide[0]).try_cast("long"), "long"
         if name == "round" and len(x) == 2:
-            digits = re.search(r"round\(.*,\s*(-?\d+)\s*\)", self.text)
-            return _half_even(wide[0], int(digits[1]) if digits else 0), "double"
+            if not re.fullmatch(r"[+-]?\d+", last):
+                raise RuleError(f"the digits of round in {self.text!r} must be a whole number")
+            return _half_even(wide[0], int(last)), "double"
         if name == "sgn" and len(x) == 1:
             return F.when(wide[0] > 1e-12, 1).when(wide[0] < -1e-12, -1).otherwise(0).cast("long"), "long"
         if name == "multiply" and len(x) == 2:

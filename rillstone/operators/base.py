@@ -55,12 +55,12 @@ class Stage:
         if not rules:
             return frame
         if not self.options.get("apply_multiple_times"):
-            return self._round(frame, rules, [])
+            return _bare(self._round(frame, rules, []))
         done = [f"__done{i}" for i in range(len(rules))]
         frame = Frame(frame.df.select("*", *(F.lit(False).alias(d) for d in done)), frame.kinds)
         for _ in rules:  # each round applies at least one rule that hasn't been, or nothing more matches
             frame = self._round(frame, rules, done)
-        return Frame(frame.df.drop(*done), frame.kinds)
+        return _bare(Frame(frame.df.drop(*done), frame.kinds))
 
     def _round(self, frame: Frame, rules: list[Rule], done: list[str]) -> Frame:
         tests = [yes(filters.to_column(order.guarded(r.where, self.tags), frame.look)) & quoted(ALIVE) for r in rules]
@@ -75,6 +75,12 @@ class Stage:
         return Frame(frame.df.drop(MATCH), frame.kinds)
 
 
+def _bare(frame: Frame) -> Frame:
+    """Without what rules of one stage leave for one another."""
+    own = [p for p in frame.kinds if p.startswith("__")]
+    return Frame(frame.df.drop(*own), {p: k for p, k in frame.kinds.items() if p not in own}) if own else frame
+
+
 def source(frame: Frame, path: str) -> Column:
     """The value at a path, null where there can be none."""
     found = frame.get(path)

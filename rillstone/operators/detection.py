@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import addresses, timeformats
+from ..functions import addresses, sealing, timeformats
+from ..plans.filters import java_pattern
 from ..plans.frame import Effect, Frame, Write, yes
 from ..plans.rules import Rule, RuleError, load_yaml
+from ..sources.getters import get_raw
 from .base import operator, source
 from .lookups import text_of
 
@@ -107,24 +108,49 @@ def alerted(frame: Frame, fields: list[str], table: dict | str) -> tuple[Column,
     maps addresses or networks to an expiry as ISO text, or null for none."""
     entries = load_yaml(table.removeprefix("file://")) if isinstance(table, str) else table
     found, steps = F.lit(False), [addresses.steps(text_of(frame, f), f"__ip{i}_") for i, f in enumerate(fields)]
+    by_end: dict[str | None, list[str]] = {}
     for network, until in (entries or {}).items():
-        alive = F.lit(True) if until is None else F.current_timestamp() < timeformats.iso(F.lit(str(until)), "UTC")
+        by_end.setdefault(None if until is None else str(until), []).append(str(network))
+    for until, networks in by_end.items():
+        alive = F.lit(True) if until is None else F.current_timestamp() < timeformats.iso(F.lit(until), "UTC")
         for i in range(len(fields)):
-            found = found | (addresses.inside(F.col(f"__ip{i}_4"), F.col(f"__ip{i}_6"), [str(network)]) & yes(alive))
+            found = found | (addresses.inside(F.col(f"__ip{i}_4"), F.col(f"__ip{i}_6"), networks) & yes(alive))
     return found, [{k: v for d in level for k, v in d.items()} for level in zip(*steps)]
 
 
-def pseudonym(value: Column, salt: str) -> Column:
-    return F.concat(F.lit("<pseudonym:"), F.sha2(F.concat(value, F.lit(salt)), 256), F.lit(">"))
+#: A value that is a pseudonym already.
+DONE = r"^<pseudonym:[0-9a-f]{64}>"
+
+
+def hashed(value: Column, salt: str) -> Column:
+    return F.sha2(F.concat(value, F.lit(salt)), 256)
+
+
+def captured(value: Column, pattern: str, salt: str) -> tuple[Column, Column]:
+    """The text with all that the pattern's groups capture anywhere, or without groups its matches, replaced by pseudonyms; and
+    (pseudonym, origin) of each different one. Pseudonyms stay."""
+    count, java = re.compile(pattern).groups, java_pattern(pattern)
+    found = F.concat(*(F.regexp_extract_all(value, F.lit(java), F.lit(i)) for i in (range(1, count + 1) if count else [0])))
+    origins = F.filter(F.array_distinct(found), lambda o: (o != "") & ~o.rlike(DONE))
+    text = F.aggregate(origins, value, lambda t, o: F.replace(t, o, F.concat(F.lit("<pseudonym:"), hashed(o, salt), F.lit(">"))))
+    return text, F.transform(origins, lambda o: F.struct(hashed(o, salt).alias("pseudonym"), o.alias("origin")))
+
+
+def replacing(pattern: str, salt: str):
+    return lambda v: F.struct(*(c.alias(n) for c, n in zip(captured(v, pattern, salt), ("text", "parts"))))
+
+
+def sent(output: str, target: str):
+    return lambda d: F.struct(F.lit(output).alias("output"), F.lit(target).alias("target"), d.alias("doc"))
 
 
 @operator("pseudonymizer")
 def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
     """Replaces what a pattern captures in a field by a salted hash and sends (pseudonym, origin) to side outputs.
 
-    Patterns that capture the whole text are built-in expressions; others run in Arrow batches. Elements of lists are
-    treated one by one; what is a pseudonym already stays. ``encrypt`` of the stage's options may be a function from an
-    origin to text; without one no origin is sent, only the pseudonym.
+    All that is captured anywhere is replaced everywhere; elements of lists are treated one by one; what is a pseudonym already stays. The origin is encrypted with the
+    public keys ``pubkey_analyst`` and ``pubkey_depseudo`` of the stage's options, in ``mode`` GCM or CTR, or by a function ``encrypt`` from an
+    origin to text; with neither, no origin is sent.
     """
     pseudonyms = rule.option("pseudonyms")
     if not pseudonyms:
@@ -133,6 +159,8 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
     if isinstance(patterns, str):
         patterns = load_yaml(patterns)
     salt, encrypt = str(options.get("hash_salt", "")), options.get("encrypt")
+    if encrypt is None and options.get("pubkey_analyst") and options.get("pubkey_depseudo"):
+        encrypt = sealing.encrypter(get_raw(options["pubkey_analyst"]), get_raw(options["pubkey_depseudo"]), options.get("mode", "GCM"))
     lacking = F.lit(False)
     result = Effect(conflict_tags=rule.failure_tags)
     extra = F.array().cast("array<struct<output:string,target:string,doc:string>>")
@@ -142,59 +170,20 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
         lacking = lacking | source(frame, path).isNull()
         many = isinstance(frame.kind(path), T.ArrayType)
         values = source(frame, path).cast("array<string>") if many else F.array(text_of(frame, path))
-        if pattern in ("(.*)", ".*", "(.+)", "^(.*)$", "([\\s\\S]*)"):
-            fresh = lambda v: v.isNotNull() & ~v.rlike(r"^<pseudonym:[0-9a-f]{64}>$")
-            new = F.transform(values, lambda v: F.when(fresh(v), pseudonym(v, salt)).otherwise(v))
-            parts = F.transform(F.filter(values, fresh), lambda v: F.struct(pseudonym(v, salt).alias("pseudonym"), v.alias("origin")))
-        else:
-            done = _captured(pattern, salt)(values)
-            new, parts = done["texts"], done["parts"]
+        pieces = F.transform(values, replacing(pattern, salt))
+        new = F.transform(pieces, lambda x: x["text"])
+        parts = F.array_distinct(F.flatten(F.filter(F.transform(pieces, lambda x: x["parts"]), lambda x: x.isNotNull())))
         result.writes.append(Write(path, new if many else F.get(new, F.lit(0)), "overwrite"))
         if encrypt is not None:
             flat = F.transform(parts, lambda p: p["origin"])
             sealed = F.pandas_udf(lambda s: s.map(lambda xs: None if xs is None else [encrypt(x) for x in xs]), "array<string>")(flat)
             parts = F.zip_with(parts, sealed, lambda p, e: F.struct(p["pseudonym"].alias("pseudonym"), e.alias("origin")))
-            show = lambda p: {"pseudonym": p["pseudonym"], "origin": p["origin"]}
-        else:
-            show = lambda p: {"pseudonym": p["pseudonym"]}
-        outputs = options.get("outputs") or [{"pseudonyms": "pseudonyms"}]
-        docs = F.transform(parts, lambda p: F.to_json(as_struct(show(p) | ({"@timestamp": stamp} if stamp is not None else {}))))
-        for x in outputs:
+        shown = ("pseudonym", "origin") if encrypt is not None else ("pseudonym",)
+        docs = F.transform(parts, lambda p: F.to_json(as_struct({n: p[n] for n in shown} | ({"@timestamp": stamp} if stamp is not None else {}))))  # noqa: B023 - called at once
+        for x in options.get("outputs") or [{"pseudonyms": "pseudonyms"}]:
             for o, t in x.items():
-                extra = F.concat(extra, F.transform(F.coalesce(docs, F.array().cast("array<string>")), lambda d: F.struct(F.lit(o).alias("output"), F.lit(t).alias("target"), d.alias("doc"))))
+                extra = F.concat(extra, F.transform(F.coalesce(docs, F.array().cast("array<string>")), sent(o, t)))
     if not rule.option("ignore_missing_fields", False):
         result.warn = [(lacking, rule.missing_tags)]
     result.extra = extra
     return result
-
-
-def _captured(pattern: str, salt: str):
-    """Replaces captured parts everywhere in a text; a pattern without groups captures its whole match."""
-    kind = "struct<texts:array<string>,parts:array<struct<pseudonym:string,origin:string>>>"
-    compiled = re.compile(pattern)
-
-    @F.pandas_udf(kind)
-    def work(batch: pd.Series) -> pd.DataFrame:
-        import hashlib
-
-        def one(values) -> tuple:
-            if values is None:
-                return None, None
-            texts, parts = [], {}
-            for v in values:
-                if v is None:
-                    texts.append(None)
-                    continue
-                m = compiled.search(v)
-                for origin in dict.fromkeys(g for g in (m.groups() or (m[0],)) if g) if m else ():
-                    if re.fullmatch(r"<pseudonym:[0-9a-f]{64}>", origin):
-                        continue
-                    new = f"<pseudonym:{hashlib.sha256((origin + salt).encode()).hexdigest()}>"
-                    parts[new] = origin
-                    v = v.replace(origin, new)
-                texts.append(v)
-            return texts, [{"pseudonym": k, "origin": o} for k, o in parts.items()]
-
-        return pd.DataFrame([one(v) for v in batch], columns=["texts", "parts"])
-
-    return work

@@ -7,47 +7,69 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, TimeoutError
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frame import Effect, Frame
-from ..plans.rules import Rule, RuleError, load_yaml
+from ..plans.rules import Rule, RuleError
+from ..sources.getters import get_mapping
 from .base import effect, operator, reject, source
 from .lookups import text_of
 
-#: Answers that a worker remembers at a time.
-REMEMBERED = 1 << 16
+#: Answers that a worker remembers at a time, and for how many seconds.
+REMEMBERED, FRESH = 1 << 16, 300.0
+_answers: dict[tuple[str, str], tuple[float, str | None]] = {}
+_pool: list[ThreadPoolExecutor] = []
 
 
 def dns(name: str, timeout: float = 0.5) -> str | None:
     """Address of a host, or None. A lookup that takes longer than the timeout counts as none."""
-    import concurrent.futures
     import socket
 
-    pool = concurrent.futures.ThreadPoolExecutor(1)
+    if not _pool:
+        _pool.append(ThreadPoolExecutor(16))
     try:
-        return pool.submit(socket.gethostbyname, name).result(timeout)
-    except (OSError, UnicodeError, concurrent.futures.TimeoutError):
+        return _pool[0].submit(socket.gethostbyname, name).result(timeout)
+    except (OSError, UnicodeError, TimeoutError):
         return None
-    finally:
-        pool.shutdown(wait=False)
+
+
+def remembered(service: str, name: str, ask: Callable[[str], str | None], most: int, fresh: float) -> str | None:
+    """The answer of a service, from what this worker remembers if that isn't too old."""
+    now, at = time.monotonic(), (service, name)
+    known = _answers.get(at)
+    if known is not None and now - known[0] < fresh:
+        return known[1]
+    if len(_answers) >= most:  # the oldest go; the table is in the order in which answers came
+        for old in list(_answers)[: most // 4 + 1]:
+            del _answers[old]
+    _answers.pop(at, None)
+    answer = ask(name)
+    _answers[at] = now, answer
+    return answer
 
 
 @operator("domain_resolver")
 def domain_resolver(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """The address of a host or of a URL's host. Each worker asks once for a name; failures write nothing."""
+    """The address of a host or of a URL's host. Each worker remembers up to ``max_cached_domains`` answers, also failures, for ``cache_seconds``;
+    failures write nothing."""
     reject(rule, "source_fields", "target_field")
     from ..functions.domains import host
 
-    resolve: Callable[[str], str | None] = options.get("resolver") or dns
+    resolve: Callable[[str], str | None] = options.get("resolver") or (lambda n, limit=float(options.get("timeout", 0.5)): dns(n, limit))
+    most, fresh = int(options.get("max_cached_domains", REMEMBERED)), float(options.get("cache_seconds", FRESH))
+    service = uuid.uuid4().hex  # of this compiled rule
 
     @F.pandas_udf("string")
     def look(names: pd.Series) -> pd.Series:
-        known: dict[str, str | None] = {}
-        return names.map(lambda n: None if not n else known[n] if n in known else known.setdefault(n, resolve(n)))
+        return names.map(lambda n: remembered(service, n, resolve, most, fresh) if n else None)
 
     path = rule.sources[0]
     return effect(rule, frame, [(rule.target, look(host(source(frame, path).cast("string"))))], miss=False)
@@ -69,12 +91,14 @@ def http_call(request: dict) -> tuple[int, str]:
 
 @operator("requester")
 def requester(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """Calls a web service with fields in its URL and body; the answer is written as text or, if JSON, by a mapping."""
+    """Calls a web service with fields in its URL and body, once for each event; the answer is written as text or, if JSON, by a mapping. With
+    ``shared_answers`` of the stage's options, equal requests that only read are sent once in a batch. A task that runs again calls again."""
     reject(rule, "url", "method")
     call = options.get("caller") or http_call
     spec = {k: rule.options[k] for k in ("url", "method", "json", "data", "params", "headers", "auth", "timeout", "verify") if k in rule.options}
     names = list(dict.fromkeys(re.findall(r"\$\{([^}]+)\}", json.dumps(spec))))
     targets = rule.option("target_field_mapping") or {}
+    shared = bool(options.get("shared_answers")) and str(spec["method"]).upper() in ("GET", "HEAD")
 
     @F.pandas_udf("struct<ok:boolean,body:string>")
     def ask(batch: pd.DataFrame) -> pd.DataFrame:
@@ -83,14 +107,14 @@ def requester(rule: Rule, frame: Frame, options: dict) -> Effect:
         def one(values: tuple) -> tuple:
             if any(v is None or v == "" for v in values):
                 return None, None
-            if values not in known:
+            if not shared or values not in known:
                 text = json.dumps(spec)
                 for n, v in zip(names, values):
                     text = text.replace("${" + n + "}", json.dumps(str(v))[1:-1])
                 try:
                     status, body = call(json.loads(text))
                     known[values] = (status < 400, body)
-                except OSError:
+                except (OSError, ValueError):  # what a client raises for the net and for addresses
                     known[values] = (False, None)
             return known[values]
 
@@ -117,6 +141,32 @@ def normal_command(value):
     return F.array_join(F.array_sort(kept), ",")
 
 
+class Linear:
+    """A linear model on TF-IDF of tokens, for many texts at once."""
+
+    def __init__(self, model: dict) -> None:
+        self.tokens = pd.Index(list(model["idf"]))
+        self.idf = np.array([model["idf"][t] for t in self.tokens], float)
+        self.weight = np.array([model["weights"].get(t, 0.0) for t in self.tokens], float)
+        self.bias = float(model.get("bias", 0.0))
+
+    def confidence(self, row: np.ndarray, token: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
+        """From (row, token, how often), the probability of each row, rounded to thousandths."""
+        at = self.tokens.get_indexer(token)
+        known = at >= 0
+        x = count[known] * self.idf[at[known]]
+        size = np.sqrt(np.bincount(row[known], x * x, rows))
+        z = np.bincount(row[known], x * self.weight[at[known]], rows) / np.where(size > 0, size, 1.0) + self.bias
+        return np.round(1 / (1 + np.exp(-np.clip(z, -60, 60))), 3)
+
+
+def counted(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, how often) of texts whose tokens are joined by commas."""
+    tokens = texts.str.split(",").explode()
+    found = pd.DataFrame({"row": tokens.index, "token": tokens.to_numpy()}).value_counts().reset_index()
+    return found["row"].to_numpy(np.int64), found["token"].to_numpy(object), found["count"].to_numpy(float)
+
+
 @operator("amides")
 def amides(rule: Rule, frame: Frame, options: dict) -> Effect:
     """Scores command lines by a linear model on TF-IDF of their tokens, and names the rules that they resemble most.
@@ -127,31 +177,29 @@ def amides(rule: Rule, frame: Frame, options: dict) -> Effect:
     reject(rule, "source_fields")
     model = options.get("model") or options.get("models_path")
     if isinstance(model, str):
-        model = load_yaml(model)
+        model = get_mapping(model)
     if not model:
         raise RuleError("amides needs a model")
     top, threshold = int(options.get("num_rule_attributions", 10)), float(options.get("decision_threshold", model["misuse"].get("threshold", 0.5)))
+    misuse, names = Linear(model["misuse"]), sorted(model.get("attribution", {}))
+    each = [Linear(model["attribution"][n]) for n in names]
 
     @F.pandas_udf("struct<confidence:double,attributions:array<struct<rule:string,confidence:double>>>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        import math
-        from collections import Counter
-
-        def linear(tokens: Counter, m: dict) -> float:
-            own = {t: n * m["idf"][t] for t, n in tokens.items() if t in m["idf"]}
-            size = math.sqrt(sum(x * x for x in own.values())) or 1.0
-            z = sum(x / size * m["weights"].get(t, 0.0) for t, x in own.items()) + m.get("bias", 0.0)
-            return round(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), 3)
-
-        def one(text: str | None) -> tuple:
-            if not text:
-                return None, None
-            tokens = Counter(text.split(","))
-            sure = linear(tokens, model["misuse"])
-            found = sorted(((linear(tokens, m), name) for name, m in model.get("attribution", {}).items()), key=lambda x: (-x[0], x[1]))[:top] if sure >= threshold else []
-            return sure, [{"rule": n, "confidence": c} for c, n in found] or None
-
-        return pd.DataFrame([one(t) for t in texts], columns=["confidence", "attributions"])
+        texts = texts.reset_index(drop=True)
+        some = texts.notna() & (texts != "")
+        row, token, count = counted(texts[some])
+        sure = misuse.confidence(row, token, count, len(texts))
+        high = np.flatnonzero(some & (sure >= threshold))
+        found: list[list[dict] | None] = [None] * len(texts)
+        if names and len(high):
+            here = np.isin(row, high)
+            own = np.searchsorted(high, row[here])
+            line = np.stack([m.confidence(own, token[here], count[here], len(high)) for m in each], axis=1)
+            best = np.argsort(-line, axis=1, kind="stable")[:, :top]  # names are sorted, so ties go by name
+            for i, r in enumerate(high.tolist()):
+                found[r] = [{"rule": names[k], "confidence": float(line[i, k])} for k in best[i]]
+        return pd.DataFrame({"confidence": pd.Series(sure).where(some), "attributions": pd.Series(found, dtype=object)})
 
     answer = score(normal_command(text_of(frame, rule.sources[0])))
     base = rule.target or "amides"

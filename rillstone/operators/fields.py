@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..plans import paths
 from ..plans.frame import Effect, Frame, Write
 from ..plans.rules import Rule, RuleError, load_yaml
+from ..sources.getters import get_mapping
 from .base import effect, is_text, literal, operator, reject, source
 
 
@@ -160,17 +161,24 @@ def labeler(rule: Rule, frame: Frame, options: dict) -> Effect:
 
 @operator("generic_adder")
 def generic_adder(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """Adds constants from the rule and from YAML files, of which the first that exists is enough if the rule says so."""
-    from pathlib import Path
-
-    items: dict = {}
+    """Adds constants from the rule and from files, of which the first that exists is enough if the rule says so. What a file
+    says counts more than what the rule says, and a later file more than an earlier one."""
+    items = dict(rule.option("add", {}))
     files = rule.option("add_from_file", [])
-    found = [f for f in ([files] if isinstance(files, str) else files) if Path(f.removeprefix("file://")).exists()]
-    if files and (not found or not rule.option("only_first_existing_file", False) and len(found) < len([files] if isinstance(files, str) else files)):
-        raise RuleError(f"files of a rule of generic_adder are missing: {files}")
-    for f in found[:1] if rule.option("only_first_existing_file", False) else found:
-        items |= load_yaml(f.removeprefix("file://")) or {}
-    items |= rule.option("add", {})
+    first, missing = rule.option("only_first_existing_file", False), []
+    for place in [files] if isinstance(files, str) else files:
+        try:
+            found = get_mapping(place)
+        except FileNotFoundError:
+            missing.append(place)
+            continue
+        if not isinstance(found, dict) or not all(isinstance(v, (str, bool, int, float, list)) for v in found.values()):
+            raise RuleError(f"{place} must hold a mapping to plain values")
+        items |= found
+        if first:
+            break
+    if missing and not first:
+        raise RuleError(f"files of a rule of generic_adder are missing: {missing}")
     if not items:
         raise RuleError("a rule of generic_adder adds nothing")
     return Effect(writes=[Write(p, literal(v), rule.mode) for p, v in items.items()], conflict_tags=rule.failure_tags)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import io
+import ipaddress
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +14,10 @@ from pyspark.sql import types as T
 from ..functions import addresses, domains
 from ..plans.frame import Effect, Frame, Write, yes
 from ..plans.rules import Rule, RuleError
+from ..sources.getters import get_raw
 from .base import effect, operator, reject, source
 from .fields import _listed
-from .lookups import members, report
+from .lookups import joined, members, report
 
 
 def _address(column: Column, kind: T.DataType) -> Column:
@@ -32,17 +35,10 @@ def network_comparison(rule: Rule, frame: Frame, options: dict) -> Effect:
     path, lists = rule.sources[0], members(rule, options)
     value, kind = source(frame, path), frame.kind(path)
     result = effect(rule, frame, [], conflict_tags=rule.failure_tags)
-    if isinstance(kind, T.ArrayType):  # one test for each list over the elements, as ranges of numbers
-        import ipaddress
-
-        def any_of(spans: list[tuple[int, int]]) -> Column:
-            inside = lambda x: reduce(lambda a, b: a | b, [yes(addresses.number(x.cast("string")).between(*s)) for s in spans], F.lit(False))
-            return F.exists(value, lambda x: inside(x))
-
-        tests, valid = {}, F.forall(value, lambda x: addresses.number(x.cast("string")).isNotNull())
-        for name, nets in lists.items():
-            parsed = [ipaddress.ip_network(x.strip(), strict=False) for x in nets]
-            tests[name] = any_of([(int(n.network_address), int(n.broadcast_address)) for n in ipaddress.collapse_addresses([n for n in parsed if n.version == 4])])
+    if isinstance(kind, T.ArrayType):
+        result.prepare = [{"__inside": addresses.any_inside(value.cast("array<string>"), lists)}]
+        tests = {name: F.get(F.col("__inside")["inside"], F.lit(i)) for i, name in enumerate(lists)}
+        valid = F.col("__inside")["valid"]
     else:
         result.prepare = addresses.steps(_address(value, kind) if kind is not None else value, "__ip")
         four, six = F.col("__ip4"), F.col("__ip6")
@@ -91,32 +87,29 @@ GEO = {"type": "geoip.type", "geometry.type": "geoip.geometry.type", "geometry.c
 
 @operator("geoip_enricher")
 def geoip_enricher(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """Place of an address from a table of ranges, given as rows with ``start``, ``end`` (addresses of version 4) and
-    any of the subfields. Ranges must not overlap. Unknown addresses are left alone."""
-    reject(rule, "source_fields")
-    import bisect
-    import ipaddress
+    """Place of an address from a table of ranges, given as rows with ``start``, ``end`` (addresses of version 4 or 6) and
+    any of the subfields. Ranges must not overlap. Unknown addresses are left alone.
 
-    table = options.get("ranges") or []
+    The range is found by halving, its number is joined with the table of places."""
+    reject(rule, "source_fields")
+    table = options.get("ranges") or options.get("db_path") or []
     if isinstance(table, str):
-        table = pd.read_csv(table.removeprefix("file://"), dtype=str).where(lambda d: d.notna(), None).to_dict("records")
-    rows = sorted((int(ipaddress.IPv4Address(r["start"])), int(ipaddress.IPv4Address(r["end"])), r) for r in table)
+        table = pd.read_csv(io.StringIO(get_raw(table)), dtype=str).where(lambda d: d.notna(), None).to_dict("records")
+    rows = sorted(((addresses.key_of(ipaddress.ip_address(r["start"])), addresses.key_of(ipaddress.ip_address(r["end"])), r) for r in table), key=lambda r: r[:2])
+    if any(a[1] >= b[0] for a, b in zip(rows, rows[1:])):
+        raise RuleError("the ranges of geoip_enricher overlap")
     names = [k.split(".", 1)[1] for k in GEO if k.startswith("properties.")]
-    starts, ends = [a for a, _, _ in rows], [b for _, b, _ in rows]
-    kept = [tuple(r.get(n) for n in names) + ((float(r["longitude"]), float(r["latitude"])) if r.get("longitude") and r.get("latitude") and float(r["longitude"]) and float(r["latitude"]) else (None, None)) for _, _, r in rows]
-
-    @F.pandas_udf("struct<" + ",".join(f"{n}:string" for n in names) + ",longitude:double,latitude:double,found:boolean>")
-    def look(values: pd.Series) -> pd.DataFrame:
-        def one(v: float) -> tuple:
-            i = bisect.bisect_right(starts, v) - 1 if v == v and v is not None else -1
-            return (*kept[i], True) if i >= 0 and v <= ends[i] else (*(None,) * (len(names) + 2), False)
-
-        return pd.DataFrame([one(v) for v in values], columns=[*names, "longitude", "latitude", "found"])
-
-    place = look(addresses.number(source(frame, rule.sources[0]).cast("string")).cast("double"))
-    base = rule.target or "geoip"
-    rename = rule.option("customize_target_subfields", {})
-    values = {"type": F.when(place["found"], F.lit("Feature")), "geometry.type": F.when(place["longitude"].isNotNull(), F.lit("Point")), "geometry.coordinates": F.when(place["longitude"].isNotNull(), F.array(place["longitude"], place["latitude"]))}
+    spot = lambda r: [float(r["longitude"]), float(r["latitude"])] if r.get("longitude") and r.get("latitude") and float(r["longitude"]) and float(r["latitude"]) else None
+    places = [{n: None if r.get(n) is None else str(r[n]) for n in names} | {"spot": spot(r)} for _, _, r in rows]
+    kind = pa.struct([*((n, pa.string()) for n in names), ("spot", pa.list_(pa.float64()))])
+    value = source(frame, rule.sources[0])
+    steps = addresses.steps(_address(value, frame.kind(rule.sources[0])) if frame.kind(rule.sources[0]) is not None else value, "__ip")
+    at = addresses.located(addresses.key(F.col("__ip4"), F.col("__ip6")), [r[:2] for r in rows])
+    base, rename = rule.target or "geoip", rule.option("customize_target_subfields", {})
+    result = effect(rule, frame, [], prepare=[*steps, {"__range": at}])
+    place = joined(list(range(len(places))), pa.array(places, kind), F.col("__range"), result.lookups)
+    values = {"type": F.when(place.isNotNull(), F.lit("Feature")), "geometry.type": F.when(place["spot"].isNotNull(), F.lit("Point")), "geometry.coordinates": place["spot"]}
     values |= {f"properties.{n}": place[n] for n in names}
     values["properties.accuracy_radius"] = place["accuracy_radius"].try_cast("long")
-    return effect(rule, frame, [(rename.get(k, f"{base}.{k}"), v) for k, v in values.items()])
+    result.writes += [Write(rename.get(k, f"{base}.{k}"), v, rule.mode) for k, v in values.items()]
+    return result

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,54 +186,65 @@ def grokker(rule: Rule, frame: Frame, options: dict) -> Effect:
     return result
 
 
-_PRI = r"(?:<(\d+)>)"
+_STAMP, _QUOTED, _CALL = r"\[([^\]]*)\]", r'"([^"]*)"', r'"(\S+)(?: +([^"]*?)(?: +\S*)?)?"'
+_PRI, _CLOCK, _WHO = r"<([0-9]+)>", r"([^ ]* {1,2}[^ ]* [^ ]*)", r"([a-zA-Z0-9_/.\-]*)(?:\[([0-9]+)\])?(?:[^:]*:)?"
+_ISO = r"(\d{4}-[01]\d-[0-3]\dT(?:[0-2]\d)(?::[0-5]\d){2}\.\d+(?:Z|[+-][0-2]\d:[0-5]\d))"
+#: For each format, patterns of whole lines and the names of what they capture; the first that fits counts.
 _TEXT_FORMATS: dict[str, list[tuple[str, list[str]]]] = {
-    "clf": [(r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^" ]+) ([^" ]+)(?: ([^"]*))?" (\d+|-) (\d+|-)$', ["host", "ident", "authuser", "timestamp", "method", "path", "protocol", "status", "bytes"])],
+    "clf": [(r"(\S+)\s+(\S+)\s+(\S+)\s+\[(\S+\s+\S+)\]\s+" + r'"(.*)"\s+(\d{3})\s+(\d+)\s*', ["host", "ident", "authuser", "timestamp", "request_line", "status", "bytes"])],
     "nginx": [
-        (r'^(\S+) - (\S+) \[([^\]]+)\] "([^" ]+) ([^" ]+) ?([^"]*)" (\d+) (\d+) "([^"]*)" "([^"]*)"$', ["host", "user", "timestamp", "method", "path", "protocol", "status", "bytes", "referrer", "agent"]),
-        (r'^(\S+) - (\S+) \[([^\]]+)\] "([^" ]+) ([^" ]+) ?([^"]*)" (\d+) (\d+)$', ["host", "user", "timestamp", "method", "path", "protocol", "status", "bytes"]),
-        (r"^(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] (\d+)#(\d+): (?:\*(\d+) )?(.*)$", ["timestamp", "level", "pid", "tid", "connection", "message"]),
+        (rf"([^ ]*) - ([^ ]*) {_STAMP}\s+([^ ]*) {_CALL}\s+([^ ]*)\s+{_QUOTED}\s+{_QUOTED}\s+{_QUOTED}", ["host", "user", "time", "code", "method", "path", "size", "referer", "agent", "gzip_ratio"]),
+        (rf"([^ ]*) - ([^ ]*) {_STAMP}\s+{_CALL}\s+([^ ]*) ([^ ]*)\s+{_QUOTED}\s+{_QUOTED}", ["host", "user", "time", "method", "path", "code", "size", "referer", "agent"]),
+        (rf"([^ ]*) ([^ ]*) ([^ ]*) {_STAMP} {_CALL} ([^ ]*) ([^ ]*) {_QUOTED} {_QUOTED}", ["remote", "host", "user", "time", "method", "path", "code", "size", "referer", "agent"]),
     ],
-    "syslog_rfc3164_local": [(rf"^{_PRI}([A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d) ([^\s:\[]+)(?:\[(\d+)\])?: (.*)$", ["priority", "timestamp", "ident", "pid", "message"])],
-    "syslog_rfc3164": [(rf"^{_PRI}([A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: (.*)$", ["priority", "timestamp", "host", "ident", "pid", "message"])],
-    "syslog_rfc5424": [(rf"^{_PRI}(\d+) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[.*?[^\\]\])+)(?: (.*))?$", ["priority", "version", "timestamp", "host", "ident", "pid", "msgid", "extradata", "message"])],
-    "cri": [(r"^(\S+) (stdout|stderr) ([FP]) ([\s\S]*)$", ["timestamp", "stream", "flag", "content"])],
+    "syslog_rfc3164_local": [(rf"{_PRI}{_CLOCK} {_WHO} *(.*)", ["pri", "time", "ident", "pid", "message"])],
+    "syslog_rfc3164": [(rf"{_PRI}{_CLOCK} ([^ ]*) {_WHO} *(.*)", ["pri", "time", "host", "ident", "pid", "message"])],
+    "syslog_rfc5424": [(rf"<([0-9]{{1,5}})>1 {_ISO} ([^ ]+) ([^ ]+) ([-0-9]+) ([^ ]+) (\[.*?\]|-) (.+)", ["pri", "time", "host", "ident", "pid", "msgid", "extradata", "message"])],
+    "cri": [(r"([^ ]*) ([^ ]*) ([^ ]*) ([\s\S]*)", ["timestamp", "stream", "flags", "message"])],
 }
 
 
-def decoded(value: Column, kind: str) -> Column:
-    """The value in another format, null where it doesn't fit: text, a struct or a map of texts."""
+def decoded(value: Column, kind: str, shape: str | None = None) -> Column:
+    """The value in another format, null where it doesn't fit: text, a struct or a map of texts. JSON objects are maps of texts, other JSON is text,
+    unless a ``shape`` (a type as DDL) says what it is."""
     if kind == "json":
-        return F.when(F.get_json_object(value, "$").isNotNull(), F.from_json(value, "map<string,string>"))
+        if shape:
+            own = F.from_json(value, shape) if shape.lower().startswith(("struct", "array", "map")) else F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{shape}>"), F.lit(0))
+            return F.when(F.try_parse_json(value).isNotNull(), own)
+        return F.when(F.try_parse_json(value).isNotNull() & value.rlike(r"^\s*\{"), F.from_json(value, "map<string,string>"))
     if kind == "base64":
         raw = F.try_to_binary(value, F.lit("base64"))
         return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
     if kind == "decolorize":
-        return F.regexp_replace(value, r"\x1b\[[0-9;]*[A-Za-z]", "")
+        return F.regexp_replace(value, r"\x1b(?:\[[0-?]*[ -/]*[@-~]|[@-Z\\-_])", "")
     if kind == "logfmt":
-        pattern = r'([^\s=]+)(?:=(?:"((?:[^"\\]|\\.)*)"|([^\s]*)))?'
-        keys = F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
-        inner, bare = F.regexp_extract_all(value, F.lit(pattern), F.lit(2)), F.regexp_extract_all(value, F.lit(pattern), F.lit(3))
-        entries = F.arrays_zip(keys.alias("k"), F.zip_with(inner, bare, lambda a, b: F.when(a != "", a).otherwise(b)).alias("v"))
+        pattern = r'([\w*?.|#@/-]+)=("[^"]*"|\S*)'
+        keys, values = (F.regexp_extract_all(value, F.lit(pattern), F.lit(i)) for i in (1, 2))
+        entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r'^"+|"+$', "").alias("v")))
         # of a repeated key the last one counts
         last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["k"]))
-        return F.when(F.size(keys) > 0, F.map_from_entries(last))
+        return F.when(value.isNotNull(), F.map_from_entries(last))
     if kind == "docker":
         row = F.from_json(value, "log string, stream string, time string")
-        return F.when(row["log"].isNotNull(), F.struct(row["log"].alias("output"), row["stream"].alias("stream"), row["time"].alias("timestamp")))
+        return F.when(row["log"].isNotNull() & row["stream"].isNotNull() & row["time"].isNotNull(), F.struct(row["log"].alias("output"), row["stream"].alias("stream"), row["time"].alias("timestamp")))
     if kind in _TEXT_FORMATS:
         choices = []
         names = list(dict.fromkeys(n for _, ns in _TEXT_FORMATS[kind] for n in ns))
         for pattern, own in _TEXT_FORMATS[kind]:
-            fields = {n: F.nullif(F.regexp_extract(value, pattern, i + 1), F.lit("")) for i, n in enumerate(own)}
-            choices.append(F.when(value.rlike(pattern), F.struct(*(fields.get(n, F.lit(None).cast("string")).alias(n) for n in names))))
+            whole = f"^(?:{pattern})$"
+            fields = {n: F.regexp_extract(value, whole, i + 1) for i, n in enumerate(own)}
+            fields |= {n: F.nullif(fields[n], F.lit("")) for n in ("pid", "path") if n in fields}  # what may be left out
+            choices.append(F.when(value.rlike(whole), F.struct(*(fields.get(n, F.lit(None).cast("string")).alias(n) for n in names))))
         return F.coalesce(*choices)
     raise RuleError(f"there is no source format {kind!r}")
 
 
 @operator("decoder")
 def decoder(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """Decodes text of one of eleven formats. If any of several fields doesn't fit, none is written."""
+    """Decodes text of one of eleven formats. If any of several fields doesn't fit, none is written.
+
+    A JSON object becomes a map of texts, in which lists and objects are JSON themselves; with ``schema``, a type such as ``array<int>`` or ``struct<a: struct<b: string>>``, JSON of any kind
+    is what that says."""
     if not rule.option("mapping") and not rule.sources:
         raise RuleError("a rule of decoder needs a mapping or source_fields")
     kind, found = rule.option("source_format", "json"), []
@@ -242,39 +254,87 @@ def decoder(rule: Rule, frame: Frame, options: dict) -> Effect:
             bad = bad | source(frame, path).isNotNull()
             continue
         value = source(frame, path)
-        out = decoded(value, kind)
+        out = decoded(value, kind, rule.option("schema"))
         bad = bad | (value.isNotNull() & out.isNull())
         found.append((target, out))
     return effect(rule, frame, found, sources=[s for s, _ in pairs(rule)], warn=[(bad, rule.failure_tags)], together=~yes(bad))
 
 
+def java_replacement(text: str) -> str:
+    """A replacement in the notation of Python's patterns, in that of Java's."""
+    out = re.sub(r"\\(\d{1,2})|\\g<(\w+)>|([\\$])", lambda m: f"${m[1]}" if m[1] else (f"${m[2]}" if m[2].isdigit() else f"${{{m[2]}}}") if m[2] else "\\" + m[3], text)
+    return out
+
+
+#: Rounds of a substitution that stay in the JVM; few texts need more.
+ROUNDS = 3
+
+
+def substituted(text: Column, pattern: str, new: str, name: str) -> tuple[list[dict[str, Column]], Column]:
+    """The text with a pattern replaced again and again, as long as there are fewer matches each time, as columns to prepare and the result.
+
+    A round that has as many matches as the one before, or more, is the last."""
+    java, into = java_pattern(pattern), java_replacement(new)
+    steps, now, go = [], text, F.lit(True)
+    for i in range(ROUNDS):
+        steps.append({f"{name}t{i}": F.when(go, F.regexp_replace(now, java, into)).otherwise(now), f"{name}n{i}": F.when(go, F.regexp_count(now, F.lit(java))).otherwise(0)})
+        now, n = F.col(f"{name}t{i}"), F.col(f"{name}n{i}")
+        go = (n > 0) & (n < F.col(f"{name}n{i - 1}")) if i else n > 0
+    compiled = re.compile(pattern)
+
+    @F.pandas_udf("string")
+    def rest(batch: pd.DataFrame) -> pd.Series:
+        def more(t: str | None, last: int) -> str | None:
+            if t is None:
+                return None
+            while True:
+                t, n = compiled.subn(new, t)
+                if not 0 < n < last:
+                    return t
+                last = n
+
+        return pd.Series([more(t, last) for t, last in zip(batch["t"], batch["n"])], dtype=object)
+
+    steps.append({f"{name}r": rest(F.struct(F.when(go, now).alias("t"), n.alias("n")))})
+    return steps, F.coalesce(F.col(f"{name}r"), now)
+
+
 @operator("clusterer")
 def clusterer(rule: Rule, frame: Frame, options: dict) -> Effect:
-    """Reduces a message to a signature: a pattern is replaced again and again until nothing changes, and the parts within
-    ``<+>`` and ``</+>`` make up the signature. Rules go on with the text that the rule before has left.
+    """Reduces a message to a signature: a pattern is replaced again and again, as long as there is less to replace each time, and the parts from each
+    ``<+>`` to the next ``</+>`` make up the signature. Rules go on with the text that the rule before has left.
 
-    An event takes part if its field ``clusterable`` is true, or, without that field, if it is tagged so or is syslog.
+    An event takes part if its field ``clusterable`` is true, or, without that field, if it is tagged so or has both a syslog facility and a
+    severity, which then stand before the signature.
     """
-    reject(rule, "source_fields", "target_field", "pattern")
-    path, rounds = rule.sources[0], int(options.get("rounds", 4))
+    reject(rule, "pattern")
+    if "repl" not in rule.options:
+        raise RuleError("a rule of clusterer needs 'repl'")
+    path, target = (rule.sources or ["message"])[0], options.get("output_field_name") or rule.target
+    if not target:
+        raise RuleError("clusterer needs an output_field_name")
     message = text_of(frame, path)
     hidden = "__cluster"
     known = frame.leaf(hidden) is not None
-    text = F.coalesce(source(frame, hidden), message) if known else message
-    pattern, new = java_pattern(rule.options["pattern"]), re.sub(r"\\(\d)", r"$\1", rule.option("repl", ""))
-    for _ in range(rounds):
-        text = F.regexp_replace(text, pattern, new)
-    signature = F.array_join(F.regexp_extract_all(text, F.lit(r"<\+>([\s\S]*?)</\+>"), F.lit(1)), " ")
-    signature = F.trim(F.regexp_replace(signature, r"\s+", " "))
-    facility, severity = source(frame, "syslog.facility"), source(frame, "syslog.severity")
-    if frame.leaf("syslog.facility"):
-        signature = F.when(facility.isNotNull(), F.concat_ws(" , ", facility.cast("string"), severity.cast("string"), signature)).otherwise(signature)
-    flag = source(frame, "clusterable")
-    kind = frame.kind("clusterable")
+    begin = F.coalesce(F.nullif(source(frame, hidden), F.lit("")), message) if known else message
+    steps, text = substituted(begin, rule.options["pattern"], rule.options["repl"], "__sub")
+    steps.append({"__sig": F.regexp_replace(F.regexp_replace(text, r"(<\+>)+", "<+>"), r"(</\+>)+", "</+>")})
+    text = F.col("__sig")
+    parts = F.split(text, r"<\+>", -1)
+    # each part begins after a mark; what it lacks of its end stands in the next ones
+    whole = lambda x, i: F.when(x.contains("</+>"), x).otherwise(F.array_join(F.slice(parts, i + 2, F.size(parts)), ""))
+    tokens = F.transform(F.slice(parts, 2, F.size(parts)), lambda x, i: F.substring_index(whole(x, i), "</+>", 1))
+    signature = F.array_join(tokens, " ")
+    facility, severity = source(frame, "syslog.facility"), source(frame, "event.severity")
+    has_pri = facility.isNotNull() & severity.isNotNull()
+    signature = F.when(has_pri, F.concat_ws(" , ", facility.cast("string"), severity.cast("string"), signature)).otherwise(signature)
+    flag, kind = source(frame, "clusterable"), frame.kind("clusterable")
     truth = flag if isinstance(kind, T.BooleanType) else flag.cast("string").isin("", "0", "0.0") == F.lit(False)
     tagged = F.array_contains(source(frame, "tags"), "clusterable") if isinstance(frame.kind("tags"), T.ArrayType) else F.lit(False)
-    takes_part = yes(F.when(flag.isNotNull(), truth).otherwise(yes(tagged) | message.rlike(r"^<\d{1,3}>")))
-    result = Effect(warn=gaps(frame, rule, [path]), conflict_tags=rule.failure_tags)
-    result.fail = [(message.contains("<+>"), f"{path} holds signature marks already")]
-    result.writes = [Write(hidden, text, "overwrite", when=takes_part), Write(rule.target, F.nullif(signature, F.lit("")), "overwrite", when=takes_part)]
+    takes_part = yes(F.when(flag.isNotNull(), truth).otherwise(yes(tagged) | has_pri)) & begin.isNotNull()
+    result = Effect(warn=gaps(frame, rule, [path]), conflict_tags=rule.failure_tags, prepare=steps)
+    marked = message.contains("<+>") | message.contains("</+>")
+    result.fail = [(takes_part & marked, f"{path} holds signature marks already"), (takes_part & (F.size(parts) > 1) & ~F.element_at(parts, -1).contains("</+>"), "a mark of the signature isn't closed")]
+    mode = "overwrite" if rule.options.get("overwrite_target", not rule.option("merge_with_target", False)) else rule.mode
+    result.writes = [Write(hidden, text, "overwrite", when=takes_part), Write(target, signature, mode, when=takes_part)]
     return result

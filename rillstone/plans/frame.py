@@ -50,6 +50,7 @@ class Effect:
     conflict_tags: list[str] = field(default_factory=list)
     together: Column | None = None  # writes happen only where this holds
     prepare: list[dict[str, Column]] = field(default_factory=list)  # columns for the others to use, projected one after the other
+    lookups: list[tuple[str, Column, DataFrame]] = field(default_factory=list)  # name, key and table (k, v), for the others to use under the name
 
 
 def yes(condition: Column) -> Column:
@@ -153,6 +154,13 @@ class Frame:
                 df = df.select("*", *(c.alias(n) for n, c in columns.items()))
             done = Frame(df, self.kinds).apply(replace(effect, prepare=[]), match)
             return Frame(done.df.drop(*(n for columns in effect.prepare for n in columns)), done.kinds)
+        if effect.lookups:
+            df = self.df
+            for name, key, table in effect.lookups:
+                rows = table.select(F.col("k").alias("__k"), F.col("v").alias(name))
+                df = df.select("*", key.alias("__key")).join(rows, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+            done = Frame(df, self.kinds).apply(replace(effect, lookups=[]), match)
+            return Frame(done.df.drop(*(name for name, _, _ in effect.lookups)), done.kinds)
         go = match & quoted(ALIVE)
         failed = F.lit(False)
         for condition, _ in effect.fail:

@@ -116,8 +116,6 @@ class Pipeline:
         frame = self.preprocessing(Frame.of(events))
         for stage in self.stages:
             frame = stage(frame)
-        if frame.leaf("__cluster"):
-            frame = Frame(frame.df.drop("__cluster"), {p: k for p, k in frame.kinds.items() if p != "__cluster"})
         return Results(frame.nested(keep_hidden=True))
 
     @classmethod

@@ -54,6 +54,9 @@ class Rule:
 
     @property
     def mode(self) -> str:
+        """add, merge or overwrite; a rule that wants to merge and to overwrite says two things at once."""
+        if self.option("overwrite_target", False) and self.option("merge_with_target", False):
+            raise RuleError(f"a rule of {self.kind} can't have both overwrite_target and merge_with_target")
         return "overwrite" if self.option("overwrite_target", False) else "merge" if self.option("merge_with_target", False) else "add"
 
 
@@ -74,6 +77,8 @@ def rule_of(kind: str, raw: dict[str, Any]) -> Rule:
         own = {k: options.pop(k) for k in ("id", "description", "tag_on_failure") if k in options}
     else:
         own = {}
+    if isinstance(options, dict) and options.get("overwrite_target") and options.get("merge_with_target"):
+        raise RuleError(f"a rule of {kind} can't have both overwrite_target and merge_with_target")
     name = own.get("id") or raw.get("id") or hashlib.sha256(json.dumps([raw["filter"], options], sort_keys=True, default=str).encode()).hexdigest()
     rule = Rule(kind, where, options, str(raw["filter"]), str(name), own.get("description") or raw.get("description", ""), list(own.get("tag_on_failure") or raw.get("tag_on_failure") or []))
     return rule

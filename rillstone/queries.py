@@ -1,5 +1,6 @@
 """Queries of the event operators on the driver's tables, with the same in SQL. Lists are shown as joined text."""
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,8 +132,11 @@ staged("selective_extractor", "events", ["event_id", "event_type", "user_id"], [
 staged("replacer", "customer", ["c_custkey", "c_name"], [("replacer", {"filter": "c_name", "replacer": {"mapping": {"c_name": "Customer#%{*:anonymous}"}}})],
        "SELECT c_custkey, CASE WHEN starts_with(c_name, 'Customer#') THEN 'Customer#anonymous' ELSE c_name END AS c_name FROM customer", ["c_custkey", "c_name"])
 staged("clusterer", "documents", ["doc_id"], [("clusterer", {"filter": "message", "clusterer": {"source_fields": ["message"], "target_field": "signature", "pattern": "\\d+", "repl": "<+>number</+>"}})],
-       "SELECT doc_id, CASE WHEN n > 0 THEN repeat('number ', n - 1) || 'number' END AS signature FROM (SELECT doc_id, len(regexp_extract_all(text, '\\d+')) AS n FROM documents)",
-       ["doc_id", "signature"], before={"message": "text", "clusterable": "true"}, rounds=1)
+       "SELECT doc_id, CASE WHEN n > 0 THEN repeat('number ', n - 1) || 'number' ELSE '' END AS signature FROM (SELECT doc_id, len(regexp_extract_all(text, '\\d+')) AS n FROM documents)",
+       ["doc_id", "signature"], before={"message": "text", "clusterable": "true"})
+staged("clusterer_repeated", "events", ["event_id"], [("clusterer", [{"filter": "message", "clusterer": {"source_fields": ["message"], "target_field": "signature", "pattern": "\\((\\w*)\\)", "repl": "\\1"}}, {"filter": "message", "clusterer": {"source_fields": ["message"], "target_field": "signature", "pattern": "(\\w+)", "repl": "<+>\\1</+>"}}])],
+       "SELECT event_id, event_type || ' ' || event_type || 'b' AS signature FROM events",
+       ["event_id", "signature"], before={"message": "concat(repeat('(', cast(user_id % 9 as int)), event_type, repeat(')', cast(user_id % 9 as int)), ' ((', event_type, '))b')", "clusterable": "true"})
 staged("requester", "region", ["r_regionkey", "r_name"], [("requester", {"filter": "*", "requester": {"url": "http://service/${r_name}", "method": "GET", "target_field": "answer"}})],
        "SELECT r_regionkey, 'GET http://service/' || r_name AS answer FROM region", ["r_regionkey", "answer"], caller=lambda r: (200, f"{r['method']} {r['url']}"))
 staged("domain_resolver", "pages", ["page_id", "url"], [("domain_resolver", {"filter": "url", "domain_resolver": {"source_fields": ["url"], "target_field": "ip"}})],
@@ -145,13 +149,71 @@ staged("amides", "part", ["p_partkey", "p_type"], [("amides", {"filter": "p_type
 staged("decoder_logfmt", "orders", ["o_orderkey"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "logfmt"}})],
        "SELECT o_orderkey, o_orderstatus AS status, 'a ' || o_orderpriority AS priority FROM orders", ["o_orderkey", "d['status'] AS status", "d['priority'] AS priority"], before={"line": "concat('status=', o_orderstatus, ' priority=\"a ', o_orderpriority, '\" done')"})
 staged("decoder_syslog", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "syslog_rfc3164"}})],
-       "SELECT event_id, '13' AS priority, event_type AS ident, user_id::VARCHAR AS pid, 'value ' || event_id::VARCHAR AS message FROM events", ["event_id", "d.priority AS priority", "d.ident AS ident", "d.pid AS pid", "d.message AS message"],
+       "SELECT event_id, '13' AS pri, event_type AS ident, user_id::VARCHAR AS pid, 'value ' || event_id::VARCHAR AS message FROM events", ["event_id", "d.pri AS pri", "d.ident AS ident", "d.pid AS pid", "d.message AS message"],
        before={"line": "concat('<13>Oct 11 22:14:15 box ', event_type, '[', user_id, ']: value ', event_id)"})
 staged("decoder_cri", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "cri"}})],
-       "SELECT event_id, 'stdout' AS stream, event_type || ' x' AS content FROM events", ["event_id", "d.stream AS stream", "d.content AS content"], before={"line": "concat('2020-01-01T00:00:00Z stdout F ', event_type, ' x')"})
+       "SELECT event_id, 'stdout' AS stream, event_type || ' x' AS message FROM events", ["event_id", "d.stream AS stream", "d.message AS message"], before={"line": "concat('2020-01-01T00:00:00Z stdout F ', event_type, ' x')"})
 staged("decoder_failure_tags", "events", ["event_id"], [("decoder", {"filter": "coded", "decoder": {"mapping": {"coded": "plain"}, "source_format": "base64"}})],
        "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS plain, CASE WHEN event_type = 'error' THEN '_decoder_failure' ELSE '' END AS tags FROM events",
        ["event_id", "plain", "array_join(coalesce(tags, array()), ',') AS tags"], before={"coded": "if(event_type = 'error', '?', base64(event_type))"})
+staged("decoder_clf", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "clf"}})],
+       "SELECT event_id, '10.0.0.' || (user_id % 256)::VARCHAR AS host, 'GET /' || event_type || ' HTTP/1.0' AS request_line, '200' AS status, event_id::VARCHAR AS bytes FROM events", ["event_id", "d.host AS host", "d.request_line AS request_line", "d.status AS status", "d.bytes AS bytes"],
+       before={"line": "concat('10.0.0.', user_id % 256, ' - joe [10/Oct/2000:13:55:36 -0700] \"GET /', event_type, ' HTTP/1.0\" 200 ', event_id)"})
+staged("decoder_nginx", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "nginx"}})],
+       "SELECT event_id, '10.0.0.1' AS host, '/' || event_type AS path, CASE WHEN event_id % 2 = 0 THEN '1.5' END AS gzip_ratio, 'an agent' AS agent FROM events", ["event_id", "d.host AS host", "d.path AS path", "d.gzip_ratio AS gzip_ratio", "d.agent AS agent"],
+       before={"line": "if(event_id % 2 = 0, concat('10.0.0.1 - u [t o] 200 \"GET /', event_type, ' HTTP/1.1\" 7 \"r\" \"an agent\" \"1.5\"'), concat('10.0.0.1 - u [t o] \"GET /', event_type, ' HTTP/1.1\" 200 7 \"r\" \"an agent\"'))"})
+staged("decoder_syslog_local", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "syslog_rfc3164_local"}})],
+       "SELECT event_id, '13' AS pri, event_type AS ident, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS pid, 'value ' || event_id::VARCHAR AS message FROM events", ["event_id", "d.pri AS pri", "d.ident AS ident", "d.pid AS pid", "d.message AS message"],
+       before={"line": "concat('<13>Oct 11 22:14:15 ', event_type, if(user_id % 2 = 0, concat('[', user_id, ']'), ''), ': value ', event_id)"})
+staged("decoder_syslog_rfc5424", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "syslog_rfc5424"}})],
+       "SELECT event_id, event_type AS ident, user_id::VARCHAR AS pid, '[a b=\"1\"]' AS extradata, 'value' AS message FROM events", ["event_id", "d.ident AS ident", "d.pid AS pid", "d.extradata AS extradata", "d.message AS message"],
+       before={"line": "concat('<13>1 2003-10-11T22:14:15.003Z box ', event_type, ' ', user_id, ' ID1 [a b=\"1\"] value')"})
+staged("decoder_docker", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "docker"}})],
+       "SELECT event_id, event_type AS output, 'stderr' AS stream FROM events", ["event_id", "d.output AS output", "d.stream AS stream"], before={"line": "concat('{\"log\": \"', event_type, '\", \"stream\": \"stderr\", \"time\": \"t\"}')"})
+staged("decoder_decolorize", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "decolorize"}})],
+       "SELECT event_id, event_type || ' plain' AS text FROM events", ["event_id", "d AS text"], before={"line": "concat(chr(27), '[1;31m', event_type, chr(27), '[0m plain')"})
+staged("decoder_json_array", "events", ["event_id"], [("decoder", {"filter": "line", "decoder": {"mapping": {"line": "d"}, "source_format": "json", "schema": "array<bigint>"}})],
+       "SELECT event_id, event_id + user_id AS total, CASE WHEN event_id % 3 = 0 THEN '_decoder_failure' ELSE '' END AS tags FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN user_id END AS user_id FROM events)", ["event_id", "d[0] + d[1] AS total", "array_join(coalesce(tags, array()), ',') AS tags"],
+       before={"line": "concat('[', event_id, ',', user_id, if(event_id % 3 = 0, '', ']'))"})
+staged("calculator_comparison", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], [("calculator", {"filter": "*", "calculator": {"calc": "${l_quantity} >= 10 * ${l_linenumber}", "target_field": "r"}})],
+       "SELECT l_orderkey, l_linenumber, l_quantity >= 10 * l_linenumber AS r FROM lineitem", ["l_orderkey", "l_linenumber", "r"])
+staged("calculator_functions", "lineitem", ["l_orderkey", "l_linenumber", "l_discount"], [("calculator", {"filter": "*", "calculator": {"calc": "trunc(${l_discount} * 100 + 0.5) + sgn(${l_linenumber} - 3) + multiply(2, ${l_linenumber}) + hypot(3, 4) + from_hex(ff)", "target_field": "r"}})],
+       "SELECT l_orderkey, l_linenumber, trunc(l_discount * 100 + 0.5) + sign(l_linenumber - 3) + 2 * l_linenumber + 5.0::DOUBLE + 255 AS r FROM lineitem", ["l_orderkey", "l_linenumber", "r"])
+staged("calculator_two_rounds", "lineitem", ["l_orderkey", "l_linenumber"], [("calculator", {"filter": "*", "calculator": {"calc": "round(${a}, 1) * 1000 + round(${b}, 2)", "target_field": "r"}})],
+       "SELECT l_orderkey, l_linenumber, round(l_linenumber + 0.26, 1)::DOUBLE * 1000 + round(l_linenumber + 0.344, 2)::DOUBLE AS r FROM lineitem", ["l_orderkey", "l_linenumber", "r"], before={"a": "cast(l_linenumber + 0.26 as double)", "b": "cast(l_linenumber + 0.344 as double)"})
+staged("dissector_kinds", "events", ["event_id"], [("dissector", {"filter": "line", "dissector": {"mapping": {"line": "%{flag|bool} %{}:%{number|float}"}}})],
+       "SELECT event_id, event_id % 2 = 0 AS flag, user_id + 0.5::DOUBLE AS number FROM events", ["event_id", "flag", "number"], before={"line": "concat(if(event_id % 2 = 0, 'yes', 'no'), ' skipped:', user_id, '.5')"})
+staged("dissector_order_and_strip", "orders", ["o_orderkey"], [("dissector", {"filter": "line", "dissector": {"mapping": {"line": "%{+x/2} %{+x/1} %{y-(.)}"}}})],
+       "SELECT o_orderkey, o_orderstatus || o_orderkey::VARCHAR AS x, o_orderpriority AS y FROM orders", ["o_orderkey", "x", "y"], before={"line": "concat(o_orderkey, ' ', o_orderstatus, ' ', o_orderpriority, '...')"})
+staged("regex_fields", "part", ["p_partkey", "p_type"], [("generic_adder", {"filter": 'p_type: "ECON.*"', "regex_fields": ["p_type"], "generic_adder": {"add": {"hit": "yes"}}})],
+       "SELECT p_partkey, CASE WHEN regexp_full_match(p_type, 'ECON.*') THEN 'yes' END AS hit FROM part", ["p_partkey", "hit"])
+TEN_THOUSAND = {f"{i}": f"customer {i}" for i in range(0, 20000, 2)}
+staged("template_replacer_large", "orders", ["o_orderkey", "o_custkey"], [("template_replacer", {"filter": "*", "template_replacer": {"pattern": {"delimiter": "-", "fields": ["customer"], "target_field": "name"}, "template": TEN_THOUSAND}})],
+       "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_custkey < 20000 THEN 'customer ' || o_custkey::VARCHAR END AS name FROM orders", ["o_orderkey", "name"], before={"customer": "cast(o_custkey as string)"})
+staged("list_comparison_large", "orders", ["o_orderkey"], [("list_comparison", {"filter": "*", "list_comparison": {"source_fields": ["customer"], "target_field": "r", "lists": {"even": list(TEN_THOUSAND), "few": ["1", "2"]}}})],
+       "SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 2 = 0 AND o_custkey < 20000 THEN 'even' END, CASE WHEN o_custkey IN (1, 2) THEN 'few' END) AS inside FROM orders", ["o_orderkey", "array_join(coalesce(r.in_list, array()), ',') AS inside"], before={"customer": "cast(o_custkey as string)"})
+staged("network_comparison_large", "events", ["event_id"], [("network_comparison", {"filter": "*", "network_comparison": {"source_fields": ["ip"], "target_field": "r", "lists": {"even": [f"10.0.{i}.0/24" for i in range(0, 256, 2)] + [f"10.1.{i}.0/24" for i in range(0, 256, 2)], "six": ["2001:db8::/32"]}}})],
+       "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'six' WHEN user_id % 2 = 0 THEN 'even' ELSE '' END AS inside FROM events", ["event_id", "array_join(coalesce(r.in_list, array()), ',') AS inside"], before={"ip": "if(event_id % 4 = 0, concat('2001:db8::', lower(hex(user_id))), concat('10.1.', user_id % 256, '.7'))"})
+staged("geoip_enricher_six", "events", ["event_id"], [("geoip_enricher", {"filter": "*", "geoip_enricher": {"source_fields": ["ip"], "target_field": "place"}})],
+       "SELECT event_id, CASE WHEN user_id < 64 THEN 'North' END AS country FROM events", ["event_id", "place.properties.country AS country"],
+       before={"ip": "concat('2001:db8::', lower(hex(user_id)))"}, ranges=[{"start": "2001:db8::", "end": "2001:db8::3f", "country": "North"}, {"start": "10.0.0.0", "end": "10.0.0.9", "country": "South"}])
+staged("pseudonymizer_parts", "events", ["event_id"], [("pseudonymizer", {"filter": "*", "pseudonymizer": {"pseudonyms": {"line": r"(?:user|friend) (\w+)"}}})],
+       "SELECT event_id, 'user <pseudonym:' || sha256('u' || user_id::VARCHAR || 'salt') || '> and friend <pseudonym:' || sha256('f' || event_type || 'salt') || '>' AS line FROM events", ["event_id", "line"], before={"line": "concat('user u', user_id, ' and friend f', event_type)"}, hash_salt="salt")
+staged("amides_attribution", "part", ["p_partkey", "p_type"], [("amides", {"filter": "p_type", "amides": {"source_fields": ["p_type"]}})],
+       "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'economy') THEN 'first,second' ELSE '' END AS rules FROM part", ["p_partkey", "array_join(coalesce(transform(amides.attributions, x -> x.rule), array()), ',') AS rules"],
+       model={"misuse": {"idf": {"economy": 2.0}, "weights": {"economy": 4.0}, "bias": -2.0, "threshold": 0.5}, "attribution": {"second": {"idf": {"economy": 1.0}, "weights": {}, "bias": 0.0}, "first": {"idf": {"economy": 1.0}, "weights": {"economy": 1.0}, "bias": 0.0}}})
+
+
+def adder_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file says counts more than what the rule says."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yml") as f:  # read on the driver while the rule is compiled
+        f.write("level: file\nmore: 7\n")
+        f.flush()
+        stage = Stage.of("generic_adder", {"filter": "event_type: error", "generic_adder": {"add": {"level": "rule", "other": "rule"}, "add_from_file": [f.name]}})
+        return Pipeline.of([stage]).apply(table(spark, sf_dir, "events").select("event_id", "event_type")).events.select("event_id", "level", "other", "more")
+
+
+add("generic_adder_from_file", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'file' END AS level, CASE WHEN event_type = 'error' THEN 'rule' END AS other, CASE WHEN event_type = 'error' THEN 7::BIGINT END AS more FROM events", adder_from_file)
 staged("timestamper_unix", "events", ["event_id"], [("timestamper", {"filter": "*", "timestamper": {"source_fields": ["raw"], "source_format": "UNIX", "target_field": "at"}})],
        "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events", ["event_id", "at"], before={"raw": "cast(unix_seconds(cast(ts as timestamp)) as string)"})
 staged("rules_in_tree_order", "events", ["event_id", "event_type", "user_id"], [("generic_adder", [{"filter": "user_id: [0 TO 20]", "generic_adder": {"add": {"first": "by user"}}}, {"filter": "event_type: (error OR click)", "generic_adder": {"add": {"first": "by type"}}}])],
@@ -166,12 +228,13 @@ staged("failed_events", "events", ["event_id", "event_type", "user_id"], [("conc
 add("keyed_list_comparison", "SELECT c_custkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 50 = c_custkey % 50) AS in_list FROM customer",
     lambda spark, d: keyed_list_comparison(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("part")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 50).alias("part")), "nation", "part").select("c_custkey", "in_list"))
 
+MODEL = {"misuse": {"idf": {"error": 2.0}, "weights": {"error": 4.0}, "bias": -2.0, "threshold": 0.5}}
 EIGHT = [
     ("labeler", {"filter": "event_type: error", "labeler": {"label": {"action": ["failed"]}}}),
     ("dissector", {"filter": "props", "dissector": {"mapping": {"props": '{"%{key}": %{number|int}}'}}}),
     ("dropper", {"filter": "event_type: view", "dropper": {"drop": ["value"]}}),
     ("pre_detector", {"filter": "event_type: error", "pre_detector": {"id": "r1", "title": "an error", "severity": "high", "mitre": [], "case_condition": "directly", "copy_fields_to_detection_event": []}}),
-    ("generic_resolver", {"filter": "event_type", "generic_resolver": {"field_mapping": {"event_type": "group"}, "resolve_list": {"^(click|view)$": "use", "error": "trouble"}}}),
+    ("amides", {"filter": "event_type", "amides": {"source_fields": ["event_type"]}}),
     ("pseudonymizer", {"filter": "user", "pseudonymizer": {"pseudonyms": {"user": "(.*)"}}}),
     ("calculator", {"filter": "number", "calculator": {"calc": "${number} * 2 + 1", "target_field": "odd"}}),
     ("list_comparison", {"filter": "*", "list_comparison": {"source_fields": ["event_type"], "target_field": "known", "lists": {"used": ["click", "view"]}}}),
@@ -181,12 +244,12 @@ EIGHT = [
 def eight_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: eight stages, as a log pipeline has them, over all events."""
     df = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props", F.col("user_id").cast("string").alias("user"))
-    pipeline = Pipeline.of([Stage.of(kind, rules, **({"deterministic_id": True} if kind == "pre_detector" else {"hash_salt": "s"} if kind == "pseudonymizer" else {})) for kind, rules in EIGHT])
+    pipeline = Pipeline.of([Stage.of(kind, rules, **({"deterministic_id": True} if kind == "pre_detector" else {"hash_salt": "s"} if kind == "pseudonymizer" else {"model": MODEL} if kind == "amides" else {})) for kind, rules in EIGHT])
     found = pipeline.apply(df).events
-    return found.select("event_id", "user", "value", "number", "odd", F.col("group").alias("kind"), F.array_join(F.coalesce("label.action", F.array().cast("array<string>")), ",").alias("action"), F.col("pre_detection_id").isNotNull().alias("detected"), F.array_join(F.coalesce("known.in_list", F.array().cast("array<string>")), ",").alias("known"))
+    return found.select("event_id", "user", "value", "number", "odd", F.col("amides.confidence").alias("confidence"), F.array_join(F.coalesce("label.action", F.array().cast("array<string>")), ",").alias("action"), F.col("pre_detection_id").isNotNull().alias("detected"), F.array_join(F.coalesce("known.in_list", F.array().cast("array<string>")), ",").alias("known"))
 
 
 add("pipeline_eight_stages", r"""SELECT event_id, '<pseudonym:' || sha256(user_id::VARCHAR || 's') || '>' AS "user", CASE WHEN event_type <> 'view' THEN value END AS value,
   regexp_extract(props, ': (\d+)\}', 1)::BIGINT AS number, regexp_extract(props, ': (\d+)\}', 1)::BIGINT * 2 + 1 AS odd,
-  CASE WHEN event_type IN ('click', 'view') THEN 'use' WHEN contains(event_type, 'error') THEN 'trouble' END AS kind, CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END AS action,
+  CASE WHEN event_type = 'error' THEN 0.881::DOUBLE ELSE 0.119::DOUBLE END AS confidence, CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END AS action,
   event_type = 'error' AS detected, CASE WHEN event_type IN ('click', 'view') THEN 'used' ELSE '' END AS known FROM events""", eight_stages)

@@ -17,7 +17,7 @@ FRESH = 300.0
 
 
 def expanded(text: str) -> str:
-    """``${NAME}`` replaced by environment variables that are set."""
+    """``${NAME}`` and ``$NAME`` replaced by environment variables that are set; others stay."""
     return re.sub(r"\$\{(\w+)\}|\$(\w+)", lambda m: os.environ.get(m[1] or m[2], m[0]), text)
 
 
@@ -60,6 +60,11 @@ def get_structured(place: str) -> Any:
     return yaml.safe_load(text) if suffix in (".yml", ".yaml") else text
 
 
+def get_mapping(place: str) -> Any:
+    """JSON or YAML, whatever the suffix."""
+    return yaml.safe_load(get_raw(place))
+
+
 def get_lines(place: str, content_field: str | None = None) -> list[str]:
     """A list: a JSON or YAML list, the field of an object that holds one, or lines without comments (#)."""
     found = get_structured(place)

@@ -37,7 +37,8 @@ CASES = [
     ("dissector", {"m": "x y:7"}, rule("dissector", mapping={"m": "%{a} %{b}:%{c|int}"}), {"m": "x y:7", "a": "x", "b": "y", "c": 7}),
     ("dissector", {"m": "xy"}, rule("dissector", mapping={"m": "%{a} %{b}"}), {"m": "xy", "a": "xy", "b": ""}),
     ("dissector", {"m": "k=v"}, rule("dissector", mapping={"m": "%{?k}=%{&k}"}), {"m": "k=v", "k": {"k": "v"}}),
-    ("dissector", {"m": "a b c"}, rule("dissector", mapping={"m": "%{x/2} %{+(-)x/1} %{y-(c)}"}), None),
+    ("dissector", {"m": "a b c--"}, rule("dissector", mapping={"m": "%{+x/2} %{+(-)x/1} %{y-(-)}"}), {"m": "a b c--", "x": "ba", "y": "c"}),
+    ("dissector", {"m": "on 1.5"}, rule("dissector", mapping={"m": "%{a|bool} %{b|float}"}), {"m": "on 1.5", "a": True, "b": 1.5}),
     ("dissector", {"m": "q"}, rule("dissector", convert_datatype={"m": "int"}, mapping={}), {"m": "q", "tags": ["_dissector_failure"]}),
     ("string_splitter", {"a": "x,,y"}, rule("string_splitter", source_fields=["a"], target_field="l", delimeter=",", drop_empty=True), {"a": "x,,y", "l": ["x", "y"]}),
     ("replacer", {"a": "from 1.2.3.4 to"}, rule("replacer", mapping={"a": "from %{*:IP} to"}), {"a": "from IP to"}),
@@ -49,8 +50,20 @@ CASES = [
     ("decoder", {"m": "?"}, rule("decoder", mapping={"m": "t"}, source_format="base64"), {"m": "?", "tags": ["_decoder_failure"]}),
     ("decoder", {"m": '{"a": "b"}'}, rule("decoder", mapping={"m": "t"}), {"m": '{"a": "b"}', "t": {"a": "b"}}),
     ("decoder", {"m": 'a=b c="d e" a=f'}, rule("decoder", mapping={"m": "t"}, source_format="logfmt"), {"m": 'a=b c="d e" a=f', "t": {"c": "d e", "a": "f"}}),
-    ("decoder", {"m": "<34>Oct 11 22:14:15 box su[1]: no"}, rule("decoder", mapping={"m": "t"}, source_format="syslog_rfc3164"), {"m": "<34>Oct 11 22:14:15 box su[1]: no", "t": {"priority": "34", "timestamp": "Oct 11 22:14:15", "host": "box", "ident": "su", "pid": "1", "message": "no"}}),
-    ("decoder", {"m": "2020-01-01T00:00:00Z stdout F hi you"}, rule("decoder", mapping={"m": "t"}, source_format="cri"), {"m": "2020-01-01T00:00:00Z stdout F hi you", "t": {"timestamp": "2020-01-01T00:00:00Z", "stream": "stdout", "flag": "F", "content": "hi you"}}),
+    ("decoder", {"m": "<34>Oct 11 22:14:15 box su[1]: no"}, rule("decoder", mapping={"m": "t"}, source_format="syslog_rfc3164"), {"m": "<34>Oct 11 22:14:15 box su[1]: no", "t": {"pri": "34", "time": "Oct 11 22:14:15", "host": "box", "ident": "su", "pid": "1", "message": "no"}}),
+    ("decoder", {"m": "2020-01-01T00:00:00Z stdout F hi you"}, rule("decoder", mapping={"m": "t"}, source_format="cri"), {"m": "2020-01-01T00:00:00Z stdout F hi you", "t": {"timestamp": "2020-01-01T00:00:00Z", "stream": "stdout", "flags": "F", "message": "hi you"}}),
+    ("decoder", {"m": "[1, 2]"}, rule("decoder", mapping={"m": "t"}, schema="array<int>"), {"m": "[1, 2]", "t": [1, 2]}),
+    ("decoder", {"m": "3"}, rule("decoder", mapping={"m": "t"}, schema="bigint"), {"m": "3", "t": 3}),
+    ("decoder", {"m": '{"a": {"b": [1.5]}}'}, rule("decoder", mapping={"m": "t"}, schema="struct<a: struct<b: array<double>>>"), {"m": '{"a": {"b": [1.5]}}', "t": {"a": {"b": [1.5]}}}),
+    ("decoder", {"m": "[1, 2"}, rule("decoder", mapping={"m": "t"}, schema="array<int>"), {"m": "[1, 2", "tags": ["_decoder_failure"]}),
+    ("decoder", {"m": '1.2.3.4 - joe [10/Oct/2000:13:55:36 -0700] "GET /a b HTTP/1.0" 200 23'}, rule("decoder", mapping={"m": "t"}, source_format="clf"), {"m": '1.2.3.4 - joe [10/Oct/2000:13:55:36 -0700] "GET /a b HTTP/1.0" 200 23', "t": {"host": "1.2.3.4", "ident": "-", "authuser": "joe", "timestamp": "10/Oct/2000:13:55:36 -0700", "request_line": "GET /a b HTTP/1.0", "status": "200", "bytes": "23"}}),
+    ("decoder", {"m": 'h - u [t o] "GET /x HTTP/1.1" 404 7 "r" "a b"'}, rule("decoder", mapping={"m": "t"}, source_format="nginx"), {"m": 'h - u [t o] "GET /x HTTP/1.1" 404 7 "r" "a b"', "t": {"host": "h", "user": "u", "time": "t o", "method": "GET", "path": "/x", "code": "404", "size": "7", "referer": "r", "agent": "a b"}}),
+    ("decoder", {"m": "<28>Feb  1 10:00:00 su: hi"}, rule("decoder", mapping={"m": "t"}, source_format="syslog_rfc3164_local"), {"m": "<28>Feb  1 10:00:00 su: hi", "t": {"pri": "28", "time": "Feb  1 10:00:00", "ident": "su", "message": "hi"}}),
+    ("decoder", {"m": "<165>1 2003-10-11T22:14:15.003Z box app 12 ID47 [x y=\"1\"] hi you"}, rule("decoder", mapping={"m": "t"}, source_format="syslog_rfc5424"), {"m": "<165>1 2003-10-11T22:14:15.003Z box app 12 ID47 [x y=\"1\"] hi you", "t": {"pri": "165", "time": "2003-10-11T22:14:15.003Z", "host": "box", "ident": "app", "pid": "12", "msgid": "ID47", "extradata": '[x y="1"]', "message": "hi you"}}),
+    ("decoder", {"m": '{"log": "x", "stream": "stderr", "time": "t"}'}, rule("decoder", mapping={"m": "t"}, source_format="docker"), {"m": '{"log": "x", "stream": "stderr", "time": "t"}', "t": {"output": "x", "stream": "stderr", "timestamp": "t"}}),
+    ("calculator", {"a": 1.26, "b": 2.344}, rule("calculator", calc="round(${a}, 1) + round(${b} * 1, 2)", target_field="c"), {"a": 1.26, "b": 2.344, "c": 1.3 + 2.34}),
+    ("calculator", {"a": 2}, rule("calculator", calc="hypot(3, 4) + sgn(-${a}) + trunc(2.7) + multiply(2, 3)", target_field="c"), {"a": 2, "c": 12.0}),
+    ("calculator", {"a": 2}, rule("calculator", calc="all(${a}, 1, PI)", target_field="c"), {"a": 2, "c": True}),
     ("decoder", {"m": "\x1b[31mred\x1b[0m"}, rule("decoder", mapping={"m": "t"}, source_format="decolorize"), {"m": "\x1b[31mred\x1b[0m", "t": "red"}),
     ("calculator", {"a": 7, "b": "2"}, rule("calculator", calc="(${a} + 1) / ${b}", target_field="c"), {"a": 7, "b": "2", "c": 4.0}),
     ("calculator", {"a": 7}, rule("calculator", calc="${a} / 0", target_field="c"), {"a": 7, "tags": ["_calculator_failure"]}),
@@ -72,12 +85,23 @@ CASES = [
     ("ip_informer", {"a": "127.0.0.1"}, rule("ip_informer", source_fields=["a"], target_field="r", properties=["is_loopback", "version"]), {"a": "127.0.0.1", "r": {"127.0.0.1": {"is_loopback": True, "version": 4}}}),
     ("domain_label_extractor", {"u": "https://a.b.example.co.uk:8080/x"}, rule("domain_label_extractor", source_fields=["u"], target_field="d"), {"u": "https://a.b.example.co.uk:8080/x", "d": {"registered_domain": "example.co.uk", "top_level_domain": "co.uk", "subdomain": "a.b"}}),
     ("domain_label_extractor", {"u": "10.0.0.1"}, rule("domain_label_extractor", source_fields=["u"], target_field="d"), {"u": "10.0.0.1", "tags": ["ip_in_u"]}),
-    ("clusterer", {"message": "<5>user 12 and 7", "clusterable": True}, rule("clusterer", source_fields=["message"], target_field="s", pattern=r"(\d+)", repl=r"<+>N</+>"), None),
+    ("clusterer", {"message": "user 12 and 7", "clusterable": True}, rule("clusterer", source_fields=["message"], target_field="s", pattern=r"(\d+)", repl=r"<+>N</+>"), {"message": "user 12 and 7", "clusterable": True, "s": "N N"}),
+    ("clusterer", {"message": "user 12", "clusterable": True}, rule("clusterer", source_fields=["message"], target_field="s", pattern=r"(\d+)", repl=r"<+>\1</+>"), {"message": "user 12", "clusterable": True, "s": "12"}),
+    ("clusterer", {"message": "a((((((x))))))b $", "clusterable": True}, rule("clusterer", target_field="s", pattern=r"\((\w*)\)|(\$)", repl=r"\1"), {"message": "a((((((x))))))b $", "clusterable": True, "s": ""}),
+    ("clusterer", {"message": "m 1", "syslog": {"facility": 3}, "event": {"severity": "low"}}, rule("clusterer", source_fields=["message"], target_field="s", pattern=r"(\d)", repl=r"<+>\1</+>"), {"message": "m 1", "syslog": {"facility": 3}, "event": {"severity": "low"}, "s": "3 , low , 1"}),
+    ("clusterer", {"message": "m 1", "clusterable": False, "tags": ["clusterable"]}, rule("clusterer", source_fields=["message"], target_field="s", pattern=r"(\d)", repl=""), {"message": "m 1", "clusterable": False, "tags": ["clusterable"]}),
+    ("geoip_enricher", {"a": "2001:db8::5"}, rule("geoip_enricher", source_fields=["a"]), {"a": "2001:db8::5", "geoip": {"type": "Feature", "properties": {"country": "North"}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}}),
+    ("geoip_enricher", {"a": "10.0.0.9"}, rule("geoip_enricher", source_fields=["a"]), {"a": "10.0.0.9", "geoip": {"type": "Feature", "properties": {"country": "South", "accuracy_radius": 5}}}),
+    ("geoip_enricher", {"a": "10.0.1.9"}, rule("geoip_enricher", source_fields=["a"]), {"a": "10.0.1.9"}),
+    ("network_comparison", {"a": ["8.8.8.8", "2001:db8::1"]}, rule("network_comparison", source_fields=["a"], target_field="r", lists={"l": ["10.0.0.0/8"], "m": ["2001:db8::/32"]}), {"a": ["8.8.8.8", "2001:db8::1"], "r": {"in_list": ["m"]}}),
+    ("network_comparison", {"a": ["8.8.8.8", "x"]}, rule("network_comparison", source_fields=["a"], target_field="r", lists={"l": ["10.0.0.0/8"]}), {"a": ["8.8.8.8", "x"], "tags": ["_network_comparison_failure"]}),
+    ("amides", {"c": "net  user /add"}, rule("amides", source_fields=["c"]), {"c": "net  user /add", "amides": {"confidence": 0.958, "attributions": [{"rule": "b", "confidence": 0.88}, {"rule": "a", "confidence": 0.5}]}}),
     ("domain_resolver", {"u": "http://h.test/x"}, rule("domain_resolver", source_fields=["u"], target_field="ip"), {"u": "http://h.test/x", "ip": "1.2.3.4"}),
     ("requester", {"a": "x"}, rule("requester", url="http://s/${a}", method="GET", target_field_mapping={"v": "out.v"}), {"a": "x", "out": {"v": "1"}}),
     ("datetime_extractor", {"t": "2019-08-02T09:46:18.625+02:00"}, rule("datetime_extractor", source_fields=["t"], target_field="d"), {"t": "2019-08-02T09:46:18.625+02:00", "d": {"year": 2019, "month": 8, "day": 2, "hour": 9, "minute": 46, "second": 18, "microsecond": 625000, "weekday": "Friday", "timezone": "UTC+02:00"}}),
 ]
-OPTIONS = {"domain_resolver": {"resolver": lambda n: "1.2.3.4" if n == "h.test" else None}, "requester": {"caller": lambda r: (200, '{"v": 1}')}}
+LINEAR = {"idf": {"user": 1.0, "net": 1.0}, "weights": {"user": 3.0}, "bias": 1.0}
+OPTIONS = {"amides": {"model": {"misuse": LINEAR | {"threshold": 0.9}, "attribution": {"b": LINEAR | {"bias": -0.128}, "a": {"idf": {"x": 1.0}, "weights": {}}}}}, "geoip_enricher": {"ranges": [{"start": "10.0.0.0", "end": "10.0.0.255", "country": "South", "accuracy_radius": "5"}, {"start": "2001:db8::", "end": "2001:db8::ff", "country": "North", "longitude": "1.5", "latitude": "2.5"}]}, "domain_resolver": {"resolver": lambda n: "1.2.3.4" if n == "h.test" else None}, "requester": {"caller": lambda r: (200, '{"v": 1}')}}
 
 
 @pytest.mark.parametrize("kind, event, given, want", [c for c in CASES if c[3] is not None or c[0] == "deleter"])
@@ -118,7 +142,9 @@ def test_pseudonyms(spark):
     options = {"regex_mapping": {"NAME": r"user (\w+)"}, "hash_salt": "s", "encrypt": lambda x: x[::-1]}
     found, extras, _ = done(spark, {"m": "user bob saw bob"}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "NAME"}), **options)
     mark = f"<pseudonym:{hashlib.sha256(b'bobs').hexdigest()}>"
-    assert found == {"m": f"user {mark} saw {mark}"} and extras == [{"pseudonym": mark, "origin": "bob"}]
+    assert found == {"m": f"user {mark} saw {mark}"} and extras == [{"pseudonym": mark[11:-1], "origin": "bob"}]
+    found, extras, _ = done(spark, {"m": "user ann, user bob"}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "NAME"}), **options)
+    assert found["m"].count("<pseudonym:") == 2 and [x["origin"] for x in extras] == ["nna", "bob"]
     again, extras, _ = done(spark, {"m": mark}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "(.*)"}), hash_salt="s")
     assert again == {"m": mark} and extras == []
 
@@ -134,3 +160,131 @@ def test_bad_rules():
     with pytest.raises(RuleError):
         Stage.of("deleter", {"filter": "*"})
     json.dumps([])
+
+
+def test_encrypted_origins(spark):
+    """Both modes against the JVM's own RSA, and AES by its published examples."""
+    import base64
+
+    from rillstone.functions import sealing
+
+    assert sealing.aes_block(sealing._round_keys(bytes(range(32))), bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    key, text = bytes.fromhex("feffe9928665731c6d6a8f9467308308"), bytes.fromhex("d9313225f88406e5a55909c5aff5269a86a7a953")
+    assert sealing.aes_gcm(key, bytes.fromhex("cafebabefacedbaddecaf888"), text).hex().startswith("42831ec2217774244b7221b784d0d49c") and sealing.aes_gcm(key, bytes.fromhex("cafebabefacedbad"), text).hex().startswith("61353b4c2806934a777ff51fa22a4755")
+    java, pems = spark._jvm, []
+    for bits in (1024, 2048):
+        made = java.java.security.KeyPairGenerator.getInstance("RSA")
+        made.initialize(bits)
+        pair, factory = made.generateKeyPair(), java.java.security.KeyFactory.getInstance("RSA")
+        coded = lambda key, spec: factory.getKeySpec(key, java.java.lang.Class.forName(f"java.security.spec.{spec}EncodedKeySpec")).getEncoded()
+        pem = lambda name, data: f"-----BEGIN {name} KEY-----\n{base64.b64encode(bytes(b & 255 for b in data)).decode()}\n-----END {name} KEY-----\n"
+        pems.append((pem("PRIVATE", coded(pair.getPrivate(), "PKCS8")), pem("PUBLIC", coded(pair.getPublic(), "X509"))))
+        cipher = java.javax.crypto.Cipher.getInstance("RSA/ECB/OAEPWithSHA-1AndMGF1Padding")
+        cipher.init(2, pair.getPrivate())
+        assert bytes(b & 255 for b in cipher.doFinal(sealing.rsa_encrypt(sealing.read_key(pems[-1][1]), b"text"))) == b"text"
+    (a, open_a), (b, open_b) = pems
+    for mode in ("GCM", "CTR"):
+        assert sealing.decrypt(sealing.encrypter(open_a, open_b, mode)("gr\u00fc\u00dfe"), a, b) == "gr\u00fc\u00dfe"
+    private, public = sealing.make_keys(1024)
+    assert sealing.rsa_decrypt(sealing.read_key(private), sealing.rsa_encrypt(sealing.read_key(public), b"x" * 50)) == b"x" * 50
+
+
+def test_pseudonyms_with_keys(spark, tmp_path):
+    from rillstone.functions import sealing
+
+    keys = [sealing.make_keys(1024) for _ in range(2)]
+    for name, (_, public) in zip(("a", "b"), keys):
+        (tmp_path / name).write_text(public)
+    found, extras, _ = done(spark, {"m": ["user ann", "user bob", "user ann"]}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": r"user (\w+)"}), pubkey_analyst=str(tmp_path / "a"), pubkey_depseudo=str(tmp_path / "b"))
+    assert found["m"][0] == found["m"][2] and [sealing.decrypt(x["origin"], keys[0][0], keys[1][0]) for x in extras] == ["ann", "bob"]
+
+
+@pytest.mark.parametrize("count", [199, 201, 4999, 5001])
+def test_large_lookups(spark, count):
+    """On both sides of where a map is a literal; a text that is no key, and a null."""
+    table = {f"{i}-x": f"value {i}" for i in range(count)}
+    last = {"a": str(count - 1), "b": "x"}
+    spec = {"pattern": {"delimiter": "-", "fields": ["a", "b"], "target_field": "b"}, "template": table}
+    assert done(spark, last, "template_replacer", rule("template_replacer"), **spec)[0] == last | {"b": f"value {count - 1}"}
+    assert done(spark, {"a": "no", "b": "x"}, "template_replacer", rule("template_replacer"), **spec)[0] == {"a": "no", "b": "x"}
+    names = [f"n{i}" for i in range(count)]
+    listed = rule("list_comparison", source_fields=["a"], target_field="r", lists={"l": names, "few": ["n0"]})
+    for value, want in (("n0", {"in_list": ["l", "few"]}), (names[-1], {"in_list": ["l"]}), ("q", {"not_in_list": ["l", "few"]}), (["q", names[-1]], {"in_list": ["l"]})):
+        assert done(spark, {"a": value}, "list_comparison", listed)[0] == {"a": value, "r": want}
+
+
+def test_resolver_with_a_large_file(spark, tmp_path):
+    (tmp_path / "map.yml").write_text("".join(f"k{i}: v{i}\n" for i in range(6000)))
+    given = rule("generic_resolver", field_mapping={"a": "b"}, resolve_from_file={"path": str(tmp_path / "map.yml"), "pattern": r"to (?P<mapping>\w+)"}, resolve_list={"other": "o"})
+    for value, want in (("to k5999", {"b": "v5999"}), ("other", {"b": "o"}), ("to none", {})):
+        assert done(spark, {"a": value}, "generic_resolver", given)[0] == {"a": value} | want
+
+
+def test_many_networks(spark):
+    nets = [f"10.{i // 256}.{i % 256}.0/25" for i in range(0, 1000)] + ["2001:db8::/32"]
+    given = rule("network_comparison", source_fields=["a"], target_field="r", lists={"l": nets, "m": ["9.0.0.0/8"]})
+    for value, want in (("10.3.231.127", {"in_list": ["l"]}), ("10.3.231.128", {"not_in_list": ["l", "m"]}), ("2001:db8:1::", {"in_list": ["l"]}), ("9.9.9.9", {"in_list": ["m"]}), ("2001:db9::", {"not_in_list": ["l", "m"]})):
+        assert done(spark, {"a": value}, "network_comparison", given)[0] == {"a": value, "r": want}
+
+
+def test_lists_whose_place_is_in_the_event(spark, tmp_path):
+    for name, lines in (("x", "one\ntwo\n"), ("y", "three\n")):
+        (tmp_path / f"list_{name}.txt").write_text(lines)
+    given = rule("list_comparison", source_fields=["a"], target_field="r", list_file_paths=["list_${tenant.id}.txt"])
+    options = {"list_search_base_path": str(tmp_path)}
+    name = "list_${tenant.id}.txt"
+    for event, want in (
+        ({"a": "one", "tenant": {"id": "x"}}, {"r": {"in_list": [name]}}), ({"a": "one", "tenant": {"id": "y"}}, {"r": {"not_in_list": [name]}}), ({"a": ["q", "three"], "tenant": {"id": "y"}}, {"r": {"in_list": [name]}}),
+        ({"a": "one", "tenant": {"id": "z"}}, {"tags": ["_list_comparison_failure"]}), ({"a": "one"}, {"tags": ["_list_comparison_failure"]}),
+    ):
+        assert done(spark, event, "list_comparison", given, **options)[0] == event | want
+
+
+def test_files_of_additions_count_more_than_the_rule(spark, tmp_path):
+    for i, text in enumerate(("a: file\nb: file\n", '{"b": "second"}')):
+        (tmp_path / f"{i}.yml").write_text(text)
+    files = [str(tmp_path / f"{i}.yml") for i in range(2)]
+    adds = lambda **o: rule("generic_adder", add={"a": "rule", "c": "rule"}, **o)
+    assert done(spark, {"x": 1}, "generic_adder", adds(add_from_file=files))[0] == {"x": 1, "a": "file", "b": "second", "c": "rule"}
+    assert done(spark, {"x": 1}, "generic_adder", adds(add_from_file=["/none", *files], only_first_existing_file=True))[0] == {"x": 1, "a": "file", "b": "file", "c": "rule"}
+    with pytest.raises(RuleError):
+        done(spark, {"x": 1}, "generic_adder", adds(add_from_file=["/none", *files]))
+
+
+def test_merging_and_overwriting_at_once_is_an_error():
+    with pytest.raises(RuleError):
+        Stage.of("field_manager", rule("field_manager", mapping={"a": "b"}, overwrite_target=True, merge_with_target=True))
+
+
+def test_rules_of_the_clusterer_follow_one_another(spark):
+    rules = [rule("clusterer", source_fields=["message"], target_field="s", pattern=p, repl=r) for p, r in ((r"\d+", ""), (r"(\w+)ing\b", r"\1"), (r"(\w+)", r"<+>\1</+>"))]
+    found, _, errors = done(spark, {"message": "walking 12 dogs", "tags": ["clusterable"]}, "clusterer", *rules)
+    assert not errors and found == {"message": "walking 12 dogs", "tags": ["clusterable"], "s": "walk dogs"}
+    _, _, errors = done(spark, {"message": "a <+>b</+>", "clusterable": True}, "clusterer", rules[0])
+    assert errors
+
+
+def test_substitutions_as_by_a_loop(spark):
+    """Against a plain loop, for patterns whose matches fall, rise or stay."""
+    import random
+    import re
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("ab()x1 ", k=rnd.randrange(30))) for _ in range(150)] + ["(" * 20 + ")" * 20, ""]
+    for pattern, new in ((r"\(([^()]*)\)", r"\1"), (r"(\d+)", r"<+>\1</+>"), ("ab", "b"), ("a", "aa"), (r"b(a)", r"\g<1>b")):
+        from pyspark.sql import functions as F
+
+        from rillstone.operators.text import substituted
+
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+        steps, result = substituted(F.col("t"), pattern, new, "__s")
+        for columns in steps:
+            df = df.select("*", *(c.alias(n) for n, c in columns.items()))
+        found = {r.i: r.x for r in df.select("i", result.alias("x")).collect()}
+        for i, t in enumerate(texts):
+            t, n = re.subn(pattern, new, t)
+            last = n + 1
+            while 0 < n < last:
+                last = n
+                t, n = re.subn(pattern, new, t)
+            assert found[i] == t, (pattern, texts[i])
