@@ -32,7 +32,13 @@ def lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 
 def in_memory(spark: SparkSession, events: list[dict[str, Any]], schema: T.StructType | str | None = None, repeat: int = 1) -> DataFrame:
-    """Given events, as often as wanted."""
+    """Given events, as often as wanted. An exception among them is an input that couldn't be read: it has its message in ``_raw``."""
+    if any(isinstance(e, Exception) for e in events):
+        rows = [(json.dumps(e), None) if not isinstance(e, Exception) else (None, f"{type(e).__name__}: {e}") for e in events] * repeat
+        good = [e for e in events if not isinstance(e, Exception)]
+        kind = schema or in_memory(spark, good).schema
+        frame = spark.createDataFrame(rows, "value string, _raw string")
+        return frame.select(F.from_json("value", kind).alias("e"), "_raw").select("e.*", "_raw")
     rows = [json.dumps(e) for e in events] * repeat
     frame = spark.createDataFrame([(r,) for r in rows], "value string")
     if schema is None:
@@ -63,8 +69,8 @@ def parsed(raw: DataFrame, schema: T.StructType | str) -> DataFrame:
 
 
 def unreadable(events: DataFrame) -> DataFrame:
-    """(event, errors) of the inputs that couldn't be parsed."""
-    return events.where("_raw is not null").select(F.col("_raw").alias("event"), F.lit("no JSON object").alias("errors"))
+    """(event, errors, @timestamp) of the inputs that couldn't be parsed."""
+    return events.where("_raw is not null").select(F.col("_raw").alias("event"), F.lit("no JSON object").alias("errors"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@timestamp"))
 
 
 class TailSource(DataSource):

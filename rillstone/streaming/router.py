@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..plans.pipeline import Pipeline, Results, read_config
+from ..sources import getters
+from ..sources.events import unreadable
 
 Sink = Callable[[DataFrame], object]
 
@@ -24,9 +26,11 @@ class Outputs:
     failed: Sink | None = None
 
     def store(self, results: Results) -> None:
-        """Failed events first, then side records, then events. What is computed once is kept for all of them."""
+        """Failed events first, then side records, then events. What is computed once is kept for all of them: in the folder of checkpoints, if there is
+        one, else in the memory and on the disks of executors."""
         if len(self.default) + len(self.named) + (self.failed is not None) > 1:
-            results = Results(results.whole.persist())
+            shared = results.whole.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+            results = Results(results.whole.checkpoint() if shared else results.whole.persist())
         try:
             if self.failed is not None:
                 self.failed(results.failed)
@@ -39,7 +43,7 @@ class Outputs:
 
 
 class Reloading:
-    """A pipeline that is read again when its configuration gets another ``version``, looked at every so many seconds.
+    """A pipeline that is read again when its configuration gets another ``version``, or a lookup from the web another text, looked at every so many seconds.
 
     Rules and lookup files are read anew with it. A new configuration that can't be compiled is left aside and the
     old one stays."""
@@ -53,7 +57,7 @@ class Reloading:
             self.seen = time.monotonic()
             try:
                 config = read_config(*self.paths)
-                if config.get("version") != self.pipeline.config.get("version"):
+                if getters.refresh() or config.get("version") != self.pipeline.config.get("version"):
                     self.pipeline, self.problem = Pipeline.from_config(config), ""
             except (ValueError, OSError, KeyError, TypeError) as e:
                 self.problem = str(e)
@@ -65,13 +69,18 @@ def run(pipeline: Pipeline | Callable[[], Pipeline], events: DataFrame, outputs:
 
     A function that gives the pipeline is asked for each batch."""
     now = (lambda: pipeline) if isinstance(pipeline, Pipeline) else pipeline
-    if not events.isStreaming:
-        outputs.store(now().apply(events))
-        return None
 
-    def batch(df: DataFrame, number: int) -> None:
+    def batch(df: DataFrame, number: int = 0) -> None:
+        if "_raw" in df.columns:  # inputs that couldn't be read never reach the pipeline
+            if outputs.failed is not None:
+                outputs.failed(unreadable(df))
+            df = df.where("_raw is null").drop("_raw")
         outputs.store(now().apply(df))
 
+    if not events.isStreaming:
+        batch(events)
+        return None
+
     writer = events.writeStream.foreachBatch(batch)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)

@@ -143,3 +143,143 @@ def test_reloading_and_metrics(spark, tmp_path):
     found = source().apply(events.in_memory(spark, [{"a": 1}, {"a": 2}]))
     observed(found, counts).whole.collect()
     assert counts.get["events"] == 2 and counts.get["failed"] == 0
+
+
+def test_unreadable_inputs_go_to_the_failed_output(spark):
+    seen = {}
+    rows = [{"a": "x"}, ValueError("no such offset"), {"a": "z"}]
+    keep = lambda name: lambda df: seen.setdefault(name, []).extend(df.collect())
+    run(Pipeline.of([("generic_adder", RULES)]), events.in_memory(spark, rows), Outputs(default=[keep("events")], failed=keep("failed")))
+    assert [(r.a, r.b) for r in seen["events"]] == [("x", "y"), ("z", None)] and [r.event for r in seen["failed"]] == ["ValueError: no such offset"]
+    raw = spark.createDataFrame([('{"a": "x"}',), ("[1]",), ("{broken",)], "value string")
+    assert sorted(r.event for r in events.unreadable(events.parsed(raw, "a string")).collect()) == ["[1]", "{broken"]
+
+
+def test_search_output_retries_and_refusals(spark, tmp_path):
+    """Busy items are sent again alone, a dead host is left for another, refused documents go to the failed output."""
+    folder = str(tmp_path)
+
+    def send(address, body):
+        import os
+        import uuid
+
+        if "dead" in address:
+            raise ConnectionError("nobody there")
+        docs = [json.loads(x) for x in body.decode().splitlines()[1::2]]
+        items = []
+        for d in docs:
+            mark = os.path.join(folder, f"seen-{d['n']}")
+            first = not os.path.exists(mark)
+            open(mark, "a").write("x")
+            status = 400 if d["n"] == 3 else 429 if d["n"] == 5 and first else 201
+            items.append({"index": {"status": status, **({"error": {"type": "bad" if status == 400 else "busy"}} if status > 201 else {})}})
+        open(os.path.join(folder, f"call-{uuid.uuid4().hex}"), "w").write(str(len(docs)))
+        return {"errors": any("error" in i["index"] for i in items), "items": items}
+
+    df, refused = spark.range(10).selectExpr("id AS n").coalesce(1), []
+    sinks.write_search(df, ["dead:1", "alive:1"], "i", chunk=4, send=send, first=0.01, failed=lambda f: refused.extend(f.collect()))
+    assert [(json.loads(r.event)["n"], json.loads(r.errors)["type"]) for r in refused] == [(3, "bad")]
+    assert (tmp_path / "seen-5").read_text() == "xx" and (tmp_path / "seen-4").read_text() == "x"
+    with pytest.raises(RuntimeError):
+        sinks.write_search(df, "alive:1", "i", send=send)
+    with pytest.raises(Exception, match="nobody there"):
+        sinks.write_search(df, "dead:1", "i", send=send, attempts=2, first=0.01)
+
+
+def test_prefixes_and_records(spark, tmp_path):
+    assert sinks.bucket("b", "/x/") == "s3a://b/x" and sinks.bucket("file:///t") == "file:///t"
+    assert sinks.dated("a/%{%Y}/%{%H-%M}") == time.strftime("a/%Y/%H-%M", time.gmtime())
+    sinks.write_prefixed(spark.createDataFrame([("p%{%j}", 1), (None, 2)], "p string, n long"), f"{tmp_path}/s3", "p", "none")
+    found = {(r.prefix, "reason" in r.value) for r in spark.read.text(f"{tmp_path}/s3").collect()}
+    assert found == {(time.strftime("p%j", time.gmtime()), False), ("none", True)}
+    sinks.write_records(spark.createDataFrame([("o", 't"1', '{"a": 1}')], "output string, target string, doc string"), f"{tmp_path}/r")
+    assert [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/r").collect()] == [{'t"1': {"a": 1}}]
+
+
+class Service:
+    """A small web server whose text and ETag can be changed."""
+
+    def __init__(self):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        service, self.text, self.asked = self, "one\n", []
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                service.asked.append(dict(self.headers))
+                tag = hashlib.sha256(service.text.encode()).hexdigest()
+                same = self.headers.get("If-None-Match") == tag
+                self.send_response(304 if same else 200)
+                self.send_header("ETag", tag)
+                self.end_headers()
+                if not same:
+                    self.wfile.write(service.text.encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}/list.txt"
+
+
+def test_web_lookups(tmp_path, monkeypatch):
+    from rillstone.sources import getters
+
+    service, told = Service(), []
+    (tmp_path / "c.yml").write_text(f"{service.url[:20]}: {{username: u, password: p}}\n")
+    monkeypatch.setenv(getters.CREDENTIALS, str(tmp_path / "c.yml"))
+    assert getters.get_lines(service.url) == ["one"] == getters.get_lines(service.url) and len(service.asked) == 1
+    assert service.asked[0]["Authorization"].startswith("Basic ")
+    getters.on_change(service.url, told.append)
+    later = time.monotonic() + getters.FRESH + 1
+    assert getters.refresh(later) == [] and len(service.asked) == 2
+    service.text = "two\n"
+    assert getters.refresh(later + getters.FRESH) == [service.url] and told == ["two\n"] and getters.get_lines(service.url) == ["two"]
+    getters._seen[service.url].callbacks.clear()
+    getters.refresh(later + getters.UNUSED * 2)
+    assert service.url not in getters._seen
+    service.server.shutdown()
+
+
+def test_exporter(spark, tmp_path):
+    import urllib.error
+    import urllib.request
+
+    from rillstone.streaming import Exporter
+
+    exporter = Exporter(spark)
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{exporter.port}{path}").read().decode()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"a": "x"}\n{"a": "z"}\n')
+    query = run(Pipeline.of([("generic_adder", RULES)]), events.jsonl(spark, str(tmp_path / "in"), "a string", stream=True), Outputs(default=[sinks.write_nothing]), str(tmp_path / "c"), available_now=True)
+    query.awaitTermination(60)
+    for _ in range(50):
+        if "rillstone_events_total" in get("/metrics"):
+            break
+        time.sleep(0.2)
+    assert "rillstone_events_total{stream=" in get("/metrics") and get("/health") == "well\n"
+    exporter.ended("s", "it broke\nhere")
+    with pytest.raises(urllib.error.HTTPError):
+        get("/health")
+    exporter.close()
+
+
+def test_keys_on_the_command_line(tmp_path, capsys):
+    from rillstone.cli import main
+
+    for name in ("a", "b"):
+        main(["make-keys", str(tmp_path / name), "--bits", "1024"])
+    main(["pseudonymize", str(tmp_path / "a.pub"), str(tmp_path / "b.pub"), "origin"])
+    main(["depseudonymize", str(tmp_path / "a"), str(tmp_path / "b"), capsys.readouterr().out.strip()])
+    assert capsys.readouterr().out.strip() == "origin"
+
+
+def test_outputs_of_a_configuration():
+    from rillstone.cli import sink_of
+
+    for o in ({"type": "dummy_output"}, {"type": "ng_opensearch_output", "hosts": ["h"], "default_index": "i", "user": "u"}, {"type": "s3_output", "bucket": "b", "prefix_field": "p"}, {"type": "jsonl_output", "output_file": "f"}, {"type": "confluentkafka_output", "topic": "t", "kafka_config": {"bootstrap.servers": "s"}}):
+        assert all(map(callable, sink_of(o)))
+    with pytest.raises(ValueError):
+        sink_of({"type": "nothing"})
