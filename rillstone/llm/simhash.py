@@ -29,6 +29,8 @@ RADIUS = 28
 KEYS, SHINGLE = 12, 3
 #: Fingerprints in a tree, about, and bytes of trees or of lists of ids that are broadcast at once.
 LIMIT, BROADCAST = 4096, 64 << 20
+#: Fingerprints that one task links, about: they are small, but each is compared with many.
+TASK = 1 << 15
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,9 +284,13 @@ def groups(signs: DataFrame, radius: int = RADIUS, limit: int = LIMIT, most: int
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     part = F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / limit)).cast("int")
     dealt = settle(members.join(sizes, "key").select("key", F.when(F.col("n") > limit, part).otherwise(0).alias("part"), "print", (F.col("n") > limit).alias("hot")))
-    edges = dealt.select("key", "part", "print").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(linked(radius), "a binary, b binary")
-    hot = dealt.where("hot").select("key", "part", "print").distinct()
-    rounds = -(-hot.count() * 28 // most)
+    tasks = -(-dealt.count() // TASK) or 1
+    edges = dealt.select("key", "part", "print").repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(linked(radius), "a binary, b binary")
+    hot = settle(dealt.where("hot").select("key", "part", "print").distinct())
+    count = hot.count()
+    rounds = -(-count * 28 // most)
+    if rounds:
+        hot = settle(hot.repartitionByRange(-(-count // limit), "key", "part"))  # so that a task needs few trees
     for r in range(rounds):
         table = hot.where(F.pmod(F.xxhash64("key", "part"), F.lit(rounds)) == r).toArrow()
         order = np.lexsort((table["part"].to_numpy(), table["key"].to_numpy()))
