@@ -1,6 +1,7 @@
 """Grok patterns ``%{NAME:field:type}``, expanded to one Java regular expression."""
 
 import re
+from pathlib import Path
 
 from ..plans.rules import RuleError
 
@@ -28,6 +29,19 @@ PATTERNS: dict[str, str] = {
     "JAVASTACKTRACEPART": r"\s*at %{JAVACLASS:java.log.origin.class.name}\.%{JAVAMETHOD:log.origin.function}\(%{JAVAFILE:log.origin.file.name}(?::%{INT:log.origin.file.line:int})?\)", "MONGO_WORDDASH": r"\b[\w-]+\b", "REDISTIMESTAMP": r"%{MONTHDAY} %{MONTH} %{TIME}", "RUBY_LOGLEVEL": r"DEBUG|FATAL|ERROR|WARN|INFO",
     "CRON_ACTION": r"[A-Z ]+", "NAGIOSTIME": r"\[%{NUMBER:timestamp}\]", "SQUID": r"%{NUMBER:timestamp} +%{NUMBER:squid.request.duration:int} %{IP:source.ip} %{WORD:event.action}/%{NONNEGINT:http.response.status_code:int} %{INT:http.response.bytes:int} %{WORD:http.request.method} %{NOTSPACE:url.original} (?:-|%{NOTSPACE:user.name}) %{WORD:squid.hierarchy_code}/(?:-|%{IPORHOST:destination.address}) (?:-|%{NOTSPACE:http.response.mime_type})",
 }
+
+
+def read_folder(place: str) -> dict[str, str]:
+    """The patterns of all files of a folder and those below it, in the order of their paths: lines of a name and a pattern; # begins a comment."""
+    found = {}
+    for path in sorted(p for p in Path(place.removeprefix("file://")).rglob("*") if p.is_file()):
+        for line in path.read_text(encoding="utf-8").splitlines():
+            name, _, pattern = line.strip().partition(" ")
+            if name and not name.startswith("#") and pattern:
+                found[name] = pattern.strip()
+    return found
+
+
 _USE = re.compile(r"%\{(\w+)(?::([^}:]+))?(?::(int|float))?\}")
 _OWN = re.compile(r"\(\?<((?![=!])[^>]+)>")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import parse_qs, urlencode, urlparse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,6 +140,63 @@ def captured(value: Column, pattern: str, salt: str) -> tuple[Column, Column]:
     return text, F.transform(origins, lambda o: F.struct(hashed(o, salt).alias("pseudonym"), o.alias("origin")))
 
 
+_URL = re.compile(r"(?:https?://)?(?:[^\s/@:]+:[^\s/@]+@)?(?:[\w-]+\.)+[A-Za-z]{2,}(?::\d+)?(?:[/?#]\S*)?")
+
+
+def masked_url(url: str, mask: Callable[[str], str]) -> str:
+    """A URL with its subdomains, credentials, path, fragment and values of its query masked."""
+    parts = urlparse(url if url.startswith(("http://", "https://")) else f"http://{url}")
+    labels = (parts.hostname or "").split(".")
+    if len(labels) > 2:
+        below = ".".join(labels[:-2])
+        url = url.replace(below, mask(below))
+    if parts.fragment:
+        url = url.replace(f"#{parts.fragment}", f"#{mask(parts.fragment)}")
+    if parts.username:
+        own = f"{parts.username}:{parts.password}"
+        url = url.replace(own, mask(own))
+    if len(parts.path) > 1:
+        url = url.replace(parts.path[1:], mask(parts.path[1:]))
+    if parts.query:
+        values = {k: [mask(v) for v in vs if v] for k, vs in parse_qs(parts.query).items()}
+        url = url.replace(parts.query, urlencode(values, safe="<pseudonym:>", doseq=True))
+    return url
+
+
+def url_masker(pattern: str, salt: str):
+    """For texts with URLs: where the pattern captures anything, parts of each URL become pseudonyms, and then what is captured besides."""
+    compiled, done = re.compile(pattern), re.compile(DONE)
+
+    @F.pandas_udf("array<struct<text:string,parts:array<struct<pseudonym:string,origin:string>>>>")
+    def work(batch: pd.Series) -> pd.Series:
+        def one(text: str | None) -> dict | None:
+            if text is None:
+                return None
+            parts: dict[str, str] = {}
+
+            def mask(value: str) -> str:
+                if done.match(value):
+                    return value
+                own = hashlib.sha256((value + salt).encode()).hexdigest()
+                parts[own] = value
+                return f"<pseudonym:{own}>"
+
+            found = [g for m in compiled.finditer(text) for g in (m.groups() or (m[0],)) if g]
+            values = dict.fromkeys(found)
+            if values:
+                for url in dict.fromkeys(_URL.findall(text)):
+                    text = text.replace(url, masked_url(url, mask))
+                    values.pop(url, None)
+            for value in values:
+                if value in text:
+                    text = text.replace(value, mask(value))
+            return {"text": text, "parts": [{"pseudonym": k, "origin": v} for k, v in parts.items()]}
+
+        return batch.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+    return work
+
+
 def replacing(pattern: str, salt: str):
     return lambda v: F.struct(*(c.alias(n) for c, n in zip(captured(v, pattern, salt), ("text", "parts"))))
 
@@ -150,7 +211,7 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
 
     All that is captured anywhere is replaced everywhere; elements of lists are treated one by one; what is a pseudonym already stays. The origin is encrypted with the
     public keys ``pubkey_analyst`` and ``pubkey_depseudo`` of the stage's options, in ``mode`` GCM or CTR, or by a function ``encrypt`` from an
-    origin to text; with neither, no origin is sent.
+    origin to text; with neither, no origin is sent. In fields that a rule names as ``url_fields``, the parts of URLs are replaced one by one.
     """
     pseudonyms = rule.option("pseudonyms")
     if not pseudonyms:
@@ -170,7 +231,7 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
         lacking = lacking | source(frame, path).isNull()
         many = isinstance(frame.kind(path), T.ArrayType)
         values = source(frame, path).cast("array<string>") if many else F.array(text_of(frame, path))
-        pieces = F.transform(values, replacing(pattern, salt))
+        pieces = url_masker(pattern, salt)(values) if path in rule.option("url_fields", []) else F.transform(values, replacing(pattern, salt))
         new = F.transform(pieces, lambda x: x["text"])
         parts = F.array_distinct(F.flatten(F.filter(F.transform(pieces, lambda x: x["parts"]), lambda x: x.isNotNull())))
         result.writes.append(Write(path, new if many else F.get(new, F.lit(0)), "overwrite"))

@@ -157,7 +157,7 @@ def grokker(rule: Rule, frame: Frame, options: dict) -> Effect:
     mapping = rule.option("mapping")
     if not mapping:
         raise RuleError("a rule of grokker needs a mapping")
-    extra = {**options.get("patterns", {}), **rule.option("patterns", {})}
+    extra = {**(grok.read_folder(options["custom_patterns_dir"]) if options.get("custom_patterns_dir") else {}), **options.get("patterns", {}), **rule.option("patterns", {})}
     result = effect(rule, frame, [], sources=list(mapping))
     fitted, present = F.lit(False), F.lit(False)
     for path, given in mapping.items():

@@ -204,6 +204,7 @@ class Frame:
     def _write(self, w: Write, able: Column, changed: dict[str, Column], conflicts: list[Column]) -> None:
         parts = paths.split(w.path)
         name = paths.join(parts)
+        outer = able
         value, able = w.value, able if w.when is None else able & yes(w.when)
         if not w.nulls:
             able = able & value.isNotNull()
@@ -219,6 +220,10 @@ class Frame:
                 changed[p] = F.when(able, F.lit(None)).otherwise(now(p))
             changed[name] = self._either(able, value, now(name), name) if known else F.when(able, value)
             return
+        if w.mode == "merge" and not known and below and isinstance(kind := self._type(value), T.StructType):
+            for f in kind.fields:  # of two with fields, those of the new one count
+                self._write(replace(w, path=paths.join([*parts, f.name]), value=value.getField(f.name), mode="overwrite"), outer, changed, conflicts)
+            return
         if w.mode == "merge" and known:
             merged, clash = self._merged(now(name), name, value)
             blocked = yes(blocked) | (now(name).isNotNull() & yes(clash)) if clash is not None else yes(blocked)

@@ -288,3 +288,37 @@ def test_substitutions_as_by_a_loop(spark):
                 last = n
                 t, n = re.subn(pattern, new, t)
             assert found[i] == t, (pattern, texts[i])
+
+
+def test_merging_fields_into_fields(spark):
+    given = rule("field_manager", source_fields=["a"], target_field="b", merge_with_target=True)
+    event = {"a": {"x": 1, "y": {"q": 2}}, "b": {"x": 0, "z": 3}}
+    assert done(spark, event, "generic_adder", rule("generic_adder", add={"n": 1}))[0] == event | {"n": 1}
+    from pyspark.sql import functions as F
+
+    from rillstone.plans.frame import Effect, Frame, Write
+    from rillstone.sources.events import in_memory
+
+    frame = Frame.of(in_memory(spark, [event]))
+    row = frame.apply(Effect(writes=[Write("b", frame.get("a"), "merge")]), F.lit(True)).nested().toJSON().first()
+    assert json.loads(row)["b"] == {"x": 1, "y": {"q": 2}, "z": 3} and given["field_manager"]["merge_with_target"]
+
+
+def test_pseudonyms_in_urls(spark):
+    import hashlib
+
+    mark = lambda x: f"<pseudonym:{hashlib.sha256((x + 's').encode()).hexdigest()}>"
+    given = rule("pseudonymizer", pseudonyms={"u": "(.*)"}, url_fields=["u"])
+    for url, want in (
+        ("https://www.example.com/a/b?k=v&k=w#frag", f"https://{mark('www')}.example.com/{mark('a/b')}?k={mark('v')}&k={mark('w')}#{mark('frag')}"),
+        ("example.com", "example.com"), ("http://me:pw@example.com", f"http://{mark('me:pw')}@example.com"), ("no address", mark("no address")),
+    ):
+        found, extras, _ = done(spark, {"u": url}, "pseudonymizer", given, hash_salt="s")
+        assert found == {"u": want} and len(extras) == want.count("<pseudonym:")
+
+
+def test_patterns_from_a_folder(spark, tmp_path):
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "own").write_text("# ours\nTICKET T-%{INT}\n")
+    found = done(spark, {"m": "see T-12"}, "grokker", rule("grokker", mapping={"m": "see %{TICKET:t}"}), custom_patterns_dir=str(tmp_path))[0]
+    assert found == {"m": "see T-12", "t": "T-12"}
