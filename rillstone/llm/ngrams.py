@@ -23,6 +23,8 @@ from .textscan import blocks, raw
 ORDER = 5
 #: Bytes of text in a block; a longer text is the end of its block. Steps looked up at once.
 BLOCK, STEPS = 32 << 20, 1 << 20
+#: Tasks that score blocks, at most; more blocks than that follow one another.
+TASKS = 1 << 16
 START, END = 0, 1  # symbols that stand for the borders of a text; a byte b is the symbol b + 2
 SYMBOLS = 258
 BITS = 9
@@ -223,5 +225,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", te
     model = counts.select("block", "gram").join(arc_weights(counts.select("gram", "n"), order), "gram")
     arcs = model.select("block", F.lit(0).alias("kind"), "gram", "weight", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     walks = texts.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("weight"), "doc_id", "text")
-    both = arcs.unionByName(walks).repartition("block").sortWithinPartitions("block", "kind")
+    tasks = max(1, min(texts.select("block").distinct().count(), TASKS))
+    # blocks of a partition are numbered from its number in the upper half, so this deals them one by one
+    turn = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) * texts.rdd.getNumPartitions(), F.lit(tasks)).cast("int")
+    both = arcs.unionByName(walks).repartitionById(tasks, turn).sortWithinPartitions("block", "kind")
     return both.mapInArrow(scored(order), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
