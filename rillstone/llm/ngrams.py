@@ -4,8 +4,9 @@ The model is an interpolated Witten-Bell n-gram model over bytes, counted over t
 the states of an automaton, with an arc for each n-gram and a failure arc with the backoff weight to the next shorter
 context. The automaton grows with the corpus, so it is never in one place: its arcs are rows, and failure arcs are followed
 once for each different arc, in joins from the shortest contexts to the longest. Texts are dealt to blocks of a bounded
-size, and each block is handed just the arcs that its texts take; as a state depends on no more than the last ORDER - 1
-bytes, all steps of a block are looked up side by side.
+size, and each block is handed just the arcs that its texts take. Texts are then walked from left to right, many side by
+side: each carries its state and adds up the weights of the arcs that it takes. A state is known by the last ORDER - 1
+symbols, so long texts are walked in several stretches at once.
 """
 
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ from .textscan import blocks, raw
 
 #: Bytes in the longest n-gram.
 ORDER = 5
-#: Bytes of text in a block; a longer text is the end of its block. Steps looked up at once.
-BLOCK, STEPS = 32 << 20, 1 << 20
+#: Bytes of text in a block; a longer text is the end of its block. Symbols in a stretch.
+BLOCK, STRETCH = 32 << 20, 512
 #: Tasks that score blocks, at most; more blocks than that follow one another.
 TASKS = 1 << 16
 START, END = 0, 1  # symbols that stand for the borders of a text; a byte b is the symbol b + 2
@@ -146,18 +147,24 @@ class Arcs:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each text, its end included."""
         s, begin = symbols(data, offsets, self.order)
-        inside = np.ones(len(s), bool)
-        for k in range(self.order - 1):
-            inside[begin[:-1] + k] = False
-        ends, weight = np.flatnonzero(inside), np.empty(int(inside.sum()))
-        for a in range(0, len(ends), STEPS):
-            at = ends[a : a + STEPS]
-            code = s[at].astype(np.uint64)
-            for k in range(1, self.order):
-                code |= s[at - k].astype(np.uint64) << np.uint64(BITS * k)
-            weight[a : a + STEPS] = self.look(code)
-        first = np.concatenate(([0], np.cumsum(np.diff(offsets) + 1)))
-        return np.add.reduceat(weight, first[:-1])
+        first, size = begin[:-1] + self.order - 1, np.diff(begin) - (self.order - 1)
+        many = -(-size // STRETCH)
+        text = np.repeat(np.arange(len(size)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        start, length = first[text] + nth * STRETCH, np.minimum(STRETCH, size[text] - nth * STRETCH)
+        order = np.argsort(-length, kind="stable")  # the longest first, so that those still walking are at the front
+        start, walking = start[order], np.searchsorted(-length[order], -np.arange(1, STRETCH + 1), "right")
+        state, total = np.zeros(len(start), np.uint64), np.zeros(len(start))
+        for k in range(self.order - 1, 0, -1):
+            state = state << np.uint64(BITS) | s[start - k].astype(np.uint64)
+        known = np.uint64((1 << BITS * (self.order - 1)) - 1)
+        for t, n in enumerate(walking[walking > 0].tolist()):
+            arc = state[:n] << np.uint64(BITS) | s[start[:n] + t].astype(np.uint64)
+            total[:n] += self.look(arc)
+            state[:n] = arc & known
+        by_text = np.empty(len(start))
+        by_text[order] = total
+        return np.add.reduceat(by_text, np.cumsum(many) - many)
 
 
 def arc_weights(counts: DataFrame, order: int) -> DataFrame:

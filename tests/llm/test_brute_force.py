@@ -555,20 +555,55 @@ def test_quality_of_held_out_texts(spark):
 # -- the pipeline
 
 
-def test_pipeline_against_its_parts(spark):
-    """What each filter keeps by the decisions of its operator, one after the other, is what is packed."""
+def grouped(texts):
+    """The lowest doc_id of the group of each text, from the fingerprints of all pairs."""
+    ids = sorted(texts)
+    prints = {}
+    for i in ids:
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        prints[i] = int.from_bytes(simhash.fingerprints(data, np.array([0, len(data)]))[0].tobytes(), "big")
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each filter's decisions on what the one before has kept, one document at a time or over all pairs, and the bins that the plan for these lengths has."""
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
-    ids = lambda df, where: {r.doc_id for r in df.where(where).collect()}
     only = lambda keep: docs.where(docs.doc_id.isin(sorted(keep)))
-    left = ids(language.language_spans(docs), "keep")
-    model = quality.fit(only(left), labels)
-    texts = {r.doc_id: r.text for r in only(left).collect()}
-    sums = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    languages, left = language.fit(docs), set()
     for k, t in texts.items():
         data = np.frombuffer(t.encode(), np.uint8)
-        sums[k] = quality.results(model, quality.statistics(data, np.array([0, len(data)])))[1][0]
-    left = {k for k in left if sums[k] >= quality.KEEP}
-    left -= {r.doc_id for r in simhash.near_duplicates(only(left)).collect()}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == left
+        named = language.labelled(languages, data, np.array([0, len(data)]), language.SWITCH)
+        if language.verdicts(*named, language.REJECT)[2][0]:
+            left.add(k)
+    assert left <= set(texts)
+    model, good = quality.fit(only(left), labels), set()
+    for k in left:
+        data = np.frombuffer(texts[k].encode(), np.uint8)
+        if quality.results(model, quality.statistics(data, np.array([0, len(data)])))[1][0] >= quality.KEEP:
+            good.add(k)
+    root = grouped({k: texts[k] for k in good})
+    kept = {k for k in good if root[k] == k}
+    assert kept < good < left
+    rows, lengths, bins = corpus_pipeline.run(spark, SMALL).collect(), Counter(), defaultdict(list)
+    for r in rows:
+        lengths[r.doc_id] += r.length
+        bins[r.bin_id].append((r.start, r.length))
+    assert lengths == {k: len(re.findall(r"[^ \t\n\x0b\f\r]+", texts[k])) + 1 for k in kept}
+    want = Counter()
+    for pattern, n in packing.plan(Counter(r.length for r in rows), packing.CAPACITY):
+        want[pattern] += n
+    assert Counter(tuple(x for _, x in sorted(b)) for b in bins.values()) == want
     assert [len(list(Path(d).glob("pipeline-*/*.parquet"))) for d in [shared_dir(spark).removeprefix("file:")] if list(Path(d).glob("pipeline-*"))] == [1]  # of one run only the last stage's rows
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "packing"]
