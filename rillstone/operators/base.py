@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import filters, order
-from ..plans.frame import ALIVE, MATCH, Effect, Frame, Write, quoted, yes
+from ..plans.frame import ALIVE, MATCH, Effect, Frame, Write, quoted, ticked, yes
 from ..plans.rules import Rule, RuleError, load_yaml, rules_of
 
 Compile = Callable[[Rule, Frame, dict[str, Any]], Effect]
@@ -66,13 +66,13 @@ class Stage:
         tests = [yes(filters.to_column(order.guarded(r.where, self.tags), frame.look)) & quoted(ALIVE) for r in rules]
         if done:
             tests = [t & ~quoted(d) for t, d in zip(tests, done)]
-        columns = [c for c in frame.df.columns if c not in done]
+        columns = [c for c in frame.df.columns if c not in done and c != MATCH]  # what the stage before has matched ends here
         marks = [(quoted(d) | t).alias(d) for d, t in zip(done, tests)]
         matched = F.struct(*(t.alias(f"m{i}") for i, t in enumerate(tests))).alias(MATCH)
-        frame = Frame(frame.df.select(*(quoted(c) for c in columns), *marks, matched), frame.kinds)
+        frame = Frame(frame.df.select(*(ticked(c) for c in columns), *marks, matched), frame.kinds)
         for i, rule in enumerate(rules):
             frame = frame.apply(OPERATORS[self.kind](rule, frame, self.options), F.col(MATCH).getField(f"m{i}"))
-        return Frame(frame.df.drop(MATCH), frame.kinds)
+        return frame
 
 
 def _bare(frame: Frame) -> Frame:

@@ -20,8 +20,12 @@ HIDDEN = {ALIVE: "boolean", DELETED: "boolean", ERRORS: "array<string>", WARNING
 TAGS = "tags"
 
 
+def ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ticked(name))
 
 
 @dataclass
@@ -142,7 +146,8 @@ class Frame:
         """The frame with other columns for some paths and hidden columns."""
         names = {**dict.fromkeys(self.kinds), **dict.fromkeys(changed)}
         extras = [c for c in self.df.columns if c not in self.kinds]
-        df = self.df.select(*((changed[p] if p in changed else quoted(p)).alias(p) for p in names), *((hidden[c] if c in hidden else quoted(c)).alias(c) for c in extras))
+        # what stays is given by name, which takes the driver less than a Column
+        df = self.df.select(*(changed[p].alias(p) if p in changed else ticked(p) for p in names), *(hidden[c].alias(c) if c in hidden else ticked(c) for c in extras))
         schema = df.schema
         return Frame(df, {p: schema[i].dataType for i, p in enumerate(names)})
 
@@ -342,4 +347,4 @@ def _kind(tree: dict, kinds: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, kinds[x] if isinstance(x, str) else T.StringType() if "" in x else _kind(x, kinds)) for n, x in tree.items()])
 
 
-__all__ = ["Frame", "Effect", "Write", "replace", "yes", "quoted"]
+__all__ = ["Frame", "Effect", "Write", "replace", "yes", "quoted", "ticked"]
