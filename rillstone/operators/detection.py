@@ -124,6 +124,8 @@ def alerted(frame: Frame, fields: list[str], table: dict | str) -> tuple[Column,
 
 #: A value that is a pseudonym already.
 DONE = r"^<pseudonym:[0-9a-f]{64}>"
+#: Patterns that capture all of a text of one line.
+WHOLE = ("(.*)", ".*", "(.+)", ".+", "^(.*)$", "([\\s\\S]*)")
 
 
 def hashed(value: Column, salt: str) -> Column:
@@ -136,8 +138,15 @@ def captured(value: Column, pattern: str, salt: str) -> tuple[Column, Column]:
     count, java = re.compile(pattern).groups, java_pattern(pattern)
     found = F.concat(*(F.regexp_extract_all(value, F.lit(java), F.lit(i)) for i in (range(1, count + 1) if count else [0])))
     origins = F.filter(F.array_distinct(found), lambda o: (o != "") & ~o.rlike(DONE))
-    text = F.aggregate(origins, value, lambda t, o: F.replace(t, o, F.concat(F.lit("<pseudonym:"), hashed(o, salt), F.lit(">"))))
-    return text, F.transform(origins, lambda o: F.struct(hashed(o, salt).alias("pseudonym"), o.alias("origin")))
+    wrapped = lambda o: F.concat(F.lit("<pseudonym:"), hashed(o, salt), F.lit(">"))
+    named = lambda o: F.struct(hashed(o, salt).alias("pseudonym"), o.alias("origin"))
+    text = F.aggregate(origins, value, lambda t, o: F.replace(t, o, wrapped(o)))
+    parts = F.transform(origins, named)
+    if pattern in WHOLE:  # most texts are one line, which is captured as a whole
+        line, fresh = ~value.contains("\n"), (value != "") & ~value.rlike(DONE)
+        text = F.when(line, F.when(fresh, wrapped(value)).otherwise(value)).otherwise(text)
+        parts = F.when(line, F.filter(F.array(named(value)), lambda _: fresh)).otherwise(parts)
+    return text, parts
 
 
 _URL = re.compile(r"(?:https?://)?(?:[^\s/@:]+:[^\s/@]+@)?(?:[\w-]+\.)+[A-Za-z]{2,}(?::\d+)?(?:[/?#]\S*)?")
@@ -226,19 +235,22 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
     result = Effect(conflict_tags=rule.failure_tags)
     extra = F.array().cast("array<struct<output:string,target:string,doc:string>>")
     stamp = text_of(frame, "@timestamp") if frame.look("@timestamp") is not None else None
-    for path, name in pseudonyms.items():
+    steps: list[dict[str, Column]] = [{}, {}, {}]  # what is made once and used several times
+    for i, (path, name) in enumerate(pseudonyms.items()):
         pattern = patterns.get(name, name)
         lacking = lacking | source(frame, path).isNull()
         many = isinstance(frame.kind(path), T.ArrayType)
         values = source(frame, path).cast("array<string>") if many else F.array(text_of(frame, path))
-        pieces = url_masker(pattern, salt)(values) if path in rule.option("url_fields", []) else F.transform(values, replacing(pattern, salt))
+        steps[0][f"__pieces{i}"] = url_masker(pattern, salt)(values) if path in rule.option("url_fields", []) else F.transform(values, replacing(pattern, salt))
+        pieces = F.col(f"__pieces{i}")
         new = F.transform(pieces, lambda x: x["text"])
-        parts = F.array_distinct(F.flatten(F.filter(F.transform(pieces, lambda x: x["parts"]), lambda x: x.isNotNull())))
+        steps[1][f"__parts{i}"] = F.array_distinct(F.flatten(F.filter(F.transform(pieces, lambda x: x["parts"]), lambda x: x.isNotNull())))
+        parts = F.col(f"__parts{i}")
         result.writes.append(Write(path, new if many else F.get(new, F.lit(0)), "overwrite"))
         if encrypt is not None:
             flat = F.transform(parts, lambda p: p["origin"])
-            sealed = F.pandas_udf(lambda s: s.map(lambda xs: None if xs is None else [encrypt(x) for x in xs]), "array<string>")(flat)
-            parts = F.zip_with(parts, sealed, lambda p, e: F.struct(p["pseudonym"].alias("pseudonym"), e.alias("origin")))
+            steps[2][f"__sealed{i}"] = F.pandas_udf(lambda s: s.map(lambda xs: None if xs is None else [encrypt(x) for x in xs]), "array<string>")(flat)
+            parts = F.zip_with(parts, F.col(f"__sealed{i}"), lambda p, e: F.struct(p["pseudonym"].alias("pseudonym"), e.alias("origin")))
         shown = ("pseudonym", "origin") if encrypt is not None else ("pseudonym",)
         docs = F.transform(parts, lambda p: F.to_json(as_struct({n: p[n] for n in shown} | ({"@timestamp": stamp} if stamp is not None else {}))))  # noqa: B023 - called at once
         for x in options.get("outputs") or [{"pseudonyms": "pseudonyms"}]:
@@ -246,5 +258,5 @@ def pseudonymizer(rule: Rule, frame: Frame, options: dict) -> Effect:
                 extra = F.concat(extra, F.transform(F.coalesce(docs, F.array().cast("array<string>")), sent(o, t)))
     if not rule.option("ignore_missing_fields", False):
         result.warn = [(lacking, rule.missing_tags)]
-    result.extra = extra
+    result.extra, result.prepare = extra, [x for x in steps if x]
     return result

@@ -145,6 +145,8 @@ def test_pseudonyms(spark):
     assert found == {"m": f"user {mark} saw {mark}"} and extras == [{"pseudonym": mark[11:-1], "origin": "bob"}]
     found, extras, _ = done(spark, {"m": "user ann, user bob"}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "NAME"}), **options)
     assert found["m"].count("<pseudonym:") == 2 and [x["origin"] for x in extras] == ["nna", "bob"]
+    found, extras, _ = done(spark, {"m": ["one", "", "two\nlines", mark, None]}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "(.*)"}), **options)
+    assert [x["origin"] for x in extras] == ["eno", "owt", "senil"] and found["m"][1] == "" and found["m"][2].count("<pseudonym:") == 2 and found["m"][3] == mark and found["m"][0].startswith("<pseudonym:")
     again, extras, _ = done(spark, {"m": mark}, "pseudonymizer", rule("pseudonymizer", pseudonyms={"m": "(.*)"}), hash_salt="s")
     assert again == {"m": mark} and extras == []
 
