@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,37 +266,50 @@ def java_replacement(text: str) -> str:
     return out
 
 
-#: Rounds of a substitution that stay in the JVM; few texts need more.
-ROUNDS = 3
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body for a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(value: Column) -> Column:
+    """The value as a column that the optimizer neither repeats nor computes again for filters further on.
+
+    Filters would be pushed through it, with the whole expression in the place of each mention: with several rules, which go on with one another's text, plans
+    would grow as a power of the rules. What depends on the partition stays where it is."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def substituted(text: Column, pattern: str, new: str, name: str) -> tuple[list[dict[str, Column]], Column]:
     """The text with a pattern replaced again and again, as long as there are fewer matches each time, as columns to prepare and the result.
 
-    A round that has as many matches as the one before, or more, is the last."""
-    java, into = java_pattern(pattern), java_replacement(new)
-    steps, now, go = [], text, F.lit(True)
-    for i in range(ROUNDS):
-        steps.append({f"{name}t{i}": F.when(go, F.regexp_replace(now, java, into)).otherwise(now), f"{name}n{i}": F.when(go, F.regexp_count(now, F.lit(java))).otherwise(0)})
-        now, n = F.col(f"{name}t{i}"), F.col(f"{name}n{i}")
-        go = (n > 0) & (n < F.col(f"{name}n{i - 1}")) if i else n > 0
-    compiled = re.compile(pattern)
+    A round that has as many matches as the one before, or more, is the last. So there is at most one round more than there are matches at first."""
+    java, into, first = F.lit(java_pattern(pattern)), F.lit(java_replacement(new)), F.col(f"{name}n")
+    # text, its matches if it has another round, matches of the round before
+    state = lambda t, n, last: F.struct(t.alias("t"), n.alias("n"), last.alias("last"))
+
+    def again(x: Column, _: Column) -> Column:
+        more = bound(F.regexp_replace(x["t"], java, into), lambda t: state(t, F.when(x["n"] < x["last"], F.regexp_count(t, java)).otherwise(0), x["n"]))
+        return F.when(x["n"] > 0, more).otherwise(x)
+
+    rounds = F.aggregate(F.sequence(F.lit(0), first), state(text, first, F.lit(2**31 - 1)), again, lambda x: x["t"])
+    return [{f"{name}n": F.regexp_count(text, java)}], F.when(first > 0, rounds).otherwise(text)
+
+
+def signed(text: Column) -> Column:
+    """A text with marks of a signature, of which those side by side are made one: the text, its signature, and whether a mark isn't closed."""
+    single = lambda t, mark: F.when(t.contains(mark * 2), F.regexp_replace(t, f"({re.escape(mark)})+", mark)).otherwise(t)
 
-    @F.pandas_udf("string")
-    def rest(batch: pd.DataFrame) -> pd.Series:
-        def more(t: str | None, last: int) -> str | None:
-            if t is None:
-                return None
-            while True:
-                t, n = compiled.subn(new, t)
-                if not 0 < n < last:
-                    return t
-                last = n
+    def marked(t: Column) -> Column:
+        def taken(parts: Column) -> Column:
+            # each part begins after a mark; what it lacks of its end stands in the next ones
+            whole = lambda x, i: F.when(x.contains("</+>"), x).otherwise(F.array_join(F.slice(parts, i + 2, F.size(parts)), ""))
+            tokens = F.transform(F.slice(parts, 2, F.size(parts)), lambda x, i: F.substring_index(whole(x, i), "</+>", 1))
+            return F.struct(t.alias("text"), F.array_join(tokens, " ").alias("signature"), (~F.element_at(parts, -1).contains("</+>")).alias("open"))
 
-        return pd.Series([more(t, last) for t, last in zip(batch["t"], batch["n"])], dtype=object)
+        return bound(F.split(t, r"<\+>", -1), taken)
 
-    steps.append({f"{name}r": rest(F.struct(F.when(go, now).alias("t"), n.alias("n")))})
-    return steps, F.coalesce(F.col(f"{name}r"), now)
+    without = lambda t: F.struct(t.alias("text"), F.lit("").alias("signature"), F.lit(False).alias("open"))
+    return bound(single(text, "</+>"), lambda t: F.when(t.contains("<+>"), bound(single(t, "<+>"), marked)).otherwise(without(t)))
 
 
 @operator("clusterer")
@@ -317,24 +330,22 @@ def clusterer(rule: Rule, frame: Frame, options: dict) -> Effect:
     hidden = "__cluster"
     known = frame.leaf(hidden) is not None
     begin = F.coalesce(F.nullif(source(frame, hidden), F.lit("")), message) if known else message
-    steps, text = substituted(begin, rule.options["pattern"], rule.options["repl"], "__sub")
-    steps.append({"__sig": F.regexp_replace(F.regexp_replace(text, r"(<\+>)+", "<+>"), r"(</\+>)+", "</+>")})
-    text = F.col("__sig")
-    parts = F.split(text, r"<\+>", -1)
-    # each part begins after a mark; what it lacks of its end stands in the next ones
-    whole = lambda x, i: F.when(x.contains("</+>"), x).otherwise(F.array_join(F.slice(parts, i + 2, F.size(parts)), ""))
-    tokens = F.transform(F.slice(parts, 2, F.size(parts)), lambda x, i: F.substring_index(whole(x, i), "</+>", 1))
-    signature = F.array_join(tokens, " ")
     facility, severity = source(frame, "syslog.facility"), source(frame, "event.severity")
     has_pri = facility.isNotNull() & severity.isNotNull()
-    signature = F.when(has_pri, F.concat_ws(" , ", facility.cast("string"), severity.cast("string"), signature)).otherwise(signature)
     flag, kind = source(frame, "clusterable"), frame.kind("clusterable")
     truth = flag if isinstance(kind, T.BooleanType) else flag.cast("string").isin("", "0", "0.0") == F.lit(False)
     tagged = F.array_contains(source(frame, "tags"), "clusterable") if isinstance(frame.kind("tags"), T.ArrayType) else F.lit(False)
     takes_part = yes(F.when(flag.isNotNull(), truth).otherwise(yes(tagged) | has_pri)) & begin.isNotNull()
+    start, found = F.col("__begin"), F.col("__found")
+    count, text = substituted(start, rule.options["pattern"], rule.options["repl"], "__sub")
+    steps = [
+        {"__begin": F.when(takes_part, begin), "__marked": takes_part & (message.contains("<+>") | message.contains("</+>"))},
+        *count,
+        {"__found": once(F.when(start.isNotNull(), bound(text, signed)))},
+    ]
+    signature = F.when(has_pri, F.concat_ws(" , ", facility.cast("string"), severity.cast("string"), found["signature"])).otherwise(found["signature"])
     result = Effect(warn=gaps(frame, rule, [path]), conflict_tags=rule.failure_tags, prepare=steps)
-    marked = message.contains("<+>") | message.contains("</+>")
-    result.fail = [(takes_part & marked, f"{path} holds signature marks already"), (takes_part & (F.size(parts) > 1) & ~F.element_at(parts, -1).contains("</+>"), "a mark of the signature isn't closed")]
+    result.fail = [(F.col("__marked"), f"{path} holds signature marks already"), (found["open"], "a mark of the signature isn't closed")]
     mode = "overwrite" if rule.options.get("overwrite_target", not rule.option("merge_with_target", False)) else rule.mode
-    result.writes = [Write(hidden, text, "overwrite", when=takes_part), Write(target, signature, mode, when=takes_part)]
+    result.writes = [Write(hidden, found["text"], "overwrite", when=found.isNotNull()), Write(target, signature, mode, when=found.isNotNull())]
     return result

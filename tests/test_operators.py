@@ -292,6 +292,23 @@ def test_substitutions_as_by_a_loop(spark):
             assert found[i] == t, (pattern, texts[i])
 
 
+def test_plans_of_the_clusterer_grow_with_its_rules(spark):
+    """Each rule goes on with the text of the one before, which must not be written out again for every mention."""
+    from rillstone.plans.pipeline import Pipeline
+
+    df = spark.createDataFrame([("walking (12) dogs", True), (None, True), ("x", False)], "message string, clusterable boolean")
+
+    def size(rules: int) -> int:
+        given = [rule("clusterer", source_fields=["message"], target_field="s", pattern=p, repl=r) for p, r in [(r"\((\w*)\)", r"\1")] * (rules - 1) + [(r"(\w+)", r"<+>\1</+>")]]
+        events = Pipeline.of([("clusterer", given)]).apply(df).events
+        if rules == 8:
+            assert sorted((r.message or "", r.s or "") for r in events.collect()) == [("", ""), ("walking (12) dogs", "walking 12 dogs"), ("x", "")]
+        return events._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+
+    one = size(1)
+    assert one <= 3 and size(2) <= 2 * one and size(8) <= 8 * one
+
+
 def test_merging_fields_into_fields(spark):
     given = rule("field_manager", source_fields=["a"], target_field="b", merge_with_target=True)
     event = {"a": {"x": 1, "y": {"q": 2}}, "b": {"x": 0, "z": 3}}
