@@ -192,11 +192,13 @@ staged("template_replacer_large", "orders", ["o_orderkey", "o_custkey"], [("temp
        "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_custkey < 20000 THEN 'customer ' || o_custkey::VARCHAR END AS name FROM orders", ["o_orderkey", "name"], before={"customer": "cast(o_custkey as string)"})
 staged("list_comparison_large", "orders", ["o_orderkey"], [("list_comparison", {"filter": "*", "list_comparison": {"source_fields": ["customer"], "target_field": "r", "lists": {"even": list(TEN_THOUSAND), "few": ["1", "2"]}}})],
        "SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 2 = 0 AND o_custkey < 20000 THEN 'even' END, CASE WHEN o_custkey IN (1, 2) THEN 'few' END) AS inside FROM orders", ["o_orderkey", "array_join(coalesce(r.in_list, array()), ',') AS inside"], before={"customer": "cast(o_custkey as string)"})
+#: An address of version 6 for any user; numbers of more than four hexadecimal digits take more groups, as five in one aren't an address.
+SIX = "lower(concat('2001:db8::', if(user_id between 0 and 65535, '', concat_ws(':', hex(shiftrightunsigned(user_id, 48)), hex(shiftright(user_id, 32) & 65535), hex(shiftright(user_id, 16) & 65535), '')), hex(user_id & 65535)))"
 staged("network_comparison_large", "events", ["event_id"], [("network_comparison", {"filter": "*", "network_comparison": {"source_fields": ["ip"], "target_field": "r", "lists": {"even": [f"10.0.{i}.0/24" for i in range(0, 256, 2)] + [f"10.1.{i}.0/24" for i in range(0, 256, 2)], "six": ["2001:db8::/32"]}}})],
-       "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'six' WHEN user_id % 2 = 0 THEN 'even' ELSE '' END AS inside FROM events", ["event_id", "array_join(coalesce(r.in_list, array()), ',') AS inside"], before={"ip": "if(event_id % 4 = 0, concat('2001:db8::', lower(hex(user_id))), concat('10.1.', user_id % 256, '.7'))"})
+       "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'six' WHEN user_id % 2 = 0 THEN 'even' ELSE '' END AS inside FROM events", ["event_id", "array_join(coalesce(r.in_list, array()), ',') AS inside"], before={"ip": f"if(event_id % 4 = 0, {SIX}, concat('10.1.', user_id % 256, '.7'))"})
 staged("geoip_enricher_six", "events", ["event_id"], [("geoip_enricher", {"filter": "*", "geoip_enricher": {"source_fields": ["ip"], "target_field": "place"}})],
        "SELECT event_id, CASE WHEN user_id < 64 THEN 'North' END AS country FROM events", ["event_id", "place.properties.country AS country"],
-       before={"ip": "concat('2001:db8::', lower(hex(user_id)))"}, ranges=[{"start": "2001:db8::", "end": "2001:db8::3f", "country": "North"}, {"start": "10.0.0.0", "end": "10.0.0.9", "country": "South"}])
+       before={"ip": SIX}, ranges=[{"start": "2001:db8::", "end": "2001:db8::3f", "country": "North"}, {"start": "10.0.0.0", "end": "10.0.0.9", "country": "South"}])
 staged("pseudonymizer_parts", "events", ["event_id"], [("pseudonymizer", {"filter": "*", "pseudonymizer": {"pseudonyms": {"line": r"(?:user|friend) (\w+)"}}})],
        "SELECT event_id, 'user <pseudonym:' || sha256('u' || user_id::VARCHAR || 'salt') || '> and friend <pseudonym:' || sha256('f' || event_type || 'salt') || '>' AS line FROM events", ["event_id", "line"], before={"line": "concat('user u', user_id, ' and friend f', event_type)"}, hash_salt="salt")
 staged("amides_attribution", "part", ["p_partkey", "p_type"], [("amides", {"filter": "p_type", "amides": {"source_fields": ["p_type"]}})],

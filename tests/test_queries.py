@@ -30,3 +30,12 @@ def test_query(spark, sql, name):
     names = [d[0] for d in cursor.description]
     want = sorted((tuple(rounded(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
     assert sorted(names) == columns and found and found == want
+
+
+@pytest.mark.parametrize("name", ["network_comparison_large", "geoip_enricher_six"])
+def test_users_of_any_number_have_addresses(spark, tmp_path, name):
+    """Numbers of more than four hexadecimal digits, up to the largest."""
+    users = [0, 1, 63, 64, 65535, 65536, 89999, 2**32, 2**48 + 3, 2**63 - 1]
+    spark.createDataFrame([(4 * i + k, u) for i, u in enumerate(users) for k in (0, 1)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert found == sorted(duckdb.connect().execute(f"WITH events AS (FROM '{tmp_path}/events.parquet/*.parquet') {queries.SQL[name]}").fetchall())
