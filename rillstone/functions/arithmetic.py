@@ -20,9 +20,14 @@ def _half_even(x: Column, n: int = 0) -> Column:
 
 
 class Expression:
-    """Recursive descent; values are (column, whole), whole for integers that stay integers."""
+    """Recursive descent; values are (column, whole), whole for integers that stay integers.
 
-    def __init__(self, text: str, field) -> None:
+    What is needed several times is named once: ``steps`` are columns to be projected, one after the other, before the result. Written out at each mention,
+    expressions would grow as a power of their depth."""
+
+    def __init__(self, text: str, field, name: str = "__calc") -> None:
+        self.steps: list[dict[str, Column]] = []
+        self.name = name
         self.tokens: list[tuple[int, str]] = []
         at = 0
         text = text.rstrip()
@@ -43,6 +48,16 @@ class Expression:
             return self.tokens[self.i - 1][1]
         return ""
 
+    def kept(self, column: Column) -> Column:
+        """The column by a name of its own."""
+        self.steps.append({f"{self.name}{len(self.steps)}": column})
+        return F.col(*self.steps[-1])
+
+    def finite(self, column: Column) -> Column:
+        """The column, null where it is infinite or no number."""
+        kept = self.kept(column)
+        return F.when(~F.isnan(kept) & (F.abs(kept) < F.lit(float("inf"))), kept)
+
     def compile(self) -> tuple[Column, str]:
         """The column and its kind: long, double or boolean."""
         left = self.sum()
@@ -74,18 +89,26 @@ class Expression:
     def sign(self) -> tuple[Column, str]:
         if self.take("-"):
             column, kind = self.sign()
-            return -column, kind
+            return self.negative(column, kind), kind
         self.take("+")
         return self.power()
 
+    @staticmethod
+    def negative(column: Column, kind: str) -> Column:
+        """Null for the least whole number."""
+        return F.try_subtract(F.lit(0).cast("long"), column) if kind == "long" else -column
+
     def power(self) -> tuple[Column, str]:
         base = self.atom()
         if self.take("^"):
             raised = self.sign()
-            column = F.pow(base[0].cast("double"), raised[0].cast("double"))
-            column = F.when(~F.isnan(column) & (F.abs(column) < F.lit(float("inf"))), column)
             whole = base[1] == raised[1] == "long"
-            return (F.when((raised[0] >= 0) & (F.abs(column) < 2.0**53), column).cast("long"), "long") if whole else (column, "double")
+            exponent = self.kept(raised[0]) if whole else raised[0]
+            column = self.finite(F.pow(base[0].cast("double"), exponent.cast("double")))
+            if not whole:
+                return column, "double"
+            column = self.kept(column)
+            return F.when((exponent >= 0) & (F.abs(column) < 2.0**53), column).cast("long"), "long"
         return base
 
     def atom(self) -> tuple[Column, str]:
@@ -125,19 +148,17 @@ class Expression:
             self.i += 1
         self.i += 1
         if m := re.fullmatch(r"\$\{([^}]+)\}", text):
-            digits = F.regexp_replace(self.field(m[1], True)[0].cast("string"), "^0[xX]", "")
+            digits = self.kept(F.regexp_replace(self.field(m[1], True)[0].cast("string"), "^0[xX]", ""))
             return F.when(digits.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(digits, 16, 10).cast("long")), "long"
         try:
             return F.lit(int(text, 16)).cast("long"), "long"
         except ValueError as e:
             raise RuleError(f"{text!r} isn't hexadecimal") from e
 
-    @staticmethod
-    def _both(a: tuple[Column, str], b: tuple[Column, str], function) -> tuple[Column, str]:
+    def _both(self, a: tuple[Column, str], b: tuple[Column, str], function) -> tuple[Column, str]:
         if a[1] == b[1] == "long":
             return function(a[0], b[0]), "long"
-        column = function(a[0].cast("double"), b[0].cast("double"))
-        return F.when(~F.isnan(column) & (F.abs(column) < F.lit(float("inf"))), column), "double"
+        return self.finite(function(a[0].cast("double"), b[0].cast("double"))), "double"
 
     def _call(self, name: str, given: list[tuple[Column, str]], last: str) -> tuple[Column, str]:
         """A function of its arguments; ``last`` is the last one as it is written."""
@@ -147,7 +168,8 @@ class Expression:
         if name in one and len(x) == 1:
             return one[name](wide[0]), "double"
         if name == "abs" and len(x) == 1:
-            return F.abs(x[0]), given[0][1]
+            of, kind = self.kept(x[0]) if given[0][1] == "long" else x[0], given[0][1]
+            return F.when(of < 0, self.negative(of, kind)).otherwise(of) if kind == "long" else F.abs(of), kind
         if name == "trunc" and len(x) == 1:
             return wide[0].try_cast("long"), "long"
         if name == "round" and len(x) == 1:
@@ -157,7 +179,8 @@ class Expression:
                 raise RuleError(f"the digits of round in {self.text!r} must be a whole number")
             return _half_even(wide[0], int(last)), "double"
         if name == "sgn" and len(x) == 1:
-            return F.when(wide[0] > 1e-12, 1).when(wide[0] < -1e-12, -1).otherwise(0).cast("long"), "long"
+            of = self.kept(wide[0])
+            return F.when(of > 1e-12, 1).when(of < -1e-12, -1).otherwise(0).cast("long"), "long"
         if name == "multiply" and len(x) == 2:
             return self._both(given[0], given[1], F.try_multiply)
         if name == "hypot" and len(x) == 2:

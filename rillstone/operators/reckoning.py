@@ -29,8 +29,11 @@ def calculator(rule: Rule, frame: Frame, options: dict) -> Effect:
             return column.cast("double"), "double"
         return column.cast("string").try_cast("double"), "double"
 
-    value, _ = Expression(rule.options["calc"], field).compile()
+    expression = Expression(rule.options["calc"], field)
+    value, _ = expression.compile()
+    if expression.steps:
+        value = expression.kept(value)
     present = F.lit(True)
     for f in fields:
         present = present & source(frame, f).isNotNull()
-    return effect(rule, frame, [(rule.target, F.when(present, value))], sources=fields, warn=[(present & value.isNull(), rule.failure_tags)])
+    return effect(rule, frame, [(rule.target, F.when(present, value))], sources=fields, warn=[(present & value.isNull(), rule.failure_tags)], prepare=expression.steps)

@@ -309,6 +309,23 @@ def test_plans_of_the_clusterer_grow_with_its_rules(spark):
     assert one <= 3 and size(2) <= 2 * one and size(8) <= 8 * one
 
 
+def test_plans_of_the_calculator_grow_with_the_expression(spark):
+    """Each sum is tested for being finite, and mustn't be written out for every mention."""
+    from rillstone.plans.pipeline import Pipeline
+
+    df = spark.createDataFrame([(0.5, 2), (1e308, 2), (None, 2), (-1.5, -(2**63))], "a double, n long")
+
+    def events(calc: str):
+        return Pipeline.of([("calculator", rule("calculator", calc=calc, target_field="r"))]).apply(df).events
+
+    size = lambda terms: events(" + ".join(["${a} * ${n}"] * terms))._jdf.queryExecution().optimizedPlan().toString().count("isnan(")
+    assert 1 <= size(1) <= 2 and size(4) <= 8
+    assert size(12) <= 24
+    for calc, want in ((" + ".join(["${a} * ${n}"] * 12), [12.0, None, None, -1.5 * -(2.0**63) * 12]), ("(2 ^ ${n}) ^ 2 + sgn(${a}) + abs(${n}) - -${n}", [16 + 1 + 2 + 2, 16 + 1 + 2 + 2, None, None])):
+        found = events(calc).collect()
+        assert [r.r for r in found] == want and [r.tags for r in found] == [["_calculator_failure"] if w is None and r.a is not None else ["_calculator_missing_field_warning"] if r.a is None else None for r, w in zip(found, want)]
+
+
 def test_merging_fields_into_fields(spark):
     given = rule("field_manager", source_fields=["a"], target_field="b", merge_with_target=True)
     event = {"a": {"x": 1, "y": {"q": 2}}, "b": {"x": 0, "z": 3}}
