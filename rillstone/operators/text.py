@@ -282,17 +282,20 @@ def once(value: Column) -> Column:
 def substituted(text: Column, pattern: str, new: str, name: str) -> tuple[list[dict[str, Column]], Column]:
     """The text with a pattern replaced again and again, as long as there are fewer matches each time, as columns to prepare and the result.
 
-    A round that has as many matches as the one before, or more, is the last. So there is at most one round more than there are matches at first."""
-    java, into, first = F.lit(java_pattern(pattern)), F.lit(java_replacement(new)), F.col(f"{name}n")
+    A round that has as many matches as the one before, or more, is the last. So there is at most one round more than there are matches at first. As Spark's loops
+    can't be left, and copy the text each time, there are four, one in the other, each with the fourth root of that: what is left of them when a text is done is short."""
+    java, into, first, often = F.lit(java_pattern(pattern)), F.lit(java_replacement(new)), F.col(f"{name}n"), F.col(f"{name}k")
     # text, its matches if it has another round, matches of the round before
     state = lambda t, n, last: F.struct(t.alias("t"), n.alias("n"), last.alias("last"))
 
-    def again(x: Column, _: Column) -> Column:
-        more = bound(F.regexp_replace(x["t"], java, into), lambda t: state(t, F.when(x["n"] < x["last"], F.regexp_count(t, java)).otherwise(0), x["n"]))
-        return F.when(x["n"] > 0, more).otherwise(x)
+    def again(x: Column) -> Column:
+        return bound(F.regexp_replace(x["t"], java, into), lambda t: state(t, F.when(x["n"] < x["last"], F.regexp_count(t, java)).otherwise(0), x["n"]))
 
-    rounds = F.aggregate(F.sequence(F.lit(0), first), state(text, first, F.lit(2**31 - 1)), again, lambda x: x["t"])
-    return [{f"{name}n": F.regexp_count(text, java)}], F.when(first > 0, rounds).otherwise(text)
+    def loops(x: Column, depth: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), often), x, lambda y, _: F.when(y["n"] > 0, loops(y, depth - 1)).otherwise(y)) if depth else again(x)
+
+    steps = [{f"{name}n": F.regexp_count(text, java)}, {f"{name}k": F.ceil(F.pow(first + F.lit(1.0), F.lit(0.25))).cast("int")}]
+    return steps, F.when(first > 0, loops(state(text, first, F.lit(2**31 - 1)), 4)["t"]).otherwise(text)
 
 
 def signed(text: Column) -> Column:

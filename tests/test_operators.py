@@ -309,6 +309,22 @@ def test_plans_of_the_clusterer_grow_with_its_rules(spark):
     assert one <= 3 and size(2) <= 2 * one and size(8) <= 8 * one
 
 
+def test_long_texts_of_the_clusterer(spark):
+    """Many rounds with fewer matches each time, and many matches; no text goes through Python."""
+    from pyspark.sql import functions as F
+
+    from rillstone.plans.pipeline import Pipeline
+
+    nested = lambda *depths: " ".join("(" * d + f"x{d}" + ")" * d for d in depths)
+    for pattern, new, text, want in ((r"\((\w+)\)", r"<+>\1</+>", "(a) (b)", "a b"), (r"\((\w+)\)", r"\1", nested(*range(60)), None), (r"\d+", "<+>n</+>", "a1 " * 60000, " ".join("n" * 60000))):
+        given = rule("clusterer", source_fields=["message"], target_field="s", pattern=pattern, repl=new)
+        after = rule("clusterer", source_fields=["message"], target_field="s", pattern=r"^(\w[^()<>]*)$", repl=r"<+>\1</+>")
+        df = spark.createDataFrame([(text,)], "message string").select("message", F.lit(True).alias("clusterable"))
+        events = Pipeline.of([("clusterer", [given] if want else [given, after])]).apply(df).events
+        assert "Python" not in events._jdf.queryExecution().optimizedPlan().toString()
+        assert events.first().s == (want or " ".join(f"x{d}" for d in range(60)))
+
+
 def test_plans_of_the_calculator_grow_with_the_expression(spark):
     """Each sum is tested for being finite, and mustn't be written out for every mention."""
     from rillstone.plans.pipeline import Pipeline
